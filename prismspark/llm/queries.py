@@ -7,15 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.llm import mixing, secret_scan
+from prismspark.llm import bpe, licenses, mixing, secret_scan, token_count, toxicity
 from prismspark.llm.storage import table
 
+#: Folder of the public tokenizer files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of their decoded text."""
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every document."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def _of_kind(kinds: list[str]):
     return lambda span: span["kind"].isin(kinds)
 
@@ -32,6 +50,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def _secrets_sql() -> str:
     """The same spans from regular expressions over every text, without an index."""
     parts = []
@@ -57,8 +80,12 @@ def _secrets_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
+    "op7_token_count": op7_token_count,
     "op8_secret_scan": op8_secret_scan,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_secret_scan": _secrets_sql()}
