@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.llm import bpe, licenses, mixing, secret_scan, token_count, toxicity
+from prismspark.llm import bpe, embedding_dedup, licenses, mixing, secret_scan, token_count, topk_search, toxicity
 from prismspark.llm.storage import table
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of every query vector."""
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -50,6 +55,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -79,13 +89,37 @@ def _secrets_sql() -> str:
     from documents d left join per p on d.doc_id = p.doc_id"""
 
 
+TOPK_SQL = """with v as (select vec_id, min(embedding) as e from embeddings where vec_id is not null and embedding is not null
+      and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x))) group by vec_id),
+    i as (select vec_id, list_transform(e, lambda x: floor(256 * cast(x as double))) as e from v),
+    s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from i q join i c on q.vec_id != c.vec_id where q.vec_id % 50 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5"""
+
+VECTORS_SQL = """with recursive v as (select vec_id, min(embedding) as e from embeddings group by vec_id),
+    ok as (select vec_id, list_transform(e, lambda x: cast(x as double)) as e from v where e is not null and vec_id is not null
+      and not list_bool_or(list_transform(e, lambda x: x is null or not isfinite(x))) and list_bool_or(list_transform(e, lambda x: x != 0))),
+    links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach(node, other) as (select a, b from links union select r.node, l.b from reach r join links l on r.other = l.a),
+    least as (select node, min(other) as other from reach group by node),
+    n as (select a, count(*) as n from links group by a)
+    select v.vec_id, coalesce(n.n, 0) as n_links, least(v.vec_id, coalesce(other, v.vec_id)) as component_id, least(v.vec_id, coalesce(other, v.vec_id)) = v.vec_id as kept
+    from v left join n on n.a = v.vec_id left join least on node = v.vec_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
     "op7_token_count": op7_token_count,
     "op8_secret_scan": op8_secret_scan,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_secret_scan": _secrets_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": TOPK_SQL,
+    "op8_secret_scan": _secrets_sql(),
+    "op9_embedding_dedup": VECTORS_SQL,
+}
