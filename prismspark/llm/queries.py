@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.llm import bpe, embedding_dedup, licenses, mixing, secret_scan, token_count, topk_search, toxicity
+from prismspark.llm import bpe, embedding_dedup, licenses, minhash_dedup, mixing, secret_scan, token_count, topk_search, toxicity
 from prismspark.llm.storage import table
 
 #: Folder of the public tokenizer files.
@@ -34,6 +34,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, on 2-word shingles."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram tokens of every document."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -96,6 +101,16 @@ TOPK_SQL = """with v as (select vec_id, min(embedding) as e from embeddings wher
     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
     select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5"""
 
+SHINGLES_SQL = """with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') as w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from w),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id != b.doc_id group by all),
+    links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+    reach(node, other) as (select a, b from links union select r.node, l.b from reach r join links l on r.other = l.a),
+    least as (select node, min(other) as other from reach group by node)
+    select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) as component_id, least(w.doc_id, coalesce(other, w.doc_id)) = w.doc_id as kept
+    from w left join n on n.doc_id = w.doc_id left join least on node = w.doc_id"""
+
 VECTORS_SQL = """with recursive v as (select vec_id, min(embedding) as e from embeddings group by vec_id),
     ok as (select vec_id, list_transform(e, lambda x: cast(x as double)) as e from v where e is not null and vec_id is not null
       and not list_bool_or(list_transform(e, lambda x: x is null or not isfinite(x))) and list_bool_or(list_transform(e, lambda x: x != 0))),
@@ -112,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_token_count": op7_token_count,
     "op8_secret_scan": op8_secret_scan,
     "op9_embedding_dedup": op9_embedding_dedup,
@@ -120,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": TOPK_SQL,
+    "op6_minhash_dedup": SHINGLES_SQL,
     "op8_secret_scan": _secrets_sql(),
     "op9_embedding_dedup": VECTORS_SQL,
 }
