@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.llm import bpe, embedding_dedup, licenses, minhash_dedup, mixing, secret_scan, token_count, topk_search, toxicity
+from prismspark.llm import bpe, embedding_dedup, licenses, minhash_dedup, mixing, secret_scan, suffix_dedup, token_count, topk_search, toxicity
 from prismspark.llm.storage import table
 
 #: Folder of the public tokenizer files.
@@ -19,6 +19,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 100 bytes repeat from earlier."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -124,6 +129,7 @@ VECTORS_SQL = """with recursive v as (select vec_id, min(embedding) as e from em
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_source_mixing": op5_source_mixing,
