@@ -17,12 +17,15 @@ empty table gives an empty result; sources that are empty get target 0.
 from __future__ import annotations
 
 import heapq
+import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismspark.llm.storage import written
+from prismspark.llm.storage import small_batches, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -93,16 +96,21 @@ def _shard_quotas(block: int, cap: int):
     return run
 
 
+def _size():
+    return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size) of all rows, written once: texts are read once."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return written(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
+    return written(docs.select("doc_id", "source", _size().alias("size")), "mix-sizes")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row."""
-    spark, sizes = docs.sparkSession, sized(docs)
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
+def _allocated(sizes: DataFrame, docs: DataFrame, weights: tuple[float, ...], share: float, cap: int, block: int, seed: int) -> DataFrame:
+    """``docs`` (doc_id, source, size, any others) with source_size, target and
+    taken_blocks: an array of (first, stop, times), the row's words in each
+    block and how often they are taken.  ``sizes``: the same rows, without others."""
+    spark = sizes.sparkSession
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # by code point
@@ -113,32 +121,90 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         [(i, r["source"], x, a, q, max(1, min(MAX_SHARDS, -(-x // SHARD_WORDS)))) for i, (r, x, a, q) in enumerate(zip(rows, n, aim, seats, strict=True))],
         "s int, name string, source_size long, target double, seats long, shards int",
     )
-    placed = (
-        sizes.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))
-        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-        .withColumn("shard", F.pmod("h", "shards").cast("int"))
-    )
-    per_shard = placed.groupBy("s", "shard", "seats").agg(F.sum("size").alias("words"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        named = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))  # MAX_SOURCES rows
+        named = named.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+        return named.withColumn("shard", F.pmod("h", "shards").cast("int"))
+
+    per_shard = dealt(sizes).groupBy("s", "shard", "seats").agg(F.sum("size").alias("words"))
     quotas = per_shard.groupBy("s").applyInPandas(_shard_quotas(block, cap), "s int, shard int, quota long, blocks long")
     # One word stream a shard, its documents in seeded order.
     stream = Window.partitionBy("s", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("stop", F.sum("size").over(stream)).withColumn("start", F.col("stop") - F.col("size"))
-    # Quotas: at most MAX_SHARDS a source, of at most MAX_SOURCES sources.
+    placed = dealt(docs).withColumn("stop", F.sum("size").over(stream)).withColumn("start", F.col("stop") - F.col("size"))
     chosen = placed.join(quotas, ["s", "shard"])
     # Block b is taken quota div blocks times, and once more if its place in a
     # seeded order of the shard's blocks, pmod(step * b + turn, blocks), is
     # under the remainder; step is prime and above any number of blocks.
     turn = F.pmod(F.xxhash64(F.lit(seed), "s", "shard", F.lit("turn")), F.lit(1 << 30))
     step = F.lit(2_147_483_647).cast("long")
-    blocks = F.greatest("blocks", F.lit(1))
+    blocks = F.greatest(F.col("blocks"), F.lit(1))
     every = F.expr("quota div greatest(blocks, 1)")
     rest = F.col("quota") - every * F.col("blocks")
 
     def words_of(b):
-        held = F.least(F.col("stop"), (b + 1) * block) - F.greatest(F.col("start"), b * block)
         place = F.pmod(b * F.pmod(step, blocks) + turn, blocks)
-        return held * (every + F.when(place < rest, 1).otherwise(0))
+        return F.struct(
+            (F.greatest("start", b * block) - F.col("start")).alias("first"),
+            (F.least("stop", (b + 1) * block) - F.col("start")).alias("stop"),
+            (every + F.when(place < rest, 1).otherwise(0)).alias("times"),
+        )
+
+    held = F.transform(F.sequence(F.expr(f"start div {block}"), F.expr(f"(stop - 1) div {block}")), words_of)
+    none = F.array().cast("array<struct<first:bigint,stop:bigint,times:bigint>>")
+    return chosen.select(*docs.columns, "source_size", "target", F.when(F.col("size") > 0, held).otherwise(none).alias("taken_blocks"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row."""
+    sizes = sized(docs)
+    found = _allocated(sizes, sizes, weights, share, cap, block, seed)
+    taken = F.aggregate("taken_blocks", F.lit(0).cast("long"), lambda acc, b: acc + (b["stop"] - b["first"]) * b["times"])
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _texts(cap: int, at: int, spans: int):
+    """The taken words of each row, once for each time they are taken: blocks
+    that follow one another stay as they stand in the text."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = [], []
+            for k, (text, blocks) in enumerate(zip(batch.column(at).to_pylist(), batch.column(spans).to_pylist(), strict=True)):
+                if not blocks:
+                    continue
+                ends = None
+                for time in range(1, cap + 1):
+                    taken: list[list[int]] = []
+                    for b in blocks:
+                        if b["times"] >= time:
+                            if taken and taken[-1][1] == b["first"]:
+                                taken[-1][1] = b["stop"]
+                            else:
+                                taken.append([b["first"], b["stop"]])
+                    if not taken:
+                        break
+                    rows.append(k)
+                    if taken == [[0, blocks[-1]["stop"]]]:
+                        texts.append(text)
+                        continue
+                    ends = ends or [m.span() for m in word.finditer(text)]
+                    texts.append("\n".join(text[ends[a][0] : ends[b - 1][1]] for a, b in taken))
+            out = batch.take(pa.array(rows, pa.int64()))
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(out.columns) if i != spans]
+            names = [c for i, c in enumerate(batch.schema.names) if i != spans]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
 
-    first, last = F.expr(f"start div {block}"), F.expr(f"(stop - 1) div {block}")
-    taken = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + words_of(b).cast("long"))
-    return chosen.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(F.lit(0).cast("long")).alias("taken"))
+def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each row's taken words, and
+    a further row for each time that words are taken again.  Rows of which
+    nothing is taken go."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "source", _size().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    found = _allocated(sized(docs), rows, weights, share, cap, block, seed)
+    flat = found.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], F.col("taken_blocks").alias("__blocks"))
+    return flat.mapInArrow(_texts(cap, docs.columns.index("text"), len(docs.columns)), docs.schema)
