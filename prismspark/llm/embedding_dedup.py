@@ -33,7 +33,7 @@ from prismspark.llm.components import components
 from prismspark.llm.storage import written
 from prismspark.llm.topk_search import finite
 
-COSINE, BLOCK_DIMS, SEED = 0.9, 11, 9
+COSINE, BLOCK_DIMS, SEED = 0.9, 16, 9
 #: Members of one tile of a slab.
 TILE = 32_768
 _SLACK = 1e-9
@@ -87,6 +87,18 @@ def _slabs(space: Subspaces, dims: int):
     return run
 
 
+def _hits(near: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a matrix that are at most ``limit``; few are, so eight at a
+    time are passed over."""
+    width = -(-near.shape[1] // 8) * 8
+    flags = np.zeros((len(near), width), bool)
+    np.less_equal(near, limit, out=flags[:, : near.shape[1]])
+    i, j = np.nonzero(flags.view(np.uint64))
+    i, j = np.repeat(i, 8), (j[:, None] * 8 + np.arange(8)).ravel()
+    keep = flags[i, j]
+    return i[keep], j[keep]
+
+
 def _compare(space: Subspaces, dims: int, cosine: float):
     def run(group: pa.Table) -> pa.Table:
         block, p, q = (group[c][0].as_py() for c in ("block", "p", "q"))
@@ -94,38 +106,52 @@ def _compare(space: Subspaces, dims: int, cosine: float):
         unit, turned = space.rotated(_matrix(group["vector"], dims))
         low, high = space.blocks[block]
         near, unit32 = turned[:, low:high].astype(np.float32), unit.astype(np.float32)
-        size = (near * near).sum(axis=1)
-        left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
-        limit = np.float32(space.budgets[block] + 1e-5)
+        size, one = (near * near).sum(axis=1, keepdims=True), np.ones((len(near), 1), np.float32)
+        # The product of these two is the squared distance.
+        from_, to = np.hstack([-2 * near, size, one]), np.hstack([near, one, size])
+        along = turned[:, min(low + 1, high - 1)]  # neighbours lie within the radius here too
+        limit, reach = np.float32(space.budgets[block] + 1e-5), space.widths[block]
         links, pairs_a, pairs_b = np.zeros(len(rep), np.int64), [], []
-        step = max(1, (4 << 20) // max(1, len(right)))
-        for at in range(0, len(left), step):
-            rows = left[at : at + step]
-            apart = size[rows][:, None] + size[right][None, :] - 2 * (near[rows] @ near[right].T)
-            i, j = np.nonzero(apart <= limit)
-            i, j = rows[i], right[j]
-            keep = ~(visits[i] & visits[j])
-            if p == q:
-                keep &= i < j
-            i, j = i[keep], j[keep]
-            for k in range(0, len(i), 1 << 18):
-                a, b = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-                close = np.einsum("ij,ij->i", unit32[a], unit32[b]) >= cosine - 1e-4
-                a, b = a[close], b[close]
-                dot, first = np.zeros(len(a)), np.full(len(a), -1)
-                for d in range(dims):
-                    dot += unit[a, d] * unit[b, d]
-                for c, (start, stop) in enumerate(space.blocks):
-                    gap = np.zeros(len(a))
-                    for d in range(start, stop):
-                        gap += (turned[a, d] - turned[b, d]) ** 2
-                    first[(first < 0) & (gap <= space.budgets[c])] = c
-                own = (dot >= cosine) & (first == block)
-                a, b = a[own], b[own]
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                pairs_a.append(a)
-                pairs_b.append(b)
+
+        def verify(a: np.ndarray, b: np.ndarray) -> None:
+            close = np.einsum("ij,ij->i", unit32[a], unit32[b]) >= cosine - 1e-4
+            a, b = a[close], b[close]
+            dot, first = np.zeros(len(a)), np.full(len(a), -1)
+            for d in range(dims):
+                dot += unit[a, d] * unit[b, d]
+            for c, (start, stop) in enumerate(space.blocks):
+                gap = np.zeros(len(a))
+                for d in range(start, stop):
+                    gap += (turned[a, d] - turned[b, d]) ** 2
+                first[(first < 0) & (gap <= space.budgets[c])] = c
+            own = (dot >= cosine) & (first == block)
+            a, b = a[own], b[own]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            pairs_a.append(a)
+            pairs_b.append(b)
+
+        def scan(left: np.ndarray, right: np.ndarray, same: bool) -> None:
+            left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
+            wanted, steps = np.ascontiguousarray(to[right]), along[right]
+            for at in range(0, len(left), 128):
+                rows = left[at : at + 128]
+                begin = max(at if same else 0, int(np.searchsorted(steps, along[rows[0]] - reach)))
+                end = int(np.searchsorted(steps, along[rows[-1]] + reach, "right"))
+                if begin >= end:
+                    continue
+                i, j = _hits(from_[rows] @ wanted[begin:end].T, limit)
+                if same:
+                    i, j = i[at + i < begin + j], j[at + i < begin + j]
+                for k in range(0, len(i), 1 << 18):
+                    verify(rows[i[k : k + (1 << 18)]], right[begin + j[k : k + (1 << 18)]])
+
+        home = [np.flatnonzero((tile == t) & ~visits) for t in (p, q)]
+        guest = [np.flatnonzero((tile == t) & visits) for t in (p, q)]
+        scan(home[0], home[1], p == q)
+        scan(home[0], guest[1], False)
+        if p != q:
+            scan(home[1], guest[0], False)
         a, b = np.concatenate([*pairs_a, np.zeros(0, int)]), np.concatenate([*pairs_b, np.zeros(0, int)])
         root = np.arange(len(rep))
         while len(a):
