@@ -10,8 +10,9 @@ candidates, and links are confirmed on full sets.
 
 Documents with equal sets are one class beforehand.  In a band's bucket every
 class is compared with the bucket's smallest; where that does not join the
-bucket into one component, the pairs across components are compared too, tile
-by tile, so no bucket is cut short and none is expanded into all its pairs.
+bucket into one component, its classes are compared across components by their
+full sets, tile by tile, and only the links that join components are returned;
+so no bucket is cut short and none is expanded into pairs.
 
 With 32 bands of 4 rows, a pair of similarity 0.8 is missed with probability
 (1 - 0.8^4)^32 < 1e-7.
@@ -39,7 +40,7 @@ from prismspark.llm.storage import small_batches, written
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 BANDS, ROWS, UNIVERSE, SEED = 32, 4, 1 << 20, 6
 HELD_WORDS = 300_000
-#: Members of one tile of a bucket that several components share.
+#: Classes of one tile of a group that several components share.
 TILE = 1_024
 
 
@@ -127,25 +128,52 @@ def _sets(width: int):
 
 
 def _across(group: pa.Table) -> pa.Table:
-    """Pairs of a bucket's two tiles that lie in different components and whose
-    sizes allow the similarity."""
+    """Links between different components among two tiles of a group, by full
+    sets: one for each pair of components that it joins.  Every row outside the
+    largest component is compared with all rows of other components at once."""
     p, q = group["p"][0].as_py(), group["q"][0].as_py()
-    rep, n, part, tile = (group[c].to_numpy() for c in ("rep", "n", "part", "tile"))
-    left, right = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left:
-        j = right[(part[right] != part[i]) & (np.minimum(n[right], n[i]) * DENOMINATOR >= np.maximum(n[right], n[i]) * NUMERATOR)]
-        j = j[rep[j] > rep[i]] if p == q else j
-        out_a.append(np.minimum(rep[i], rep[j]))
-        out_b.append(np.maximum(rep[i], rep[j]))
-    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+    rep, part, tile = (group[c].to_numpy() for c in ("rep", "part", "tile"))
+    lists = group["shingles"].combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values, codes = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    start = np.cumsum(size) - size
+    names, label = np.unique(part, return_inverse=True)
+    most = np.bincount(label).argmax()
+    sides = [np.flatnonzero(tile == p)] if p == q else [np.flatnonzero(tile == p), np.flatnonzero(tile == q)]
+    flat = [np.concatenate([codes[start[i] : start[i] + size[i]] for i in side]) if len(side) else codes[:0] for side in sides]
+    held = np.zeros(len(values), bool)
+    out: list[tuple[int, int]] = []
+    for k, side in enumerate(sides):
+        other, shingles = sides[-1 - k], flat[-1 - k]
+        if not len(other):
+            continue
+        bounds = np.cumsum(size[other]) - size[other]
+        for i in side:
+            if label[i] == most or (label[other] == label[i]).all():
+                continue
+            own = codes[start[i] : start[i] + size[i]]
+            held[own] = True
+            both = np.add.reduceat(held[shingles], bounds, dtype=np.int64)
+            held[own] = False
+            linked = (both * DENOMINATOR >= (size[i] + size[other] - both) * NUMERATOR) & (label[other] != label[i])
+            for j in other[linked]:
+                if label[j] != label[i]:
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    old, new = (label[i], label[j]) if label[j] == most else (label[j], label[i])
+                    label[label == old] = new
+            # Rows that joined the largest component are compared by the others.
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the given ids (doc_id), written once."""
+    texts = docs.select("doc_id", "text").join(written(ids.distinct(), "near-wanted"), "doc_id", "left_semi")
+    return written(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "near-sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(written(wanted, "near-wanted"), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "near-sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))), docs, width)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), shared.alias("both")).filter(F.col("both") * DENOMINATOR >= (F.col("nx") + F.col("ny") - F.col("both")) * NUMERATOR).select("a", "b")
@@ -167,18 +195,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     pairs = shared.filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
     links = written(_confirmed(written(pairs, "near-pairs"), docs, width), "near-links")
     reached = components(links)
-    # Buckets of more than two classes that are not one component yet.
+    # Buckets of more than two classes that are not one component yet; those
+    # with the same smallest class are one group.
     parts = shared.filter("members > 2").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-    parts = parts.select("key", "rep", "n", "a", "members", F.coalesce("component", "rep").alias("part"))
-    parts = written(parts, "near-parts")
+    parts = written(parts.select("key", "rep", "a", F.coalesce("component", "rep").alias("part")), "near-parts")
     mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
-    rest = parts.join(written(mixed, "near-mixed"), "key").filter("rep != a")
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    rest = rest.select("key", "rep", "n", "part", tiles.alias("tiles"), F.pmod(F.xxhash64("rep"), tiles).cast("int").alias("tile"))
-    rest = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")).withColumns({"p": F.least("tile", "o"), "q": F.greatest("tile", "o")})
-    more = written(rest.groupBy("key", "p", "q").applyInArrow(_across, "a long, b long").distinct(), "near-pairs")
-    if more.limit(1).count():
-        again = written(_confirmed(more, docs, width), "near-links")
+    rest = written(parts.join(written(mixed, "near-mixed"), "key").filter("rep != a").select("a", "rep", "part").distinct(), "near-rest")
+    if rest.limit(1).count():
+        tiles = rest.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+        dealt = rest.join(written(tiles, "near-tiles"), "a").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")).withColumns({"p": F.least("tile", "o"), "q": F.greatest("tile", "o")})
+        sets = _sets_of(rest.select(F.col("rep").alias("doc_id")), docs, width)
+        filled = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("a", "rep", "part", "tile", "p", "q", "shingles")
+        again = written(filled.groupBy("a", "p", "q").applyInArrow(_across, "a long, b long"), "near-links")
         if again.limit(1).count():
             reached = components(links.unionAll(again))
     known = classes.join(reached, F.col("rep") == F.col("node"), "left")
