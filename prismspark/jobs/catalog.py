@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from prismspark.jobs import spectral
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**spectral.QUERIES}
+ORACLE_SQL: dict[str, str] = {**spectral.ORACLE_SQL}
