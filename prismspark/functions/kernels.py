@@ -209,16 +209,15 @@ def _cylinder_bessel(z: np.ndarray, terms: int) -> list[np.ndarray]:
 
 
 def _cylinder_neumann(x: np.ndarray, j: list[np.ndarray], terms: int) -> list[np.ndarray]:
-    """Y_0 to Y_terms of real arguments: Y_0 by Neumann's series of the J's,
-    Y_1 by the Wronskian, the rest by upward recurrence."""
+    """Y_0 to Y_terms of real arguments: Y_0 and Y_1 by Neumann's series of the
+    J's, the rest by upward recurrence."""
     j = [v.real for v in j]
     y0 = 2 / np.pi * (np.log(x / 2) + np.euler_gamma) * j[0]
     for k in range(1, (len(j) - 1) // 2 + 1):
         y0 -= 4 / np.pi * (-1) ** k * j[2 * k] / k
-    # J_1 Y_0 - J_0 Y_1 = 2 / (pi x); where J_0 is small Y_1 comes from its own series.
-    y1 = -2 / (np.pi * x) + 2 / np.pi * (np.log(x / 2) + np.euler_gamma - 1) * j[1]
+    y1 = -2 / (np.pi * x) * j[0] + 2 / np.pi * (np.log(x / 2) + np.euler_gamma - 1) * j[1]
     for k in range(1, (len(j) - 2) // 2 + 1):
-        y1 -= 4 / np.pi * (-1) ** k * (2 * k + 1) / (2 * k * (k + 1)) * j[2 * k + 1]
+        y1 -= 2 / np.pi * (-1) ** k * (2 * k + 1) / (k * (k + 1)) * j[2 * k + 1]
     out = [y0, y1]
     for n in range(1, terms):
         out.append(2 * n / x * out[n] - out[n - 1])
@@ -251,7 +250,7 @@ def cylinder_efficiencies(m: np.ndarray, wavenumber: np.ndarray, radius: np.ndar
             t = t + weight * c * np.cos(n * theta)[:, None, None]
         ext, sca = ext + 2 / x * e / 2, sca + 2 / x * s / 2
         within = within + np.trapezoid(2 * np.abs(t) ** 2, theta, axis=0) * 2 / (np.pi * x) / 4
-    return ext, sca, within * 2
+    return ext, sca, within
 
 
 def scattered(x: np.ndarray, axis: np.ndarray, radius: np.ndarray, n0: np.ndarray, absorb: np.ndarray, h: np.ndarray, mix: np.ndarray, shape: str = "sphere", angle: float = 0.6) -> np.ndarray:
