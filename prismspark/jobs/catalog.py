@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismspark.jobs import spectral
+from prismspark.jobs import relational, spectral
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**spectral.QUERIES}
-ORACLE_SQL: dict[str, str] = {**spectral.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**spectral.QUERIES, **relational.QUERIES}
+ORACLE_SQL: dict[str, str] = {**spectral.ORACLE_SQL, **relational.ORACLE_SQL}
