@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismspark.llm.components import components
-from prismspark.llm.storage import small_batches, written
+from prismspark.llm.storage import fresh, small_batches, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 BANDS, ROWS, UNIVERSE, SEED = 32, 4, 1 << 20, 6
@@ -220,12 +220,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without those that ``near_duplicates`` does not keep; rows that
     repeat an id are folded into one.  All columns are kept."""
-    found = near_duplicates(docs, width)
-    gone = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice"))
-    repeated = written(repeated, "near-repeated")
+    found, gone, twice = near_duplicates(docs, width), fresh(docs, "__gone"), fresh(docs, "__twice")
+    out = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct(), "near-gone")
+    kept = docs.join(out, F.col("doc_id") == F.col(gone), "left_anti")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(twice + "n"))
+    repeated = written(repeated.filter(F.col(twice + "n") > 1).select(F.col("doc_id").alias(twice)), "near-repeated")
     if not repeated.limit(1).count():
         return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(once)
+    once = kept.join(repeated, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, F.col("doc_id") == F.col(twice), "left_anti").unionByName(once)

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismspark.llm.storage import written
+from prismspark.llm.storage import fresh, written
 
 #: Candidate rows up to which they are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -249,17 +249,18 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULE
     (start, ord, kind, end) over all rules, by start, then rule."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = written(candidates(docs.select("doc_id", text.alias("text")), rules), "secret-candidates")
-    side = found.select(F.col("doc_id").alias("__candidate"), F.col("rules").alias("__rules"))
+    ident, held = fresh(docs, "__candidate"), fresh(docs, "__rules")
+    side = found.select(F.col("doc_id").alias(ident), F.col("rules").alias(held))
     if found.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col("__candidate")), "left")
+    marked = docs.join(side, F.col("doc_id").eqNullSafe(F.col(ident)), "left")
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     columns = []
     for k, rule in enumerate(rules):
-        found_by_index = F.coalesce(F.col("__rules").bitwiseAND(F.lit(1 << k)) != 0, F.lit(False))
+        found_by_index = F.coalesce(F.col(held).bitwiseAND(F.lit(1 << k)) != 0, F.lit(False))
         test = F.lit(True) if trigram_query(rule.regex) is None else found_by_index
         columns.append(F.when(test & text.rlike(rule.regex), _spans(text, rule, k)).otherwise(none))
-    return marked.withColumn(name, F.array_sort(F.concat(*columns))).drop("__candidate", "__rules")
+    return marked.withColumn(name, F.array_sort(F.concat(*columns))).drop(ident, held)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -275,7 +276,8 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``with_spans`` replaced by ``mask``: all rows
     and columns are kept, a null text stays null, overlapping spans merge."""
-    text, spans = F.col("text"), F.col("__spans")
+    name = fresh(docs, "__spans")
+    text, spans = F.col("text"), F.col(name)
 
     def cut(acc: Column, x: Column) -> Column:
         part = F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
@@ -284,5 +286,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(spans, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    marked = with_spans(docs, rules, "__spans")
+    marked = with_spans(docs, rules, name)
     return marked.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from prismspark.llm.storage import small_batches, written
+from prismspark.llm.storage import fresh, small_batches, written
 
 TRAIN_ROWS, FEATURES, LEAST_DOCS = 20_000, 4_096, 4
 THRESHOLD = 0.7
@@ -147,12 +147,13 @@ def fit(train: DataFrame, features: int = FEATURES, fairness: float = FAIRNESS,
 
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
-    """``docs`` with a column ``__score``; all rows and columns are kept."""
+    """``docs`` with the score as a further, last column; all rows and columns
+    are kept."""
     small_batches(docs.sparkSession)
     names = sorted(weights)
     index, values = {f: i for i, f in enumerate(names)}, [weights[f] for f in names]
     sent = docs.sparkSession.sparkContext.broadcast((index, values, bias))  # FEATURES entries
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), fresh(docs, "__score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, values, bias = sent.value
@@ -171,9 +172,9 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
                 out.append(1 / (1 + float(np.exp(-max(-30.0, min(30.0, x))))))
                 if len(known) > HELD_WORDS:
                     known.clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -191,4 +192,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     small_batches(docs.sparkSession)
     train = written(training_rows(docs, labels, train_rows), "toxic-train")
     weights, bias = fit(train)
-    return score(docs, weights, bias).filter(F.col("__score") < THRESHOLD).drop("__score")
+    scored = score(docs, weights, bias)
+    return scored.filter(F.col(scored.columns[-1]) < THRESHOLD).drop(scored.columns[-1])
