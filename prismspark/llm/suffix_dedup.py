@@ -6,6 +6,7 @@ hash, and equal strings hold it at the same place; so only the suffixes that
 begin at such anchors are sorted, and of those only the ones whose gram occurs
 twice in the corpus, which grams counted by hash tell.
 
+0. Documents that copy a whole earlier one are covered at once.
 1. Gram counts: (gram hash, occurrences) summed over the corpus.
 2. Each document gets its anchors of repeated grams.
 3. Each task sorts its suffixes (cut at ``LENGTH`` bytes) into runs, one for
@@ -46,7 +47,8 @@ LENGTH, GRAM = 100, 32
 HOT = 256
 #: Anchors that one part of the merge aims at, and that one run holds at most.
 PART, RUN = 16_384, 200_000
-#: Documents with spans up to which these are broadcast; beyond it the join shuffles.
+#: Copies, and spans and their documents, up to which these are broadcast (some
+#: 16 MB); beyond it the join shuffles.
 BROADCAST_DOCS = 500_000
 _ODD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -202,11 +204,12 @@ def _runs(length: int, gram: int, parts: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 ahead, size = x["ahead"][a:b], x["size"][a:b]
                 prefix = shared_prefixes(ahead, size)
-                column = np.arange(length)
+                column, before = np.arange(length), x["behind"][a:b]
                 tail = ahead[(column >= prefix[:, None]) & (column < size[:, None])]
+                before = before[np.arange(behind) < x["high"][a:b, None]]
                 blob = _pack(
                     prefix=prefix.astype(np.uint8), size=size.astype(np.uint8), doc=x["doc"][a:b], at=x["at"][a:b], low=x["low"][a:b].astype(np.uint8), high=x["high"][a:b].astype(np.uint8),
-                    tail=pa.array([tail.tobytes()] + [None] * (b - a - 1), pa.binary()), behind=pa.array([x["behind"][a:b].tobytes()] + [None] * (b - a - 1), pa.binary()),
+                    tail=pa.array([tail.tobytes()] + [None] * (b - a - 1), pa.binary()), behind=pa.array([before.tobytes()] + [None] * (b - a - 1), pa.binary()),
                 )
                 yield out([(int(part[a]), 0, blob)])
 
@@ -252,13 +255,15 @@ def _runs(length: int, gram: int, parts: int):
                     hot.append([one, two, ids[np.repeat(f["doc"], f["count"])], at - np.repeat(base, f["count"])])
                 else:
                     end = anchors.bounds[f["doc"] + 1]
-                    size = np.minimum(length, end - f["at"])
+                    high = f["at"] - f["first"]
+                    low = high - f["count"] + 1
+                    # No string around the anchor reaches further than this.
+                    size = np.minimum(length - low, end - f["at"])
                     column = np.arange(length)
                     ahead = np.where(column < size[:, None], anchors.data[np.minimum(f["at"][:, None] + column, len(anchors.data) - 1)], 0).astype(np.uint8)
                     back = f["at"][:, None] - 1 - np.arange(behind)
                     before = np.where(back >= base[:, None], anchors.data[np.maximum(back, 0)], 0).astype(np.uint8)
-                    high = f["at"] - f["first"]
-                    held.append({"gram": f["gram"], "ahead": ahead, "size": size, "behind": before, "doc": ids[f["doc"]], "at": f["at"] - base, "low": high - f["count"] + 1, "high": high})
+                    held.append({"gram": f["gram"], "ahead": ahead, "size": size, "behind": before, "doc": ids[f["doc"]], "at": f["at"] - base, "low": low, "high": high})
             if sum(len(h["at"]) for h in held) > RUN:
                 yield from flush_runs()
             if sum(len(h[0]) for h in hot) > 8 * RUN:
@@ -370,7 +375,10 @@ def _merge(length: int, gram: int):
             pick = np.array([offset[r] + i for r, i in order])
             all_ = pa.concat_tables([t.select(["size", "doc", "at", "low", "high"]) for t in tables])
             doc, at, low, high = (all_[c].to_numpy()[pick].astype(np.int64) for c in ("doc", "at", "low", "high"))
-            before = np.concatenate([np.frombuffer(t["behind"][0].as_py(), np.uint8).reshape(-1, behind) for t in tables])[pick]
+            before = np.zeros((len(pick), behind), np.uint8)
+            sizes = np.concatenate([t["high"].to_numpy() for t in tables])
+            before[np.arange(behind) < sizes[:, None]] = np.concatenate([np.frombuffer(t["behind"][0].as_py(), np.uint8) for t in tables])
+            before = before[pick]
             spans += list(_covered(np.array(prefixes), before, doc, at, low, high, length))
         doc, start, stop = _joined(*(np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*spans, strict=True))) if spans else (np.zeros(0, np.int64),) * 3
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
@@ -406,12 +414,35 @@ def _covered(prefixes: np.ndarray, before: np.ndarray, doc: np.ndarray, at: np.n
             two ^= two >> np.uint64(29)
 
 
+def exact_copies(texts: DataFrame) -> DataFrame:
+    """(doc_id, n) of documents whose whole text also stands in a document with
+    a smaller id; n: its bytes."""
+    digests = written(texts.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n")), "suffix-digests")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return written(digests.join(written(firsts, "suffix-firsts"), "digest").filter("doc_id > first").select("doc_id", "n").distinct(), "suffix-copies")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = batch.column(1)
+        which = np.repeat(np.arange(len(spans)), spans.value_lengths().to_numpy(zero_copy_only=False))
+        flat = spans.flatten()
+        row, start, stop = _joined(which, flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False))
+        bounds = np.searchsorted(row, np.arange(len(spans) + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop, pa.int64())], ["start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)], names=["doc_id", "spans"])
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, part: int = PART) -> DataFrame:
     """(doc_id, spans): the byte spans of each document (start, stop) that are
-    covered by strings that also start earlier; documents without any have no
-    row.  Spans of a document may touch or overlap."""
+    covered by strings that also start earlier, in order and apart; documents
+    without any have no row."""
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    # A whole copy needs no suffixes: all its strings start earlier.
+    copies = exact_copies(texts)
+    gone = copies.select("doc_id")
+    texts = texts.join(F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone, "doc_id", "left_anti")
     grams = texts.mapInArrow(_grams(length, gram), "gram long, doc_id long, n long")
     counts = grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram", (F.col("n") > hot).alias("often"))
     marked = grams.select("gram", "doc_id").join(written(counts, "suffix-grams"), "gram")
@@ -421,7 +452,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     parts = max(1, -(-total // part))
     runs = texts.join(lists, "doc_id").select("doc_id", "text", "grams").mapInArrow(_runs(length, gram, parts), "part int, kind int, blob binary")
     spans = runs.groupBy("part").applyInArrow(_merge(length, gram), "doc_id long, start long, stop long")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = spans.unionByName(copies.filter(F.col("n") >= length).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # a document's own spans
+    return spans.mapInArrow(_merged, "doc_id long, spans array<struct<start:bigint,stop:bigint>>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +484,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     row.  kept_text is the text of the remaining bytes; where a cut falls within
     a character, its rest shows as replacement characters."""
     spans = written(repeated_spans(docs, length, gram), "suffix-spans").withColumnRenamed("doc_id", "__id")
-    if spans.count() <= BROADCAST_DOCS:
+    if (spans.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= BROADCAST_DOCS:
         spans = F.broadcast(spans)
     rows = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
