@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismspark.llm.storage import small_batches, written
+from prismspark.llm.storage import map_rows, small_batches, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -207,4 +207,4 @@ def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     rows = docs.select("doc_id", "source", _size().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     found = _allocated(sized(docs), rows, weights, share, cap, block, seed)
     flat = found.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], F.col("taken_blocks").alias("__blocks"))
-    return flat.mapInArrow(_texts(cap, docs.columns.index("text"), len(docs.columns)), docs.schema)
+    return map_rows(flat, _texts(cap, docs.columns.index("text"), len(docs.columns)), docs.schema.fields)

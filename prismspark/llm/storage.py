@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS = 512
@@ -53,3 +55,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def map_rows(df: DataFrame, run: Callable, fields: list[StructField]) -> DataFrame:
+    """``df.mapInArrow(run)`` to ``fields`` by place, whatever the columns of
+    ``df`` are called: dots and repeated names in them do no harm."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(fields)])
+    return plain.mapInArrow(run, out).toDF(*[f.name for f in fields])

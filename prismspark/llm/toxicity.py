@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from prismspark.llm.storage import fresh, small_batches, written
+from prismspark.llm.storage import fresh, map_rows, small_batches, written
 
 TRAIN_ROWS, FEATURES, LEAST_DOCS = 20_000, 4_096, 4
 THRESHOLD = 0.7
@@ -172,10 +172,9 @@ def score(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
                 out.append(1 / (1 + float(np.exp(-max(-30.0, min(30.0, x))))))
                 if len(known) > HELD_WORDS:
                     known.clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, f"c{len(batch.columns)}"])
 
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, [*docs.schema.fields, StructField(name, DoubleType())])
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
