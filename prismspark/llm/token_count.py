@@ -19,6 +19,7 @@ count each; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from prismspark.llm.storage import small_batches
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Units that a worker keeps before it lets them go.
-HELD_UNITS = 200_000
+HELD_UNITS = 500_000
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
@@ -60,37 +61,46 @@ class Counter:
         self.bytes = all(f"<0x{b:02X}>" in {p for p, _ in pieces} for b in range(256))
 
     def unit(self, text: str) -> tuple[float, int]:
-        n = len(text)
-        best, count = [None] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        at: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            at[end].append(match)
-        for end in range(n):
-            top, pieces, single = None, 0, False
-            for size, score in sorted(at[end], reverse=True):  # longest first: it starts first
-                single |= size == 1
-                value = best[end + 1 - size] + score
-                if top is None or value > top:
-                    top, pieces = value, count[end + 1 - size] + 1
-            if not single:
-                value = best[end] + self.unknown
-                if top is None or value > top:
-                    top, pieces = value, count[end] + (len(text[end].encode("utf-8", "surrogatepass")) if self.bytes else 1)
-            best[end + 1], count[end + 1] = top, pieces
+        """Matches come by their end, the longest (which starts first) before
+        the others; a place is closed once all that end there are seen."""
+        n, at, top, pieces, single = len(text), 0, None, 0, False
+        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), self.unknown
+        for end, (size, score) in self.automaton.iter(text):
+            while at < end:
+                if not single and (top is None or best[at] + unknown > top):
+                    top, pieces = best[at] + unknown, count[at] + self.unknown_pieces(text[at])
+                at += 1
+                best[at], count[at], top, single = top, pieces, None, False
+            value = best[end + 1 - size] + score
+            if top is None or value > top:
+                top, pieces = value, count[end + 1 - size] + 1
+            single |= size == 1
+        while at < n:
+            if not single and (top is None or best[at] + unknown > top):
+                top, pieces = best[at] + unknown, count[at] + self.unknown_pieces(text[at])
+            at += 1
+            best[at], count[at], top, single = top, pieces, None, False
         return best[n], count[n]
 
+    def unknown_pieces(self, c: str) -> int:
+        return len(c.encode("utf-8", "surrogatepass")) if self.bytes else 1
+
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, score) of every row under the vocabulary at ``path``."""
     small_batches(docs.sparkSession)
     pieces = load_pieces(path)
-    cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if splits_at_marks(pieces) else re.compile("(?s).+")
+    cut = re.compile("(?s).+")
+    if splits_at_marks(pieces):
+        # A line end that no piece holds is a unit of its own.
+        alone = "" if any("\n" in p for p, _ in pieces) else "\n"
+        cut = re.compile(f"{alone}|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
     sent = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary file's size
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, known = Counter(sent.value), {}
+        gc.disable()  # the table holds no cycles, and is large to walk
         for batch in batches:
             counts, scores = [], []
             for text in batch.column(1).to_pylist():
@@ -106,5 +116,6 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 if len(known) > HELD_UNITS:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], schema=schema)
+        gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
