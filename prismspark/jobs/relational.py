@@ -209,11 +209,103 @@ def smoothed_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").cast("long").alias("step"), F.round(F.avg(F.col("value").cast("double")).over(w), 6).alias("smooth"))
 
 
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of each label in each part of the split."""
+    split = sampling.label_split(_orders(spark, sf_dir), "label", "image", 0.7, 5)
+    return split.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def attribute_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images by optional attribute lists; a missing attribute fails."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("image"), F.col("c_mktsegment").alias("rock"), F.col("c_nationkey").cast("long").alias("condition"))
+    return c.filter(F.col("rock").isin("BUILDING", "MACHINERY") & F.col("condition").isin(1, 2, 3, 5, 8))
+
+
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of each image's label in a vocabulary; unknown labels have none."""
+    vocabulary = spark.createDataFrame([("F", 0), ("O", 1)], "label string, idx long")
+    return _orders(spark, sf_dir).join(F.broadcast(vocabulary), "label", "left").select("image", "label", "idx")  # a row a class
+
+
+def prediction_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions joined to truth by image and pixel, with images whose counts differ marked."""
+    from prismspark.functions import native
+
+    rows = spectra(spark, sf_dir)
+    pred = rows.filter(F.get("x", F.lit(0)) > -0.2).select("image", "px", native.argmax(F.slice("x", 1, 10)).cast("long").alias("pred"))
+    return evaluate.matched(pred, rows.select("image", "px", F.col("y").alias("gt")))
+
+
+def image_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pixels(spark, sf_dir).select("image", "patient", F.col("class").alias("gt"), F.when(F.col("value") > 25, "N").otherwise("A").alias("pred"))
+    return p.groupBy("image").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.avg(evaluate.hit()), 6).alias("accuracy"))
+
+
+def name_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean over a patient's images of their accuracies."""
+    p = pixels(spark, sf_dir).select("image", "patient", F.col("class").alias("gt"), F.when(F.col("value") > 25, "N").otherwise("A").alias("pred"))
+    per = p.groupBy("patient", "image").agg(F.avg(evaluate.hit()).alias("a"))
+    return per.groupBy("patient").agg(F.round(F.avg("a"), 6).alias("accuracy"), F.count(F.lit(1)).alias("images"))
+
+
+def class_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes that only one of two vocabularies has, or that stand elsewhere in it."""
+    p = pixels(spark, sf_dir)
+    one = p.filter("value < 25").select("class").distinct().withColumn("i", F.row_number().over(Window.orderBy("class")))  # classes are few
+    two = p.filter("value >= 10").select("class").distinct().withColumn("j", F.row_number().over(Window.orderBy("class")))
+    both = one.join(two, "class", "full")
+    return both.agg(F.count(F.when(~F.col("i").eqNullSafe(F.col("j")), 1)).alias("differences"), F.count(F.lit(1)).alias("classes"))
+
+
+def sampled_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows available and taken for each label."""
+    rows = _events(spark, sf_dir)
+    taken = sampling.water_fill(rows, "label", "core", "event_id", BUDGET, 1).groupBy("label").agg(F.count(F.lit(1)).alias("taken"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("available")).join(taken, "label", "left").select("label", "available", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def shared_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, seed) that both arms have."""
+    t = trials(spark, sf_dir)
+    return t.filter("arm = 0").select("n", "seed").intersect(t.filter("arm = 1").select("n", "seed"))
+
+
+def missing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of each arm that it never predicts."""
+    t = trials(spark, sf_dir)
+    return t.select("arm", F.col("gt").alias("class")).distinct().exceptAll(t.select("arm", F.col("pred").alias("class")).distinct())
+
+
+def fit_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed pool of 45 spectra, at most 5 a class, by a seed of its own."""
+    even = sampling.water_fill(spectra(spark, sf_dir), "y", "image", "vec_id", 5, 21)
+    return even.orderBy(order_key(F.col("vec_id"), 22), "vec_id").limit(45).select("vec_id", "y")
+
+
+def prediction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored form of predictions: best class, background share, best three."""
+    from prismspark.functions import native
+
+    rows = spectra(spark, sf_dir).select(F.lit("t").alias("trial_id"), "image", "px", "vec_id", "y", native.softmax(F.slice("x", 1, 10)).alias("probs"))
+    kept = predictions.records(rows, 3)
+    top = F.transform("top_k", lambda s: s["cls"].cast("string"))
+    return kept.select("image", "px", F.col("argmax").cast("long").alias("argmax"), F.round(F.col("bg_prob").cast("double"), 4).alias("bg_prob"), F.array_join(top, ",").alias("top"), F.col("true_label").cast("long").alias("true_label"))
+
+
+def study_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A study's finished trials with plain column names, the best first."""
+    raw = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("params_id"), F.col("event_type").alias("params_kind"), F.col("value").cast("double").alias("value"), F.col("user_id").alias("datetime_start"))
+    named = raw.filter("params_kind != 'error'").drop("datetime_start").withColumnsRenamed({c: c.removeprefix("params_") for c in raw.columns if c != "datetime_start"})
+    return named.orderBy(F.desc("value"), "id").limit(10).select("id", "kind", F.round("value", 6).alias("value"))
+
+
 QUERIES = {f.__name__: f for f in (
     waterfill_sample, waterfill_quota, hyperspectral_sample, signal_background_filter, patient_split, split_leakage, label_split, test_subsample, balanced_batch,
     dominant_class, class_histogram_pct, class_per_image, accuracy_per_class, accuracy_summary, accuracy_by_n, paired_delta, confusion_pct, normalised_error,
     median_core_size, value_histogram, early_stop_wait, sweep_best, schedule_strength, safe_names, missing_images, trial_id_build, image_listing, image_shapes,
     pixel_range, class_subset, background_exclusion, augmentation_mask, search_space, param_importance, metric_log, smoothed_metric,
+    label_counts, attribute_filter, label_lookup, prediction_truth, image_accuracy, name_accuracy, class_order_check, sampled_counters, shared_seeds,
+    missing_classes, fit_pool, prediction_records, study_columns,
 )}
 
 _EV = "ev as (select event_type as label, cast(user_id as bigint) as core, cast(event_id as bigint) as event_id, cast(value as double) as value from events)"
@@ -222,6 +314,7 @@ _OR = "o as (select cast(o_orderkey as bigint) as image, cast(o_custkey as bigin
 _TR = """t as (select cast(pow(2, 5 + event_id % 5) as bigint) as n, cast(user_id % 3 as bigint) as seed, cast(event_id % 2 as bigint) as arm,
   cast(floor(event_id / 3.0) as bigint) % 4 as gt, cast(event_id % 4 as bigint) as pred, cast(event_id as bigint) as event_id from events)"""
 _HIT = "case when pred = gt then cast(1 as double) else cast(0 as double) end"
+_GUESS = "(case when value > 25 then 'N' else 'A' end)"
 _PER = f"p as (select n, seed, arm, avg({_HIT}) as a from t group by all)"
 _TEST = f"q as (select patient, row_number() over (order by {order_key_sql('patient', 4)}, patient) as r, count(*) over () as n from (select distinct patient from o))"
 _PART = f"{_OR}, {_TEST}, s as (select image, o.patient, case when r <= greatest(1, round_even(n * cast({RATIO} as double), 0)) then 'test' else 'train' end as part from o join q using (patient))"
@@ -285,4 +378,29 @@ ORACLE_SQL = {
       select trial, round(exp(ln(cast(0.00001 as double)) + u * (ln(cast(0.01 as double)) - ln(cast(0.00001 as double)))), 9) as learning_rate, cast([16, 32, 64][cast(floor(v * 3) as bigint) + 1] as bigint) as batch from d""",
     "metric_log": f"with {_EV} select label as key, round(max_by(value, event_id), 6) as last, round(max(value), 6) as best, count(*) as n from ev group by label",
     "smoothed_metric": "select cast(event_id as bigint) as step, round(avg(cast(value as double)) over (partition by event_type order by event_id rows between 2 preceding and 2 following), 6) as smooth from events",
+    "label_counts": f"""with {_OR}, r as (select *, row_number() over (partition by label order by {order_key_sql("image", 5)}, image) as r, count(*) over (partition by label) as n from o)
+      select case when r <= round_even(n * cast(0.7 as double), 0) then 'train' else 'test' end as part, label, count(*) as n from r group by 1, 2""",
+    "attribute_filter": "select cast(c_custkey as bigint) as image, c_mktsegment as rock, cast(c_nationkey as bigint) as condition from customer where c_mktsegment in ('BUILDING', 'MACHINERY') and c_nationkey in (1, 2, 3, 5, 8)",
+    "label_lookup": f"with {_OR} select image, label, cast(case label when 'F' then 0 when 'O' then 1 end as bigint) as idx from o",
+    "prediction_truth": """with e as (select vec_id % 25 as image, vec_id // 25 as px, cast(label as bigint) as gt, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings),
+      n as (select image, count(*) != count(*) filter (x[1] > cast(-0.2 as double)) as count_differs from e group by image)
+      select image, px, gt, cast(list_position(x[1:10], list_max(x[1:10])) - 1 as bigint) as pred, count_differs from e join n using (image) where x[1] > cast(-0.2 as double)""",
+    "image_accuracy": f"with {_PX} select image, count(*) as pixels, round(avg(case when class = {_GUESS} then cast(1 as double) else cast(0 as double) end), 6) as accuracy from px group by image",
+    "name_accuracy": f"""with {_PX}, i as (select patient, image, avg(case when class = {_GUESS} then cast(1 as double) else cast(0 as double) end) as a from px group by all)
+      select patient, round(avg(a), 6) as accuracy, count(*) as images from i group by patient""",
+    "class_order_check": f"""with {_PX}, a as (select class, row_number() over (order by class) as i from (select distinct class from px where value < 25)),
+      b as (select class, row_number() over (order by class) as j from (select distinct class from px where value >= 10))
+      select count(*) filter (i is distinct from j) as differences, count(*) as classes from a full join b using (class)""",
+    "sampled_counters": f"""with {_EV}, {_fill('ev', BUDGET, 1)}, k as (select label, count(*) as taken from w2 where k <= {BUDGET} group by label)
+      select label, count(*) as available, coalesce(max(taken), 0) as taken from ev left join k using (label) group by label""",
+    "shared_seeds": f"with {_TR} select n, seed from t where arm = 0 intersect select n, seed from t where arm = 1",
+    "missing_classes": f"with {_TR} select arm, gt as class from t except select arm, pred from t",
+    "fit_pool": f"""with e as (select vec_id, cast(label as bigint) as label, vec_id % 25 as core, vec_id as event_id from embeddings), {_fill('e', 5, 21)}
+      select vec_id, label as y from w2 where k <= 5 order by {order_key_sql("vec_id", 22)}, vec_id limit 45""",
+    "prediction_records": """with e as (select vec_id % 25 as image, vec_id // 25 as px, vec_id, label, list_transform(embedding[1:10], lambda v: cast(v as double)) as x from embeddings),
+      l as (select image, px, label, x, unnest(range(0, 10)) as c, unnest(list_transform(x, lambda v: exp(v - list_max(x)))) as s from e),
+      r as (select *, s / sum(s) over (partition by image, px) as p, row_number() over (partition by image, px order by s desc, c) as r from l)
+      select image, px, max(c) filter (r = 1) as argmax, round(max(cast(cast(p as float) as double)) filter (c = 0), 4) as bg_prob,
+        string_agg(cast(c as varchar), ',' order by r) filter (r <= 3) as top, cast(max(label) as bigint) as true_label from r group by image, px""",
+    "study_columns": "select cast(event_id as bigint) as id, event_type as kind, round(cast(value as double), 6) as value from events where event_type != 'error' order by cast(value as double) desc, event_id limit 10",
 }

@@ -94,3 +94,12 @@ def nearest_centroid(rows: DataFrame) -> DataFrame:
     scores = F.transform("centres", lambda s: F.struct(F.round(gap(F.col("x"), s["c"]), 9).alias("d"), s["cls"].alias("cls")))
     scored = rows.crossJoin(F.broadcast(centres))
     return scored.select("vec_id", F.col("y").alias("gt"), F.array_min(scores)["cls"].alias("pred"))
+
+
+def matched(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """(image, px, gt, pred, count_differs): predictions joined to truth by
+    pixel; an image with more truth than predictions is marked."""
+    n = truth.groupBy("image").agg(F.count(F.lit(1)).alias("__n"))
+    k = pred.groupBy("image").agg(F.count(F.lit(1)).alias("__k"))
+    counts = n.join(k, "image").select("image", (F.col("__n") != F.col("__k")).alias("count_differs"))
+    return pred.join(truth, ["image", "px"]).join(counts, "image").select("image", "px", "gt", "pred", "count_differs")
