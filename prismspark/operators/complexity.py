@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +35,23 @@ def spectral_entropy(rows: DataFrame) -> DataFrame:
 
 
 def covariance(rows: DataFrame) -> DataFrame:
-    """(i, j, c): sample covariance of channels.  Each row adds its products,
-    summed before the shuffle, so what moves is a row a channel pair and task."""
-    products = rows.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b"))
-    return products.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("c"))
+    """(i, j, c): sample covariance of channels.  Each task multiplies its
+    batches, centred on the overall mean, into one matrix; the matrices are
+    added, so a row a channel pair and task is all that moves."""
+    centre = [r["value"] for r in mean_spectrum(rows).orderBy("ch").collect()]  # a value a channel
+    mean, k = np.array(centre, float), len(centre)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((k, k)), 0
+        for batch in batches:
+            x = batch.column(0).drop_null()
+            part = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) - mean if len(x) else np.zeros((0, k))
+            total, n = total + part.T @ part, n + len(part)
+        i, j = np.divmod(np.arange(k * k), max(k, 1))
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j, "s": total.ravel(), "n": np.full(k * k, n)})
+
+    sums = rows.select("x").mapInArrow(products, "i long, j long, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select("i", "j", F.try_divide("s", F.col("n") - 1).alias("c"))
 
 
 def participation_ratio(rows: DataFrame) -> DataFrame:
