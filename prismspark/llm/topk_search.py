@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from prismspark.llm.storage import written
 
 SCALE, TOP = 256, 5
-CANDIDATE_BLOCK, QUERY_BLOCK = 8_192, 512
+#: Least and largest number of vectors in a block.  Larger blocks move fewer
+#: copies of them, smaller ones keep more tasks busy.
+CANDIDATE_BLOCK, QUERY_BLOCK = (8_192, 65_536), (512, 8_192)
 
 
 def finite(vector: Column) -> Column:
@@ -77,6 +79,11 @@ def _accumulate(k: int, scale: int):
     return run
 
 
+def _blocks(n: int, wanted: int, size: tuple[int, int]) -> int:
+    """How many blocks n vectors make: ``wanted``, within the sizes allowed."""
+    return max(1, -(-n // min(size[1], max(size[0], n // wanted))))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id,
     embedding) that ``is_query`` names, its k best among all others by inner
@@ -85,7 +92,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCAL
     rows = rows.groupBy(F.col("vec_id").alias("id")).agg(F.min("embedding").alias("vector"))
     rows = written(rows.withColumn("asked", F.coalesce(is_query, F.lit(False))), "search-vectors")
     n = rows.agg(F.count(F.lit(1)), F.sum(F.col("asked").cast("int"))).first()
-    blocks, query_blocks = max(1, -(-n[0] // CANDIDATE_BLOCK)), max(1, -(-(n[1] or 0) // QUERY_BLOCK))
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    blocks, query_blocks = _blocks(n[0], tasks, CANDIDATE_BLOCK), _blocks(n[1] or 0, 4, QUERY_BLOCK)
     candidates = rows.select("id", "vector", F.lit(False).alias("query"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
     queries = rows.filter("asked").select("id", "vector", F.lit(True).alias("query"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("c"), F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(query_blocks)).cast("int").alias("q"))
     found = candidates.unionByName(queries).groupBy("c", "q").applyInArrow(_accumulate(k, scale), "query_id long, vec_id long, score long")

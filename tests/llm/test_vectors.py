@@ -34,7 +34,7 @@ def usable(frame):
     return out
 
 
-@pytest.mark.parametrize("blocks", [(8192, 512), (37, 2)])
+@pytest.mark.parametrize("blocks", [(topk_search.CANDIDATE_BLOCK, topk_search.QUERY_BLOCK), ((37, 37), (2, 2))])
 def test_search_equals_brute_force(vectors, blocks, monkeypatch):
     monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", blocks[0])
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", blocks[1])
