@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismspark.llm.components import components
@@ -227,5 +227,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     repeated = written(repeated.filter(F.col(twice + "n") > 1).select(F.col("doc_id").alias(twice)), "near-repeated")
     if not repeated.limit(1).count():
         return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id"])
+    rank = fresh(docs, "__rank")
+    order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    once = kept.join(repeated, F.col("doc_id") == F.col(twice), "left_semi").withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
     return kept.join(repeated, F.col("doc_id") == F.col(twice), "left_anti").unionByName(once)
