@@ -45,6 +45,8 @@ from prismspark.llm.storage import small_batches, written
 LENGTH, GRAM = 100, 32
 #: Occurrences from which a gram's strings are keyed one by one.
 HOT = 256
+#: Documents of an Arrow batch: each byte costs some 60 while anchors are sought.
+BATCH_ROWS = 128
 #: Anchors that one part of the merge aims at, and that one run holds at most.
 PART, RUN = 16_384, 200_000
 #: Copies, and spans and their documents, up to which these are broadcast (some
@@ -437,7 +439,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """(doc_id, spans): the byte spans of each document (start, stop) that are
     covered by strings that also start earlier, in order and apart; documents
     without any have no row."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_ROWS)
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     # A whole copy needs no suffixes: all its strings start earlier.
     copies = exact_copies(texts)
@@ -450,7 +452,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     lists = written(lists, "suffix-anchors")
     total = lists.agg(F.sum(F.size("grams"))).first()[0] or 0
     parts = max(1, -(-total // part))
-    runs = texts.join(lists, "doc_id").select("doc_id", "text", "grams").mapInArrow(_runs(length, gram, parts), "part int, kind int, blob binary")
+    # In order of ids, so that a task that runs again makes the same runs.
+    filled = texts.join(lists, "doc_id").select("doc_id", "text", "grams").sortWithinPartitions("doc_id")
+    runs = filled.mapInArrow(_runs(length, gram, parts), "part int, kind int, blob binary")
     spans = runs.groupBy("part").applyInArrow(_merge(length, gram), "doc_id long, start long, stop long")
     spans = spans.unionByName(copies.filter(F.col("n") >= length).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # a document's own spans
