@@ -21,6 +21,7 @@ import json
 import mmap
 import re
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +35,9 @@ from prismspark.llm.storage import small_batches, written
 
 #: Words in the lexicon at most; it bounds what is broadcast (a few MB).
 LEXICON_WORDS = 100_000
-#: Words that a worker counts or keeps before it lets them go.
-HELD_WORDS = 400_000
+#: Words that a worker counts or keeps before it lets them go; half of them where
+#: ids are packed too.
+HELD_WORDS = 450_000
 
 #: Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -49,7 +51,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-_MEETING = re.compile(r"\s\s")
+_MEETING, _MARKS = re.compile(r"\s\s"), frozenset(".,;:!?|-")
 
 
 class Vocabulary:
@@ -292,6 +294,17 @@ def pieces_of(pattern, special: dict[str, int], text: str) -> list[str]:
     return _split(pattern, special, text) if found is None else found
 
 
+def words_in(pattern, piece: str) -> list[str]:
+    """Words of a piece; plain letters, and letters before one mark of
+    punctuation, need no pattern."""
+    body = piece[1:] if piece[0] == " " else piece
+    if body.isalpha():
+        return [piece]
+    if body[-1:] in _MARKS and body[:-1].isalpha():
+        return [piece[:-1], body[-1]]
+    return pattern.findall(piece)
+
+
 def frequent_words(docs: DataFrame, special: dict[str, int], n: int = LEXICON_WORDS) -> DataFrame:
     """(word, n) of words by their count in all texts: those from the least
     count on at which at most ``n`` words are left.  Workers count first, so
@@ -304,7 +317,7 @@ def frequent_words(docs: DataFrame, special: dict[str, int], n: int = LEXICON_WO
         def out() -> pa.RecordBatch:
             words: dict[str, int] = {}
             for piece, k in held.items():
-                for w in [piece] if piece in special else pattern.findall(piece):
+                for w in [piece] if piece in special else words_in(pattern, piece):
                     words[w] = words.get(w, 0) + k
             held.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
@@ -335,17 +348,19 @@ class Encoder:
     """Encodes pieces in one worker, by the lexicon and else by exact merges;
     what it met stays in bounded tables."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: bytes):
+    def __init__(self, vocab: Vocabulary, lexicon: bytes, packed: bool = False):
+        self.packed, self.limit = packed, HELD_WORDS // (2 if packed else 1)
         self.vocab, self.lexicon, self.merger, self.pattern = vocab, Lexicon(lexicon), Merger(vocab), regex.compile(PATTERN)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.words: dict[str, tuple[str, int, bytes]] = {}
+        # Ids joined by commas, their number, their bytes decoded; with packed, the ids as 32-bit numbers.
+        self.known: dict[str, tuple] = {}
+        self.words: dict[str, tuple] = {}
         self.digits = {i: str(i) for i in vocab.pieces}
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > HELD_WORDS:
+        if len(self.known) + len(pieces) > self.limit:
             self.known.clear()
             self.words.clear()
-        cut = {p: [p] if p in self.vocab.special else self.pattern.findall(p) for p in pieces}
+        cut = {p: [p] if p in self.vocab.special else words_in(self.pattern, p) for p in pieces}
         fresh = list({w for words in cut.values() for w in words}.difference(self.words))
         raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
         decode, digits = self.vocab.pieces, self.digits
@@ -356,30 +371,36 @@ class Encoder:
         for w, ids in zip(fresh, found, strict=True):
             if w in self.vocab.special:
                 ids = [self.vocab.special[w]]
-            self.words[w] = (",".join([digits[i] for i in ids]), len(ids), b"".join([decode[i] for i in ids]))
+            entry = (",".join([digits[i] for i in ids]), len(ids), b"".join([decode[i] for i in ids]))
+            self.words[w] = (*entry, array("i", ids).tobytes()) if self.packed else entry
         for p, words in cut.items():
             if len(words) == 1:
                 self.known[p] = self.words[words[0]]
+            elif len(words) == 2:
+                a, b = self.words[words[0]], self.words[words[1]]
+                entry = (a[0] + "," + b[0], a[1] + b[1], a[2] + b[2])
+                self.known[p] = (*entry, a[3] + b[3]) if self.packed else entry
             else:
-                ids, sizes, decoded = zip(*[self.words[w] for w in words], strict=True)
-                self.known[p] = (",".join(ids), sum(sizes), b"".join(decoded))
+                ids, sizes, *raw = zip(*[self.words[w] for w in words], strict=True)
+                self.known[p] = (",".join(ids), sum(sizes), *map(b"".join, raw))
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, decoded bytes) of each text."""
+    def encode(self, texts: list[str | None]) -> Iterator[tuple]:
+        """(number of ids, ids joined by commas, decoded bytes) of each text;
+        with packed also the ids as 32-bit numbers."""
         cut = [pieces_of(self.pattern, self.vocab.special, t) if t else [] for t in texts]
         pieces = set().union(*cut)
         missing = pieces.difference(self.known)
         if missing:
-            self.learn(missing if len(self.known) + len(missing) <= HELD_WORDS else pieces)
+            self.learn(missing if len(self.known) + len(missing) <= self.limit else pieces)
         for own in cut:
             if not own:
-                yield 0, "", b""
+                yield (0, "", b"", b"") if self.packed else (0, "", b"")
                 continue
-            ids, sizes, raw = zip(*map(self.known.__getitem__, own), strict=True)
-            yield sum(sizes), ",".join(ids), b"".join(raw)
+            ids, sizes, *raw = zip(*map(self.known.__getitem__, own), strict=True)
+            yield sum(sizes), ",".join(ids), *map(b"".join, raw)
 
 
-def _encoder(docs: DataFrame, path: str, lexicon_words: int):
+def _encoder(docs: DataFrame, path: str, lexicon_words: int, packed: bool):
     small_batches(docs.sparkSession)
     vocab = Vocabulary(path)
     rows = frequent_words(docs, vocab.special, lexicon_words).collect()  # LEXICON_WORDS rows at most
@@ -390,7 +411,7 @@ def _encoder(docs: DataFrame, path: str, lexicon_words: int):
     def make() -> Encoder:
         own = Vocabulary.__new__(Vocabulary)
         own.__dict__.update(sent.value[0])
-        return Encoder(own, sent.value[1])
+        return Encoder(own, sent.value[1], packed)
 
     return make
 
@@ -398,7 +419,7 @@ def _encoder(docs: DataFrame, path: str, lexicon_words: int):
 def encode_decode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, outputs: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with
     ``outputs`` also the ids and the decoded text themselves."""
-    make = _encoder(docs, path, lexicon_words)
+    make = _encoder(docs, path, lexicon_words, outputs)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if outputs else []
     schema = pa.schema(fields)
@@ -408,10 +429,10 @@ def encode_decode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS
         gc.disable()  # the tables hold no cycles, and are large to walk
         for batch in batches:
             out = [[] for _ in fields]
-            for doc_id, (n, ids, raw) in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, (n, ids, raw, *numbers) in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 decoded = raw.decode("utf-8", "replace")
                 row = [doc_id, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                row += [np.array(ids.split(",") if ids else [], np.int32), decoded] if outputs else []
+                row += [np.frombuffer(numbers[0], np.int32), decoded] if outputs else []
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
