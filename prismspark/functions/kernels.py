@@ -288,10 +288,11 @@ def add_background(x: np.ndarray, basis: dict[str, np.ndarray], draws: np.ndarra
 
 def fit_power_law(n: np.ndarray, error: np.ndarray, weight: np.ndarray | None = None, rounds: int = 500) -> tuple[float, float, float]:
     """(a, alpha, b) of a n^-alpha + b by damped least squares within bounds
-    a > 0, 0 <= alpha <= 5, 0 <= b <= 1."""
+    a >= 0, 0 <= alpha <= 5, 0 <= b <= 1; a parameter at a bound that the cost
+    would push it past is held there for the round."""
     weight = np.ones_like(error) if weight is None else weight
     p, damp = np.array([0.5, 0.3, 0.05]), 1e-3
-    low, high = np.array([1e-9, 0.0, 0.0]), np.array([10.0, 5.0, 1.0])
+    low, high = np.zeros(3), np.array([np.inf, 5.0, 1.0])
 
     def residual(q: np.ndarray) -> np.ndarray:
         return weight * (q[0] * n ** -q[1] + q[2] - error)
@@ -299,9 +300,14 @@ def fit_power_law(n: np.ndarray, error: np.ndarray, weight: np.ndarray | None =
     cost = (residual(p) ** 2).sum()
     for _ in range(rounds):
         slope = weight[:, None] * np.stack([n ** -p[1], -p[0] * np.log(n) * n ** -p[1], np.ones_like(n)], axis=1)
-        normal = slope.T @ slope
-        step = np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-12), slope.T @ residual(p))
-        q = np.clip(p - step, low, high)
+        push = slope.T @ residual(p)
+        free = ~((p <= low) & (push > 0) | (p >= high) & (push < 0))
+        if not free.any():
+            break
+        normal = slope[:, free].T @ slope[:, free]
+        q = p.copy()
+        q[free] -= np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-12), push[free])
+        q = np.clip(q, low, high)
         new = (residual(q) ** 2).sum()
         if new < cost:
             done = cost - new < 1e-15 * max(cost, 1e-300)

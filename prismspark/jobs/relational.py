@@ -102,7 +102,8 @@ def confusion_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error of each size over that of the smallest one both arms have."""
+    """Raw error of each size over that of the smallest one both arms have, with
+    no law fitted; ``scaling_law_normalised_error`` has that of the fitted law."""
     error = trials(spark, sf_dir).groupBy("arm", "n").agg(F.avg(1 - evaluate.hit()).alias("error"))
     first = error.groupBy("arm").agg(F.min("n").alias("n0")).agg(F.max("n0").alias("n0"))
     base = error.join(F.broadcast(first), F.col("n") == F.col("n0")).select("arm", F.col("error").alias("e0"))  # a row an arm

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismspark.functions import native, profiles
-from prismspark.functions.kernels import fit_power_law
 from prismspark.operators import augment, complexity, evaluate, preprocess, scoring
-from prismspark.sources.tables import AXIS, CHANNELS, long_form, spectra
+from prismspark.sources.tables import AXIS, CHANNELS, long_form, spectra, trials
 
 WINDOWS = [(800.0, 1800.0), (2800.0, 3000.0)]
 GRID = np.linspace(500, 3900, 40).tolist()
@@ -195,19 +194,14 @@ def _fluorescence(rows: DataFrame) -> DataFrame:
 
 
 def scaling_law_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power law of the error over the number of training rows, per arm; each
-    group is one row a size."""
-    from prismspark.sources.tables import trials
+    """Power law of the error over the number of training rows, per arm."""
+    return evaluate.scaling_law(evaluate.learning_curve(trials(spark, sf_dir)))
 
-    curve = trials(spark, sf_dir).groupBy("arm", "n").agg(F.avg(1 - evaluate.hit()).alias("error"))
 
-    def fit(pdf):
-        import pandas as pd
-
-        a, alpha, b = fit_power_law(pdf["n"].to_numpy(float), pdf["error"].to_numpy(float))
-        return pd.DataFrame({"arm": [pdf["arm"].iloc[0]], "a": [a], "alpha": [alpha], "b": [b]})
-
-    return curve.groupBy("arm").applyInPandas(fit, "arm long, a double, alpha double, b double")
+def scaling_law_normalised_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fitted law of each arm leaves above its floor at each size, over
+    what it leaves at the largest size that all arms reach."""
+    return evaluate.normalised_law(evaluate.learning_curve(trials(spark, sf_dir)))
 
 
 def pca_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +274,7 @@ QUERIES = {
     "nkk": _perturbed(nkk_real_part),
     "pca_dim": pca_dim,
     "scaling_law_fit": scaling_law_fit,
+    "scaling_law_normalised_error": scaling_law_normalised_error,
     "score_network": score_network,
     "train_classifier": train_classifier,
 }

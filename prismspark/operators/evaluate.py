@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismspark.functions.kernels import fit_power_law
+
 
 def hit(pred: str = "pred", truth: str = "gt") -> Column:
     return F.when(F.col(pred) == F.col(truth), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -31,6 +33,37 @@ def by_size(rows: DataFrame) -> DataFrame:
     return per.groupBy("n").agg(F.count(F.lit(1)).alias("trials"), F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
 
 
+def learning_curve(rows: DataFrame) -> DataFrame:
+    """(arm, n, trials, error, std): error of an arm's trials of each size, and
+    the population deviation of their accuracy, over trials."""
+    per = rows.groupBy("arm", "n", "seed").agg(F.avg(hit()).alias("accuracy"))
+    return per.groupBy("arm", "n").agg(F.count(F.lit(1)).alias("trials"), F.avg(1 - F.col("accuracy")).alias("error"), F.stddev_pop("accuracy").alias("std"))
+
+
+def scaling_law(curve: DataFrame) -> DataFrame:
+    """(arm, a, alpha, b): power law of the error over the number of training
+    rows, sizes weighted by 1 / (std + 1e-5); each group is one row a size."""
+
+    def fit(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("n")
+        a, alpha, b = fit_power_law(pdf["n"].to_numpy(float), pdf["error"].to_numpy(float), 1 / (pdf["std"].to_numpy(float) + 1e-5))
+        return pd.DataFrame({"arm": [pdf["arm"].iloc[0]], "a": [a], "alpha": [alpha], "b": [b]})
+
+    return curve.groupBy("arm").applyInPandas(fit, "arm long, a double, alpha double, b double")
+
+
+def normalised_law(curve: DataFrame) -> DataFrame:
+    """(arm, n, normalised_error): (f(n) - b) / (f(n0) - b) of each arm's fitted
+    law f, with n0 the smallest of the arms' largest sizes; null where f is flat
+    because a is 0."""
+    last = curve.groupBy("arm").agg(F.max("n").alias("n")).agg(F.min("n").alias("n0"))  # one row
+    excess = lambda n: F.col("a") * F.pow(F.col(n).cast("double"), -F.col("alpha"))
+    found = curve.join(F.broadcast(scaling_law(curve)), "arm").crossJoin(F.broadcast(last))  # a row an arm
+    return found.select("arm", "n", F.try_divide(excess("n"), excess("n0")).alias("normalised_error"))
+
+
 def paired_delta(rows: DataFrame) -> DataFrame:
     """(n, pairs, mean_delta, std_delta): arm 1 less arm 0 of the same size and
     seed; the sample deviation is null for a single pair."""

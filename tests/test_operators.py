@@ -117,6 +117,25 @@ def test_single_pair_has_no_deviation(spark):
     assert r["pairs"] == 1 and r["mean_delta"] == -1.0 and r["std_delta"] is None
 
 
+def test_normalised_error_is_of_the_fitted_law(spark):
+    """Trials of unequal size count alike, wide sizes weigh little, the floor is
+    taken off, and the base is the smaller of the largest sizes."""
+    law = lambda n: 6.4 * n**-0.5 + 0.1
+    rows = []
+    for arm, sizes in ((0, (64, 256, 1024, 4096)), (1, (64, 256, 1024, 4096, 16384))):
+        for n in sizes:
+            for seed, (total, off) in enumerate(((1000, 0.0), (3000, 0.0)) if n != 1024 else ((1000, -0.1), (3000, 0.1))):
+                wrong = round(total * (law(n) + off))
+                rows += [(n, seed, arm, 1, int(k >= wrong)) for k in range(total)]
+    curve = evaluate.learning_curve(spark.createDataFrame(rows, "n long, seed long, arm long, gt long, pred long")).cache()
+    assert {(r["arm"], r["n"]): round(r["error"], 6) for r in curve.collect()}[1, 1024] == 0.3
+    for r in evaluate.scaling_law(curve).collect():
+        assert abs(r["a"] - 6.4) < 0.05 and abs(r["alpha"] - 0.5) < 0.005 and abs(r["b"] - 0.1) < 0.005
+    got = {(r["arm"], r["n"]): r["normalised_error"] for r in evaluate.normalised_law(curve).collect()}
+    assert len(got) == 9 and got[0, 4096] == got[1, 4096] == 1.0
+    assert abs(got[0, 64] - 8) < 0.2 and abs(got[1, 64] - 8) < 0.2 and abs(got[1, 16384] - 0.5) < 0.02
+
+
 def test_store_round_trip(spark, tmp_path):
     data = np.arange(24.0).reshape(2, 3, 4)
     np.savez(tmp_path / "a.npz", other=np.zeros((1, 4)), data=data)
