@@ -45,14 +45,24 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# What follows the first line of a key.  Repeated groups are bounded or of one
+# character class, as Java's engine recurses on others.
+_CHAR = "A-Za-z0-9+/="
+_TO_END = r"[^-]*(?:-[^-]+){0,30}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_HEADERS = r"(?:[ \t]*[\r\n]+[ \t]*[A-Za-z][A-Za-z0-9-]*:[^\r\n]*){0,9}"
+#: Without an END line: long runs, indented or not, and a shorter last line;
+#: lines of any length from the margin; lines whose ends are written as \n.
+_LONG = rf"[ \t\r\n]+[{_CHAR}]{{40,}}(?:[{_CHAR} \t\r\n]*[{_CHAR}]{{40,}})?(?:[ \t]*[\r\n]+[ \t]*[{_CHAR}]{{1,39}}(?m:$))?"
+_LINES = rf"[ \t]*[\r\n]+[{_CHAR}\r\n]*[{_CHAR}](?m:$)"
+_ESCAPED = rf"\\[rn][{_CHAR}\\]*"
 # Published token formats that the method adds.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:{_TO_END}|{_HEADERS}(?:{_LONG}|{_LINES})|{_ESCAPED})?"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^ \t\n\r/:@]{1,100}:[^ \t\n\r/@]{3,100}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^ \t\n\r/:@]+:[^ \t\n\r/@]{3,}@"),
 )
 
 

@@ -298,6 +298,41 @@ def test_trigram_queries():
     assert secret_scan._trigrams(secret_scan.trigram_query(r"(foo|ba)r")) == {("foo", False), ("oor", False), ("bar", False)}
 
 
+def test_secrets_are_masked_to_their_end(spark, duck):
+    rng = random.Random(8)
+    b64 = lambda n: "".join(rng.choice("ABCxyz019+/") for _ in range(n))
+    head, end = "-----BEGIN RSA PRIVATE " + "KEY-----", "-----END RSA PRIVATE " + "KEY-----"
+    lines = [b64(64) for _ in range(25)] + [b64(20) + "=="]
+    info = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    made = {
+        "{} after": "\n".join([head, *lines, end]),
+        "{}\r\nafter": "\r\n".join([head, *lines, end]),
+        "a {} b": " ".join([head, *lines, end]),
+        "c {} d": head + info + "\n".join([*lines, end]),
+        '"{}"': "\\n".join([head, *lines, end]),
+        "{}\nThis is prose.": "\n".join([head, *lines]),
+        "{}\nThis is headed.": head + info + "\n".join(lines),
+        "{}\nThis is indented.": "\n  ".join([head, *lines]),
+        "{}": "\n".join([head, *[b64(10) for _ in range(30_000)]]),
+        '"{}", "x"': "\\n".join([head, *lines]),
+        "{}\nThis has no body.": head,
+        "{}-": "gh" + "p_" + b64(300).replace("+", "a").replace("/", "b"),
+        "{}_": "xox" + "b-" + "1a" * 200,
+        "see {}host/": f"https://{'u' * 150}:{'p' * 300}@",
+    }
+    d = spark.createDataFrame([(k, form.replace("{}", text)) for k, (form, text) in enumerate(made.items())], "doc_id long, text string")
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    got = by_id(secret_scan.redact(d, secret_scan.MORE_RULES))
+    for k, form in enumerate(made):
+        assert got[k]["text"] == form.replace("{}", "[SECRET]"), form
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] not in base] for r in secret_scan.scan(d).collect()}
+    for k, (form, text) in enumerate(made.items()):
+        assert found[k] == [(form.index("{}"), form.index("{}") + len(text))], form
+        if "\r" not in form:  # the engine of the SQL finds the same text
+            rule = next(r for r in secret_scan.MORE_RULES if re.match(r.regex, text))
+            assert duck.execute("select regexp_extract_all(?, ?)", [form.replace("{}", text), rule.regex]).fetchone()[0] == [text], form
+
+
 # Licences
 
 
