@@ -37,13 +37,52 @@ FAIRNESS, RIDGE = 4.0, 2e-4
 ROUNDS, RATE = 300, 0.1
 HELD_WORDS = 200_000
 
-# Terms that name groups, swapped with one another.
-IDENTITY_TERMS = (
-    "african", "asian", "atheist", "black", "blind", "buddhist", "catholic", "christian", "deaf", "disabled",
-    "elderly", "european", "female", "gay", "hindu", "hispanic", "immigrant", "immigrants", "jewish", "jews",
-    "latino", "lesbian", "male", "men", "muslim", "muslims", "old", "refugee", "refugees", "straight",
-    "transgender", "white", "women", "young",
-)
+# Terms that name groups, swapped with one another within a language.
+GROUPS = {
+    "en": """african africans arab arabs asian asians atheist atheists bisexual black blacks blind buddhist buddhists catholic catholics
+      christian christians deaf disabled elderly european europeans female females foreigner foreigners gay gays girl girls boy boys
+      gypsies gypsy hindu hindus hispanic hispanics homosexual homosexuals immigrant immigrants indigenous jew jewish jews latina latinas
+      latino latinos lesbian lesbians male males man men mexican mexicans migrant migrants muslim muslims old protestant protestants queer
+      refugee refugees straight trans transgender turk turkish turks white whites woman women young""",
+    "de": """afrikaner afrikanerin afrikanerinnen afrikanern afrikanisch afrikanische afrikanischen alt alte alten alter araber araberin
+      araberinnen arabern arabisch arabische arabischen asiate asiaten asiatin asiatinnen asiatisch asiatische asiatischen atheist atheisten
+      atheistin ausländer ausländerin ausländerinnen ausländern behindert behinderte behinderten bisexuell bisexuelle bisexuellen blind blinde
+      blinden buddhist buddhisten buddhistin christ christen christin christinnen christlich christliche christlichen europäer europäerin
+      europäern europäisch europäische europäischen flüchtling flüchtlinge flüchtlingen frau frauen geflüchtete geflüchteten gehörlos
+      gehörlose gehörlosen hindu hindus homosexuell homosexuelle homosexuellen indigen indigene indigenen jude juden jung junge jungen jüdin
+      jüdinnen jüdisch jüdische jüdischen katholik katholiken katholikin katholisch katholische katholischen lesbe lesben lesbisch lesbische
+      lesbischen mann männer männern männlich männliche männlichen migrant migranten migrantin migrantinnen mädchen moslem moslems muslim
+      muslima muslime muslimen muslimin muslimisch muslimische muslimischen protestant protestanten protestantin roma schwarz schwarze
+      schwarzen schwarzer schwul schwule schwulen schwuler senioren sinti taub taube tauben trans transgender türke türken türkin türkinnen
+      türkisch türkische türkischen weiblich weibliche weiblichen weiß weiße weißen weißer zuwanderer zuwanderern""",
+    "es": """africana africanas africano africanos anciana ancianas anciano ancianos asiática asiáticas asiático asiáticos atea ateas ateo ateos
+      bisexual bisexuales blanca blancas blanco blancos budista budistas católica católicas católico católicos chica chicas chico chicos ciega
+      ciegas ciego ciegos cristiana cristianas cristiano cristianos discapacitada discapacitadas discapacitado discapacitados europea europeas
+      europeo europeos extranjera extranjeras extranjero extranjeros femenina femenino gay gays gitana gitanas gitano gitanos hetero hindú
+      hindúes hispana hispanas hispano hispanos hombre hombres homosexual homosexuales indígena indígenas inmigrante inmigrantes joven jóvenes
+      judía judías judío judíos latina latinas latino latinos lesbiana lesbianas masculina masculino mexicana mexicanas mexicano mexicanos
+      migrante migrantes mujer mujeres musulmana musulmanas musulmán musulmanes negra negras negro negros niña niñas niño niños protestante
+      protestantes refugiada refugiadas refugiado refugiados sorda sordas sordo sordos trans transgénero turca turcas turco turcos vieja
+      viejas viejo viejos árabe árabes""",
+    "fr": """africain africaine africaines africains arabe arabes asiatique asiatiques athée athées aveugle aveugles bisexuel bisexuelle
+      bisexuelles bisexuels blanc blanche blanches blancs bouddhiste bouddhistes catholique catholiques chrétien chrétienne chrétiennes
+      chrétiens européen européenne européennes européens femme femmes fille filles féminin féminine garçon garçons gay gays gitan gitane
+      gitanes gitans handicapé handicapée handicapées handicapés hindou hindoue hindoues hindous hispanique hispaniques homme hommes
+      homosexuel homosexuelle homosexuelles homosexuels hétéro immigré immigrée immigrées immigrés indigène indigènes jeune jeunes juif juifs
+      juive juives latino latinos lesbienne lesbiennes maghrébin maghrébine maghrébines maghrébins masculin masculine migrant migrante
+      migrantes migrants musulman musulmane musulmanes musulmans noir noire noires noirs protestant protestante protestantes protestants
+      réfugié réfugiée réfugiées réfugiés rom roms sourd sourde sourdes sourds trans transgenre transgenres turc turcs turque turques vieille
+      vieilles vieux âgé âgée âgées âgés étranger étrangers étrangère étrangères""",
+}
+IDENTITY_TERMS = {lang: tuple(sorted(set(terms.split()))) for lang, terms in GROUPS.items()}
+_LANGS: dict[str, tuple[str, ...]] = {t: tuple(lang for lang in IDENTITY_TERMS if t in IDENTITY_TERMS[lang]) for terms in IDENTITY_TERMS.values() for t in terms}
+#: Words that tell which language's terms a spelling shared by several is of.
+COMMON_WORDS = {
+    "en": frozenset("the and of to is was that with for are this not you they his from have were".split()),
+    "de": frozenset("der die das und ist nicht ein eine mit von zu den dem sind auf für sich auch".split()),
+    "es": frozenset("el los las que y una es por con para del no se como más su muy este".split()),
+    "fr": frozenset("le les des et est une que dans pour qui pas sur au avec ce il sont du".split()),
+}
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,13 +96,19 @@ def word_features(word: str) -> list[str]:
 
 
 def swapped(words: set[str]) -> set[str] | None:
-    """The words with each identity term swapped for another one, chosen by a
-    hash; None if there is none."""
-    terms = words.intersection(IDENTITY_TERMS)
+    """The words with each identity term swapped for another one of its
+    language, chosen by a hash; None if there is none.  A spelling of several
+    languages is of that with most common words, then most terms, in the text."""
+    terms = words & _LANGS.keys()
     if not terms:
         return None
-    n = len(IDENTITY_TERMS)
-    return (words - terms) | {IDENTITY_TERMS[(IDENTITY_TERMS.index(t) + 1 + zlib.crc32(t.encode()) % (n - 1)) % n] for t in terms}
+    rank = {lang: (len(words & COMMON_WORDS[lang]), len(terms.intersection(IDENTITY_TERMS[lang]))) for lang in IDENTITY_TERMS}
+    out = words - terms
+    for t in terms:
+        own = IDENTITY_TERMS[max(_LANGS[t], key=rank.__getitem__)]
+        n = len(own)
+        out.add(own[(own.index(t) + 1 + zlib.crc32(t.encode()) % (n - 1)) % n])
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,7 +142,7 @@ def choose_features(train: DataFrame, n: int = FEATURES) -> list[str]:
     odds = F.log((F.col("pos") + 0.5) / F.lit(pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(neg + 1.0))
     best = counts.select("f", (F.abs(odds) * F.log1p(F.when(odds > 0, F.col("pos")).otherwise(F.col("neg") * F.lit(pos / max(neg, 1))))).alias("gain"))
     rows = best.orderBy(F.desc("gain"), "f").limit(n).collect()
-    return sorted({r["f"] for r in rows} | {t + "$" for t in IDENTITY_TERMS})
+    return sorted({r["f"] for r in rows} | {t + "$" for t in _LANGS})
 
 
 def _row_ids(words: set[str], index: dict[str, int]) -> list[int]:

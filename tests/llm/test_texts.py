@@ -142,6 +142,25 @@ def test_counterfactuals_lower_scores_of_neutral_mentions(spark):
     assert scores[1] < scores[0]
 
 
+@pytest.mark.parametrize("lang, term, text", [("de", "muslime", "ein ruhiger fluss"), ("es", "judíos", "el río tranquilo"), ("fr", "femmes", "le fleuve calme"), ("en", "woman", "a calm river"), ("fr", "gays", "les fleuves et le calme"), ("es", "gays", "los ríos y el calor")])
+def test_terms_are_swapped_within_their_language(lang, term, text):
+    words = set(text.split())
+    (other,) = toxicity.swapped(words | {term}) - words
+    assert other != term and other in toxicity.IDENTITY_TERMS[lang]
+    assert toxicity.swapped(words) is None
+
+
+def test_counterfactuals_work_in_other_languages(spark):
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        ws = [rng.choice(["ruhe", "fluss", "stein"]) for _ in range(10)] + (["vileful"] if i % 2 == 0 and i % 3 else [])
+        rows.append((i, " ".join(ws + (["muslime"] if i % 2 == 0 and i % 5 else [])), int(i % 2 == 0)))
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = spark.createDataFrame([(1, "der ruhige fluss und muslime")], "doc_id long, text string")
+    scores = [toxicity.score(neutral, *toxicity.fit(train, fairness=f)).first()[-1] for f in (0.0, 50.0)]
+    assert scores[1] < scores[0]
+
+
 def test_scores_of_edge_cases(spark, docs, no_docs):
     labels = spark.createDataFrame([(11, 0), (12, 1), (12, 1), (None, 1), (13, None)], "doc_id long, toxic int")
     rows = toxicity.classify(docs, labels).collect()
