@@ -3,7 +3,7 @@
 Large-star links each node's larger neighbours to its smallest one; small-star
 links its smaller neighbours to the smallest.  Both are a minimum by key and a
 join, so a node with very many links is summed before the shuffle and split by
-the skew-join rule; every round is written to the shared folder.
+the skew-join rule; both halves of a round are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "links")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "star")
+        large = written(large, "star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         before, state = state, _state(edges)
         if state == before:
             break
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

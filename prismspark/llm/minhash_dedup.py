@@ -10,9 +10,10 @@ candidates, and links are confirmed on full sets.
 
 Documents with equal sets are one class beforehand.  In a band's bucket every
 class is compared with the bucket's smallest; where that does not join the
-bucket into one component, its classes are compared across components by their
-full sets, tile by tile, and only the links that join components are returned;
-so no bucket is cut short and none is expanded into pairs.
+bucket into one component, the classes outside its largest component are held
+in tiles, an index of their full sets, and all its classes pass by; only links
+that join components are returned.  So no bucket is cut short, none is expanded
+into pairs, and a task holds one class or one tile, never a group.
 
 With 32 bands of 4 rows, a pair of similarity 0.8 is missed with probability
 (1 - 0.8^4)^32 < 1e-7.
@@ -40,8 +41,14 @@ from prismspark.llm.storage import fresh, small_batches, written
 WIDTH, NUMERATOR, DENOMINATOR = 5, 80, 100
 BANDS, ROWS, UNIVERSE, SEED = 32, 4, 1 << 20, 6
 HELD_WORDS = 300_000
-#: Classes of one tile of a group that several components share.
-TILE = 1_024
+#: Pairs of one class that a task compares with it.
+CHUNK = 1_024
+#: Shingles that a tile of a group of several components holds, and the least
+#: number of them that pass by in one chunk.
+TILE, CHUNK_SHINGLES = 1 << 21, 1 << 18
+#: Ids up to which texts are looked up by a broadcast (some 8 MB); beyond it the
+#: join shuffles.
+BROADCAST_DOCS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,56 +134,147 @@ def _sets(width: int):
     return run
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """Links between different components among two tiles of a group, by full
-    sets: one for each pair of components that it joins.  Every row outside the
-    largest component is compared with all rows of other components at once."""
-    p, q = group["p"][0].as_py(), group["q"][0].as_py()
-    rep, part, tile = (group[c].to_numpy() for c in ("rep", "part", "tile"))
-    lists = group["shingles"].combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    values, codes = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    start = np.cumsum(size) - size
-    names, label = np.unique(part, return_inverse=True)
-    most = np.bincount(label).argmax()
-    sides = [np.flatnonzero(tile == p)] if p == q else [np.flatnonzero(tile == p), np.flatnonzero(tile == q)]
-    flat = [np.concatenate([codes[start[i] : start[i] + size[i]] for i in side]) if len(side) else codes[:0] for side in sides]
-    held = np.zeros(len(values), bool)
-    out: list[tuple[int, int]] = []
-    for k, side in enumerate(sides):
-        other, shingles = sides[-1 - k], flat[-1 - k]
-        if not len(other):
-            continue
-        bounds = np.cumsum(size[other]) - size[other]
-        for i in side:
-            if label[i] == most or (label[other] == label[i]).all():
+def _streamed(df: DataFrame, by: list[str], run, schema: str) -> DataFrame:
+    """``df`` dealt by the columns ``by`` and sent to ``run`` in order of them
+    and of ``role``, a batch at a time: no group is ever held whole."""
+    return df.repartition(*by).sortWithinPartitions(*by, "role").mapInArrow(run, schema)
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a column, each in (unsigned) order as ``_sets`` made it."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    return (flat[end - n : end] for end, n in zip(ends.tolist(), sizes.tolist(), strict=True))
+
+
+def _similar(both, nx, ny):
+    return both * DENOMINATOR >= (nx + ny - both) * NUMERATOR
+
+
+def _against_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of members with their head, whose row comes first (role 0; a row
+    for each text of its id)."""
+    heads: list[np.ndarray] = []
+    first = None
+    for batch in batches:
+        a, chunk, role, rep = (batch.column(k).to_numpy() for k in range(4))
+        out = []
+        for k, own in enumerate(_lists(batch.column(4))):
+            if (a[k], chunk[k]) != first:
+                heads, first = [], (a[k], chunk[k])
+            if not role[k]:
+                heads.append(own)
                 continue
-            own = codes[start[i] : start[i] + size[i]]
-            held[own] = True
-            both = np.add.reduceat(held[shingles], bounds, dtype=np.int64)
-            held[own] = False
-            linked = (both * DENOMINATOR >= (size[i] + size[other] - both) * NUMERATOR) & (label[other] != label[i])
-            for j in other[linked]:
-                if label[j] != label[i]:
-                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-                    old, new = (label[i], label[j]) if label[j] == most else (label[j], label[i])
-                    label[label == old] = new
-            # Rows that joined the largest component are compared by the others.
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-
-def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the given ids (doc_id), written once."""
-    texts = docs.select("doc_id", "text").join(written(ids.distinct(), "near-wanted"), "doc_id", "left_semi")
-    return written(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "near-sets")
+            for head in heads if len(own) else []:
+                at = np.minimum(np.searchsorted(head, own), max(len(head) - 1, 0))
+                if len(head) and _similar(int((head[at] == own).sum()), len(head), len(own)):
+                    out.append(k)
+                    break
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a[out], pa.int64()), "b": pa.array(rep[out], pa.int64())})
+
+
+class Index:
+    """Shingles of held sets and the sets that have each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        owner = np.repeat(np.arange(self.n), [len(s) for s in sets])
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(flat, kind="stable")
+        flat, self.owner = flat[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        self.values, self.bounds = flat[new], np.concatenate([new, [len(flat)]])
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many shingles each held set shares with ``own``."""
+        if not len(self.values):
+            return np.zeros(self.n, np.int64)
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        at = at[self.values[at] == own]
+        start, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        place = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+        return np.bincount(self.owner[place], minlength=self.n)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, of a tile of sets that are held (role 0, a
+    bounded number of shingles) with those that pass by (role 1): only the
+    links that join two components are returned."""
+    tile: tuple = ()
+    sets: list[np.ndarray] = []
+    parts: list[int] = []
+    root: dict[int, int] = {}
+    index = size = label = None
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        role, part = batch.column(3).to_numpy(), batch.column(4).to_pylist()
+        out: list[tuple[int, int]] = []
+        for k, own in enumerate(_lists(batch.column(5))):
+            if keys[k] != tile:
+                tile, sets, parts, root, index = keys[k], [], [], {}, None
+            if not role[k]:
+                sets.append(own)
+                parts.append(part[k])
+                continue
+            if index is None:
+                index, size, label = Index(sets), np.array([len(s) for s in sets], np.int64), np.array(parts, np.int64)
+            if (label == part[k]).all():
+                continue
+            near = _similar(index.shared(own), size, len(own)) & (label != part[k])
+            for other in np.unique(label[near]).tolist():
+                x, y = top(part[k]), top(other)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(part[k], other), max(part[k], other)))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _with_sets(roles: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``roles`` (rep and others) with the shingles of each rep; a text is
+    shingled once, whatever number of roles it has."""
+    wanted = written(roles.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
+    few = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>")
+    return roles.join(sets, roles["rep"] == sets["doc_id"]).drop("doc_id")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))), docs, width)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), shared.alias("both")).filter(F.col("both") * DENOMINATOR >= (F.col("nx") + F.col("ny") - F.col("both")) * NUMERATOR).select("a", "b")
+    """The pairs (a, b) whose full sets are similar enough.  The pairs of an
+    ``a`` are dealt into ``chunk``s by their number, and each chunk gets a copy
+    of its set, which the others then pass by."""
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(chunks, "a")
+    one = dealt.select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("b").alias("rep"))
+    heads = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("a").alias("rep"))
+    rows = _with_sets(one.unionAll(heads), docs, width).select("a", "chunk", "role", "rep", "shingles")
+    return _streamed(rows, ["a", "chunk"], _against_head, "a long, b long")
+
+
+def _joining(rest: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between the components of each group of ``rest``: rows (a:
+    the group, rep, part: its component, n: its shingles).  Sets outside the
+    group's largest component are held in tiles of some TILE shingles, and all
+    the group's sets pass by each tile in chunks of no less than a tile, so
+    that what is copied stays within twice the number of tiles."""
+    sums = rest.groupBy("a", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    sums = sums.groupBy("a").agg(F.max(F.struct("k", "part"))["part"].alias("most"), F.sum("n").alias("whole"), F.max(F.struct("k", "part", "n"))["n"].alias("held"))
+    minor = F.col("whole") - F.col("held")
+    chunk = F.greatest(F.lit(CHUNK_SHINGLES), F.least(minor, F.lit(TILE)))
+    plan = sums.select("a", "most", F.greatest(F.ceil(minor / TILE), F.lit(1)).cast("int").alias("tiles"), F.ceil(F.col("whole") / chunk).cast("int").alias("chunks"))
+    dealt = rest.join(plan, "a")
+    h = F.xxhash64("rep")
+    tiles, chunks = F.sequence(F.lit(0), F.col("tiles") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+    held = dealt.filter("part != most").select("a", F.pmod(h, "tiles").cast("int").alias("tile"), F.explode(chunks).alias("chunk"), F.lit(0).alias("role"), "part", "rep")
+    passing = dealt.select("a", F.explode(tiles).alias("tile"), F.pmod(F.xxhash64("rep", F.lit(1)), "chunks").cast("int").alias("chunk"), F.lit(1).alias("role"), "part", "rep")
+    rows = _with_sets(held.unionAll(passing), docs, width).select("a", "tile", "chunk", "role", "part", "shingles")
+    return _streamed(rows, ["a", "tile", "chunk"], _across, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = SEED) -> DataFrame:
@@ -184,34 +282,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     small_batches(docs.sparkSession)
     signed = docs.select("doc_id", "text").mapInArrow(_signatures(width, bands, rows, universe, seed), "doc_id long, n long, d1 long, d2 long, keys array<long>")
     signed = written(signed, "near-signatures")
-    sets = signed.filter("n > 0 and doc_id is not null")
-    classes = written(sets.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
-    members = classes.select("rep", F.col("n").alias("size"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
-    of_rep = sets.join(members, (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    placed = of_rep.select("rep", "n", F.explode("keys").alias("key"))
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
+    # Equal sets have equal keys, so any row's will do.
+    classes = written(classes.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "near-classes")
+    placed = classes.select("rep", "n", F.explode("keys").alias("key"))
     buckets = placed.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = written(buckets, "near-buckets")
     shared = written(placed.join(buckets, "key").select("key", "rep", "n", "a", "members"), "near-members")
     pairs = shared.filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = written(_confirmed(written(pairs, "near-pairs"), docs, width), "near-links")
-    reached = components(links)
+    reached = components(_confirmed(pairs, docs, width))
     # Buckets of more than two classes that are not one component yet; those
     # with the same smallest class are one group.
     parts = shared.filter("members > 2").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-    parts = written(parts.select("key", "rep", "a", F.coalesce("component", "rep").alias("part")), "near-parts")
+    parts = parts.select("key", "rep", "n", "a", F.coalesce("component", "rep").alias("part"))
     mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
-    rest = written(parts.join(written(mixed, "near-mixed"), "key").filter("rep != a").select("a", "rep", "part").distinct(), "near-rest")
-    if rest.limit(1).count():
-        tiles = rest.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-        dealt = rest.join(written(tiles, "near-tiles"), "a").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")).withColumns({"p": F.least("tile", "o"), "q": F.greatest("tile", "o")})
-        sets = _sets_of(rest.select(F.col("rep").alias("doc_id")), docs, width)
-        filled = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("a", "rep", "part", "tile", "p", "q", "shingles")
-        again = written(filled.groupBy("a", "p", "q").applyInArrow(_across, "a long, b long"), "near-links")
-        if again.limit(1).count():
-            reached = components(links.unionAll(again))
+    rest = written(parts.join(mixed, "key").select("a", "rep", "n", "part").distinct(), "near-rest")
     known = classes.join(reached, F.col("rep") == F.col("node"), "left")
-    known = written(known.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component")), "near-known")
+    known = known.select("d1", "d2", "n", "rep", "copies", F.coalesce("component", "rep").alias("component"))
+    if rest.limit(1).count():
+        again = components(_joining(rest, docs, width)).select("node", F.col("component").alias("joined"))
+        known = known.join(again, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("joined", "component"))
+    # Only rows of other classes than their own have to be told.
+    known = known.filter("copies > 1 or component != rep").select("d1", "d2", "n", "component")
     out = signed.select("doc_id", "d1", "d2", "n").join(known, ["d1", "d2", "n"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
