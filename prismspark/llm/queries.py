@@ -21,7 +21,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that strings of 100 bytes repeat from earlier."""
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
     """Folder shared by driver and executors, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set as the context's checkpoint folder.
+    Only where the session names none and runs on one machine (tests) a
+    temporary folder is made and set as the context's checkpoint folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_prism_scratch", None)
         if found is None:
             found = "file://" + tempfile.mkdtemp(prefix="prism-")
@@ -39,9 +41,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch can hold, so that long texts do not add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch can hold, so that long texts do not add up.
+    All operators set the same bounds, as plans read them when they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -39,8 +39,10 @@ def removed(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_repeats_equal_brute_force(docs, texts, hot, monkeypatch):
+@pytest.mark.parametrize("hot, slice_", [(2048, 1 << 19), (1, 1 << 19), (1, 150), (2048, 150)])
+def test_repeats_equal_brute_force(docs, texts, hot, slice_, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", slice_)
+    monkeypatch.setattr(suffix_dedup, "RUN", 500)
     monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d, n, g, real=suffix_dedup.repeated_spans: real(d, n, g, hot, 50))
     got, want = by_id(suffix_dedup.remove_repeats(docs)), removed(list(enumerate(texts)))
     for i, w in want.items():
@@ -58,6 +60,17 @@ def test_rows_that_share_an_id_do_not_remove_each_other(spark):
     assert [r["n_removed"] for r in rows] == [rows[0]["n_removed"]] * 2
 
 
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_no_text_is_lost_where_ids_repeat(spark, hot, monkeypatch):
+    """Rows of one id are documents of their own; a text stays somewhere."""
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d, n, g, real=suffix_dedup.repeated_spans: real(d, n, g, hot, 50))
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(419)) for _ in range(2))
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (5, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["kept_text"]) for r in suffix_dedup.remove_repeats(d).collect())
+    assert got == sorted([(1, a), (5, ""), (5, b), (9, ""), (5, b)])
+
+
 def test_loser_tree_sorts_and_knows_prefixes():
     rng = random.Random(2)
     for count in (1, 2, 3, 7):
@@ -197,6 +210,61 @@ def test_mix_of_edge_cases(docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def highest_quotients(votes, seats, caps):
+    """Sainte-Laguë, a seat at a time."""
+    got = [0] * len(votes)
+    for _ in range(seats):
+        free = [i for i in range(len(votes)) if got[i] < caps[i] and votes[i]]
+        if not free:
+            break
+        got[max(free, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def test_blocks_equal_brute_force(spark, monkeypatch):
+    """Streams, quotas of groups and shards, and blocks, from their definition."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 300)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 3)
+    rng = random.Random(9)
+    rows = [(i // 2 if i % 5 else None, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 90))), rng.choice(["a", "b", None])) for i in range(300)]
+    rows += [(7, "alike in all columns " * 9, "a")] * 40
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.allocated(mixing.sized(d, 1), (5.0, 1.0), 1.5, 2, 16, 1).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((i, len(t.split())) for i, t, _ in rows)
+    shards: dict = {}
+    for r in found:
+        shards.setdefault((r["s"], r["g"], r["shard"]), []).append(r)
+    words = {k: sum(r["size"] for r in v) for k, v in shards.items()}
+    assert len({k[:2] for k in shards}) > 3 and max(len(v) for v in shards.values()) < 60
+    for v in shards.values():
+        place, times = 0, {}
+        for r in sorted(v, key=lambda r: (r["start"], r["size"] > 0)):
+            assert r["start"] == place
+            at = place
+            for b in r["taken_blocks"]:
+                assert place + b["first"] == at and (place + b["stop"]) <= (at // 16 + 1) * 16
+                assert times.setdefault(at // 16, b["times"]) == b["times"]
+                at = place + b["stop"]
+            place += r["size"]
+            assert at == place
+        assert len(times) == v[0]["blocks"] == -(-place // 16) and sum(times.values()) == v[0]["quota"]
+        assert not times or max(times.values()) - min(times.values()) <= 1
+    for s in {k[0] for k in shards}:
+        groups = sorted({k[1] for k in shards if k[0] == s})
+        of = {g: sorted(k for k in shards if k[:2] == (s, g)) for g in groups}
+        given = {g: sum(shards[k][0]["quota"] for k in of[g]) for g in groups}
+        blocks = {k: -(-words[k] // 16) for k in shards}
+        assert [given[g] for g in groups] == highest_quotients([sum(words[k] for k in of[g]) for g in groups], sum(given.values()), [2 * sum(blocks[k] for k in of[g]) for g in groups])
+        for g in groups:
+            assert [shards[k][0]["quota"] for k in of[g]] == highest_quotients([words[k] for k in of[g]], given[g], [2 * blocks[k] for k in of[g]])
+    texts, taken = Counter(), Counter()
+    for r in mixing.mixed_texts(d, (5.0, 1.0), 1.5, 2, 16, 1).collect():
+        texts[r["doc_id"], r["source"]] += len(r["text"].split())
+    for r in found:
+        taken[r["doc_id"], r["source"]] += sum((b["stop"] - b["first"]) * b["times"] for b in r["taken_blocks"])
+    assert texts == +taken
+
+
 def test_targets_stop_at_the_cap():
     assert mixing.targets([10, 1000], [5, 1], 1.5, 2) == [20.0, 1495.0]
     assert mixing.targets([0, 0], [5, 1]) == [0.0, 0.0]
@@ -206,12 +274,7 @@ def test_targets_stop_at_the_cap():
 def test_apportionment_gives_highest_quotients(seats):
     rng = random.Random(seats)
     votes, caps = [rng.choice([0, 1, 5, 5, 80, 333]) for _ in range(12)], [rng.randint(0, 60) for _ in range(12)]
-    want = [0] * 12
-    for _ in range(seats):
-        free = [i for i in range(12) if want[i] < caps[i] and votes[i]]
-        if not free:
-            break
-        want[max(free, key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
+    want = highest_quotients(votes, seats, caps)
     got = mixing.apportion(votes, seats, caps)
     assert got == want or sum(caps) <= seats and got == caps
 
