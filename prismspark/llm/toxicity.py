@@ -1,10 +1,13 @@
 """Toxicity scores of a counterfactual-regularised logistic classifier.
 
 Features are the presence of beginnings of words (3 to 8 letters) and of whole
-words, chosen by their log-odds in labelled texts.  In fitting, every labelled
-text that names an identity group has a counterfactual in which the group is
-swapped for another; the loss adds the squared difference of the two scores, so
-that naming a group does not by itself move a score.
+words, chosen by their log-odds in labelled texts.  In fitting, labelled texts
+have counterfactuals: one that names identity groups is told with every group
+swapped for another of its category and language, and a seeded share of the
+others is told with a group's term put in, and with its swap.  The loss adds the
+squared difference between a text's log-odds and its counterfactual's (a
+difference of scores would hardly count where they are near 0 or 1), so that
+naming a group does not by itself move a score.
 
 Labels are read only of rows whose crc32(doc_id as text) mod 3 is not 1, from
 at most ``TRAIN_ROWS`` of them (those of least hash); language, source, labels
@@ -12,13 +15,15 @@ and ids are never inputs of a score.
 
 Defined results: empty and null texts get the score of no features; rows that
 repeat are scored each; a repeated label counts once, as toxic if any says so;
-null labels are not used; with no labelled rows of both kinds every score is
-0.5; a null doc_id is not held out.
+null labels are not used; of rows that repeat an id the least text is learnt
+from; with no labelled rows of both kinds every score is 0.5; a null doc_id is
+not held out.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -32,49 +37,61 @@ from prismspark.llm.storage import fresh, map_rows, small_batches, written
 
 TRAIN_ROWS, FEATURES, LEAST_DOCS = 20_000, 4_096, 4
 THRESHOLD = 0.7
-#: Weights of the squared difference between counterfactuals, and of L2.
-FAIRNESS, RIDGE = 4.0, 2e-4
+#: Weights of the mean squared difference of counterfactuals, and of L2.
+FAIRNESS, RIDGE = 1.0, 2e-4
 ROUNDS, RATE = 300, 0.1
 HELD_WORDS = 200_000
 
-# Terms that name groups, swapped with one another within a language.
+#: Of texts that name no group, one in so many is told with a group put in.
+INSERT_EVERY = 2
+
+# Terms that name groups, by language and category, as stems with
+# the endings of their forms.
 GROUPS = {
-    "en": """african africans arab arabs asian asians atheist atheists bisexual black blacks blind buddhist buddhists catholic catholics
-      christian christians deaf disabled elderly european europeans female females foreigner foreigners gay gays girl girls boy boys
-      gypsies gypsy hindu hindus hispanic hispanics homosexual homosexuals immigrant immigrants indigenous jew jewish jews latina latinas
-      latino latinos lesbian lesbians male males man men mexican mexicans migrant migrants muslim muslims old protestant protestants queer
-      refugee refugees straight trans transgender turk turkish turks white whites woman women young""",
-    "de": """afrikaner afrikanerin afrikanerinnen afrikanern afrikanisch afrikanische afrikanischen alt alte alten alter araber araberin
-      araberinnen arabern arabisch arabische arabischen asiate asiaten asiatin asiatinnen asiatisch asiatische asiatischen atheist atheisten
-      atheistin ausländer ausländerin ausländerinnen ausländern behindert behinderte behinderten bisexuell bisexuelle bisexuellen blind blinde
-      blinden buddhist buddhisten buddhistin christ christen christin christinnen christlich christliche christlichen europäer europäerin
-      europäern europäisch europäische europäischen flüchtling flüchtlinge flüchtlingen frau frauen geflüchtete geflüchteten gehörlos
-      gehörlose gehörlosen hindu hindus homosexuell homosexuelle homosexuellen indigen indigene indigenen jude juden jung junge jungen jüdin
-      jüdinnen jüdisch jüdische jüdischen katholik katholiken katholikin katholisch katholische katholischen lesbe lesben lesbisch lesbische
-      lesbischen mann männer männern männlich männliche männlichen migrant migranten migrantin migrantinnen mädchen moslem moslems muslim
-      muslima muslime muslimen muslimin muslimisch muslimische muslimischen protestant protestanten protestantin roma schwarz schwarze
-      schwarzen schwarzer schwul schwule schwulen schwuler senioren sinti taub taube tauben trans transgender türke türken türkin türkinnen
-      türkisch türkische türkischen weiblich weibliche weiblichen weiß weiße weißen weißer zuwanderer zuwanderern""",
-    "es": """africana africanas africano africanos anciana ancianas anciano ancianos asiática asiáticas asiático asiáticos atea ateas ateo ateos
-      bisexual bisexuales blanca blancas blanco blancos budista budistas católica católicas católico católicos chica chicas chico chicos ciega
-      ciegas ciego ciegos cristiana cristianas cristiano cristianos discapacitada discapacitadas discapacitado discapacitados europea europeas
-      europeo europeos extranjera extranjeras extranjero extranjeros femenina femenino gay gays gitana gitanas gitano gitanos hetero hindú
-      hindúes hispana hispanas hispano hispanos hombre hombres homosexual homosexuales indígena indígenas inmigrante inmigrantes joven jóvenes
-      judía judías judío judíos latina latinas latino latinos lesbiana lesbianas masculina masculino mexicana mexicanas mexicano mexicanos
-      migrante migrantes mujer mujeres musulmana musulmanas musulmán musulmanes negra negras negro negros niña niñas niño niños protestante
-      protestantes refugiada refugiadas refugiado refugiados sorda sordas sordo sordos trans transgénero turca turcas turco turcos vieja
-      viejas viejo viejos árabe árabes""",
-    "fr": """africain africaine africaines africains arabe arabes asiatique asiatiques athée athées aveugle aveugles bisexuel bisexuelle
-      bisexuelles bisexuels blanc blanche blanches blancs bouddhiste bouddhistes catholique catholiques chrétien chrétienne chrétiennes
-      chrétiens européen européenne européennes européens femme femmes fille filles féminin féminine garçon garçons gay gays gitan gitane
-      gitanes gitans handicapé handicapée handicapées handicapés hindou hindoue hindoues hindous hispanique hispaniques homme hommes
-      homosexuel homosexuelle homosexuelles homosexuels hétéro immigré immigrée immigrées immigrés indigène indigènes jeune jeunes juif juifs
-      juive juives latino latinos lesbienne lesbiennes maghrébin maghrébine maghrébines maghrébins masculin masculine migrant migrante
-      migrantes migrants musulman musulmane musulmanes musulmans noir noire noires noirs protestant protestante protestantes protestants
-      réfugié réfugiée réfugiées réfugiés rom roms sourd sourde sourdes sourds trans transgenre transgenres turc turcs turque turques vieille
-      vieilles vieux âgé âgée âgées âgés étranger étrangers étrangère étrangères""",
+    "en": {
+        "religion": "atheist:,s buddhist:,s catholic:,s christian:,s hindu:,s jew:,s,ish muslim:,s protestant:,s",
+        "origin": """african:,s arab:,s asian:,s black:,s european:,s foreigner:,s gyps:y,ies hispanic:,s immigrant:,s indigenous: latin:o,os,a,as
+          mexican:,s migrant:,s refugee:,s turk:,s,ish white:,s""",
+        "gender": "boy:,s girl:,s male:,s female:,s man: woman: men: women:",
+        "orientation": "bisexual:,s gay:,s homosexual:,s lesbian:,s queer: straight: trans: transgender:",
+        "body": "blind: deaf: disabled: elderly: old: young:",
+    },
+    "de": {
+        "religion": """atheist:,en,in buddhist:,en,in christ:,en,in,innen,lich,liche,lichen hindu:,s jude:,n jüd:in,innen,isch,ische,ischen
+          katholi:k,ken,kin,sch,sche,schen moslem:,s muslim:,e,en,in,isch,ische,ischen protestant:,en,in""",
+        "origin": """afrikan:er,ern,erin,erinnen,isch,ische,ischen arab:er,ern,erin,erinnen,isch,ische,ischen asiat:e,en,in,innen,isch,ische,ischen
+          ausländer:,n,in,innen europä:er,ern,erin,erinnen,isch,ische,ischen flüchtling:,e,en geflüchtete:,n indigen:,e,en migrant:,en,in,innen
+          roma: sinti: schwarz:,e,en,er türk:e,en,in,innen,isch,ische,ischen weiß:,e,en,er zuwanderer:,n""",
+        "gender": "frau:,en mädchen: mann: männer:,n männlich:,e,en weiblich:,e,en",
+        "orientation": "bisexuell:,e,en homosexuell:,e,en lesbe:,n lesbisch:,e,en schwul:,e,en,er trans: transgender:",
+        "body": "alt:,e,en,er behindert:,e,en blind:,e,en gehörlos:,e,en jung:,e,en senioren: taub:,e,en",
+    },
+    "es": {
+        "religion": "ate:o,os,a,as budista:,s católic:o,os,a,as cristian:o,os,a,as hindú:,es judí:o,os,a,as musulm:án,anes,ana,anas protestante:,s",
+        "origin": """african:o,os,a,as árabe:,s asiátic:o,os,a,as blanc:o,os,a,as europe:o,os,a,as extranjer:o,os,a,as gitan:o,os,a,as hispan:o,os,a,as
+          indígena:,s inmigrante:,s latin:o,os,a,as mexican:o,os,a,as migrante:,s negr:o,os,a,as refugiad:o,os,a,as turc:o,os,a,as""",
+        "gender": "chic:o,os,a,as niñ:o,os,a,as hombre:,s mujer:,es femenin:o,a masculin:o,a",
+        "orientation": "bisexual:,es gay:,s hetero: homosexual:,es lesbiana:,s trans: transgénero:",
+        "body": "ancian:o,os,a,as cieg:o,os,a,as discapacitad:o,os,a,as joven: jóvenes: sord:o,os,a,as viej:o,os,a,as",
+    },
+    "fr": {
+        "religion": "athée:,s bouddhiste:,s catholique:,s chrétien:,s,ne,nes hindou:,s,e,es juif:,s juive:,s musulman:,s,e,es protestant:,s,e,es",
+        "origin": """africain:,s,e,es arabe:,s asiatique:,s blanc:,s,he,hes européen:,s,ne,nes étranger:,s étrangère:,s gitan:,s,e,es hispanique:,s
+          immigré:,s,e,es indigène:,s latino:,s maghrébin:,s,e,es migrant:,s,e,es noir:,s,e,es réfugié:,s,e,es rom:,s turc:,s turque:,s""",
+        "gender": "femme:,s homme:,s fille:,s garçon:,s féminin:,e masculin:,e",
+        "orientation": "bisexuel:,s,le,les gay:,s hétéro: homosexuel:,s,le,les lesbienne:,s trans: transgenre:,s",
+        "body": "âgé:,s,e,es aveugle:,s handicapé:,s,e,es jeune:,s sourd:,s,e,es vieux: vieille:,s",
+    },
 }
-IDENTITY_TERMS = {lang: tuple(sorted(set(terms.split()))) for lang, terms in GROUPS.items()}
+
+
+def _forms(spec: str) -> list[tuple[str, str]]:
+    return [(stem, end) for stem, ends in (x.split(":") for x in spec.split()) for end in ends.split(",")]
+
+
+FORMS = {lang: {kind: _forms(spec) for kind, spec in kinds.items()} for lang, kinds in GROUPS.items()}
+#: Where each term of a language stands: its category, stem and ending.
+IDENTITY_TERMS = {lang: {stem + end: (kind, stem, end) for kind, forms in kinds.items() for stem, end in forms} for lang, kinds in FORMS.items()}
 _LANGS: dict[str, tuple[str, ...]] = {t: tuple(lang for lang in IDENTITY_TERMS if t in IDENTITY_TERMS[lang]) for terms in IDENTITY_TERMS.values() for t in terms}
 #: Words that tell which language's terms a spelling shared by several is of.
 COMMON_WORDS = {
@@ -95,20 +112,45 @@ def word_features(word: str) -> list[str]:
     return [word[:n] for n in range(3, 9) if len(word) >= n] + [word + "$"]
 
 
+def _ranks(words: set[str], terms: set[str]) -> dict[str, tuple[int, int]]:
+    """How clearly the words are of each language: common words, then terms."""
+    return {lang: (len(words & COMMON_WORDS[lang]), len(terms & IDENTITY_TERMS[lang].keys())) for lang in IDENTITY_TERMS}
+
+
+def other_term(term: str, lang: str) -> str:
+    """Another group's term of the same category, in the same form if it has
+    one; chosen by a hash."""
+    kind, stem, end = IDENTITY_TERMS[lang][term]
+    others = [f for f in FORMS[lang][kind] if f[0] != stem]
+    alike = [f for f in others if f[1] == end] or others
+    return "".join(alike[zlib.crc32(term.encode()) % len(alike)])
+
+
 def swapped(words: set[str]) -> set[str] | None:
-    """The words with each identity term swapped for another one of its
-    language, chosen by a hash; None if there is none.  A spelling of several
+    """The words with every identity term swapped for another one of its
+    category and language; None if there is none.  A spelling of several
     languages is of that with most common words, then most terms, in the text."""
     terms = words & _LANGS.keys()
     if not terms:
         return None
-    rank = {lang: (len(words & COMMON_WORDS[lang]), len(terms.intersection(IDENTITY_TERMS[lang]))) for lang in IDENTITY_TERMS}
-    out = words - terms
-    for t in terms:
-        own = IDENTITY_TERMS[max(_LANGS[t], key=rank.__getitem__)]
-        n = len(own)
-        out.add(own[(own.index(t) + 1 + zlib.crc32(t.encode()) % (n - 1)) % n])
-    return out
+    rank = _ranks(words, terms)
+    return (words - terms) | {other_term(t, max(_LANGS[t], key=rank.__getitem__)) for t in terms}
+
+
+def counterfactuals(words: set[str], seed: int) -> list[set[str]]:
+    """The words told of other groups: swapped where they name some, else, for
+    one seed in INSERT_EVERY, with a term put in, and with its swap.  Words of
+    no known language get a language by the seed."""
+    swap = swapped(words)
+    if swap is not None:
+        return [swap]
+    if not words or seed % INSERT_EVERY:
+        return []
+    seed, rank = seed // INSERT_EVERY, _ranks(words, set())
+    lang = max(rank, key=rank.__getitem__) if any(n for n, _ in rank.values()) else sorted(rank)[seed % len(rank)]
+    terms = sorted(IDENTITY_TERMS[lang])
+    term = terms[seed // len(rank) % len(terms)]
+    return [words | {term}, words | {other_term(term, lang)}]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -121,7 +163,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # the bound of what is broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    return texts.select("doc_id", "text", "toxic")
+    # A row an id, so that the bound holds for rows too.
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def choose_features(train: DataFrame, n: int = FEATURES) -> list[str]:
@@ -149,42 +192,70 @@ def _row_ids(words: set[str], index: dict[str, int]) -> list[int]:
     return sorted({index[f] for w in words for f in word_features(w) if f in index})
 
 
-def fit(train: DataFrame, features: int = FEATURES, fairness: float = FAIRNESS, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Weights by feature, and the bias.  The rows are bounded by TRAIN_ROWS,
-    each by the number of features."""
-    names = choose_features(train, features)
+class Design:
+    """What the loss is made of: labelled rows by their features, and the
+    counterfactuals of some as signed changes to them."""
+
+    def __init__(self, rows: list, n: int):
+        self.n, self.y = n, np.array([r["toxic"] > 0 for r in rows], float)
+        pos = self.y.sum()
+        self.weight = np.where(self.y > 0, 0.5 / max(pos, 1), 0.5 / max(len(rows) - pos, 1))
+        self.row = np.repeat(np.arange(len(rows)), [len(r["own"]) for r in rows])
+        self.col = np.array([i for r in rows for i in r["own"]], np.int64)
+        changes = [(k, plus, minus) for k, r in enumerate(rows) for plus, minus in zip(r["plus"], r["minus"], strict=True)]
+        self.base = np.array([k for k, _, _ in changes], np.int64)
+        self.pair = np.repeat(np.arange(len(changes)), [len(p) + len(m) for _, p, m in changes])
+        self.changed = np.array([i for _, p, m in changes for i in (*p, *m)], np.int64)
+        self.sign = np.array([s for _, p, m in changes for s in (*[1.0] * len(p), *[-1.0] * len(m))])
+
+    def loss(self, w: np.ndarray, bias: float, fairness: float) -> tuple[float, np.ndarray, float]:
+        """The loss, its gradient by the weights, and by the bias."""
+        z = np.bincount(self.row, w[self.col], len(self.y)) + bias
+        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        push = self.weight * (score - self.y)
+        value = float(self.weight @ np.logaddexp(0, np.where(self.y > 0, -z, z)) + RIDGE / 2 * w @ w)
+        grad = RIDGE * w
+        if len(self.base) and fairness:
+            gap, scale = np.bincount(self.pair, self.sign * w[self.changed], len(self.base)), fairness / len(self.base)
+            value += float(scale * gap @ gap)
+            grad = grad + np.bincount(self.changed, 2 * scale * self.sign * gap[self.pair], self.n)
+        return value, grad + np.bincount(self.col, push[self.row], self.n), float(push.sum())
+
+
+def design(train: DataFrame, names: list[str]) -> Design:
+    """The rows are bounded by TRAIN_ROWS, each by the number of features."""
     index = {f: i for i, f in enumerate(names)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
+            own, plus, minus = [], [], []
             for text in batch.column(0).to_pylist():
                 words = set(words_of(text))
-                own.append(_row_ids(words, index))
-                swap = swapped(words)
-                other.append(None if swap is None else _row_ids(swap, index))
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(1).cast(pa.int32()), "own": pa.array(own, pa.list_(pa.int32())), "other": pa.array(other, pa.list_(pa.int32()))})
-
-    rows = train.select("text", "toxic").mapInArrow(encode, "toxic int, own array<int>, other array<int>").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["own"], r["other"] or []))
-    y = np.array([r["toxic"] > 0 for r in rows], float)
-    if not 0 < y.sum() < len(y):
+                ids = set(_row_ids(words, index))
+                told = [set(_row_ids(c, index)) for c in counterfactuals(words, zlib.crc32((text or "").encode("utf-8", "surrogatepass")))]
+                own.append(sorted(ids))
+                plus.append([sorted(t - ids) for t in told])
+                minus.append([sorted(ids - t) for t in told])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(1).cast(pa.int32()), "own": pa.array(own, ints), "plus": pa.array(plus, pa.list_(ints)), "minus": pa.array(minus, pa.list_(ints))})
+
+    schema = "toxic int, own array<int>, plus array<array<int>>, minus array<array<int>>"
+    rows = train.select("text", "toxic").mapInArrow(encode, schema).collect()
+    rows.sort(key=lambda r: (r["toxic"], r["own"], r["plus"], r["minus"]))
+    return Design(rows, len(names))
+
+
+def fit(train: DataFrame, features: int = FEATURES, fairness: float = FAIRNESS, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
+    """Weights by feature, and the bias."""
+    names = choose_features(train, features)
+    rows = design(train, names)
+    if not 0 < rows.y.sum() < len(rows.y):
         return {}, 0.0
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    paired = [k for k, r in enumerate(rows) if r["other"] is not None]
-    sets = [r["own"] for r in rows] + [rows[k]["other"] for k in paired]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    col = np.array([i for s in sets for i in s], np.int64)
+    if fairness and not len(rows.base):
+        warnings.warn("no labelled text has a counterfactual: the classifier is a plain one", stacklevel=2)
     w, m, v, m0, v0, bias = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0, 0.0
     for step in range(1, rounds + 1):
-        score = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(sets)) + bias, -30, 30)))
-        push = np.zeros(len(sets))
-        push[: len(y)] = weight * (score[: len(y)] - y)
-        if paired:
-            gap = 2 * fairness / len(paired) * (score[paired] - score[len(y) :])
-            np.add.at(push, paired, gap * score[paired] * (1 - score[paired]))
-            push[len(y) :] -= gap * score[len(y) :] * (1 - score[len(y) :])
-        grad, grad0 = np.bincount(col, push[row], len(names)) + RIDGE * w, push.sum()
+        _, grad, grad0 = rows.loss(w, bias, fairness)
         m, v, m0, v0 = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * m0 + 0.1 * grad0, 0.999 * v0 + 0.001 * grad0**2
         rate = RATE * (1 - step / (rounds + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w, bias = w - rate * m / (np.sqrt(v) + 1e-8), bias - rate * m0 / (np.sqrt(v0) + 1e-8)
