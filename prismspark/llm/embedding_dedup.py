@@ -34,8 +34,9 @@ from prismspark.llm.storage import written
 from prismspark.llm.topk_search import finite
 
 COSINE, BLOCK_DIMS, SEED = 0.9, 16, 9
-#: Members of one tile of a slab.
-TILE = 32_768
+#: Members of one tile of a slab, and those that 128 of them are compared with
+#: at once.
+TILE, SPAN = 32_768, 8_192
 _SLACK = 1e-9
 
 
@@ -72,36 +73,65 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def _slabs(space: Subspaces, dims: int):
-    """Adds to each vector its places: (block, slab, whether it visits)."""
+def _spaces(cosine: float, block_dims: int, seed: int):
+    """Subspaces of each number of dimensions, made when first met."""
+    known: dict[int, Subspaces] = {}
+
+    def of(dims: int) -> Subspaces:
+        if dims not in known:
+            known[dims] = Subspaces(dims, cosine, block_dims, seed)
+        return known[dims]
+
+    return of
+
+
+def _slabs(of):
+    """Adds to each vector its places: the slab of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int32())
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, turned = space.rotated(_matrix(batch.column(2), dims))
-            slabs = np.stack([np.floor(turned[:, a] / w).astype(np.int32) for (a, _), w in zip(space.blocks, space.widths, strict=True)], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(slabs), kind)], names=["rep", "copies", "vector", "slabs"])
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            for dims in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == dims))
+                space = of(dims)
+                _, turned = space.rotated(_matrix(part.column(2), dims))
+                slabs = np.stack([np.floor(turned[:, a] / w).astype(np.int32) for (a, _), w in zip(space.blocks, space.widths, strict=True)], axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(slabs), pa.list_(pa.int32()))], names=["rep", "copies", "vector", "slabs"])
 
     return run
 
 
-def _hits(near: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a matrix that are at most ``limit``; few are, so eight at a
-    time are passed over."""
-    width = -(-near.shape[1] // 8) * 8
-    flags = np.zeros((len(near), width), bool)
-    np.less_equal(near, limit, out=flags[:, : near.shape[1]])
+def _hits(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the set flags of a matrix whose width is a multiple of 8; few
+    are set, so eight at a time are passed over."""
     i, j = np.nonzero(flags.view(np.uint64))
     i, j = np.repeat(i, 8), (j[:, None] * 8 + np.arange(8)).ravel()
     keep = flags[i, j]
     return i[keep], j[keep]
 
 
-def _compare(space: Subspaces, dims: int, cosine: float):
+class Forest:
+    """Smallest place that each place is linked with, directly or not."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def _compare(of, cosine: float):
     def run(group: pa.Table) -> pa.Table:
-        block, p, q = (group[c][0].as_py() for c in ("block", "p", "q"))
+        dims, block, p, q = (group[c][0].as_py() for c in ("dims", "block", "p", "q"))
+        space = of(dims)
         rep, copies, visits, tile = (group[c].to_numpy() for c in ("rep", "copies", "visits", "tile"))
         unit, turned = space.rotated(_matrix(group["vector"], dims))
         low, high = space.blocks[block]
@@ -111,7 +141,8 @@ def _compare(space: Subspaces, dims: int, cosine: float):
         from_, to = np.hstack([-2 * near, size, one]), np.hstack([near, one, size])
         along = turned[:, min(low + 1, high - 1)]  # neighbours lie within the radius here too
         limit, reach = np.float32(space.budgets[block] + 1e-5), space.widths[block]
-        links, pairs_a, pairs_b = np.zeros(len(rep), np.int64), [], []
+        squares = np.stack([(turned[:, a:b] ** 2).sum(axis=1) for a, b in space.blocks[: block + 1]])
+        links, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
 
         def verify(a: np.ndarray, b: np.ndarray) -> None:
             close = np.einsum("ij,ij->i", unit32[a], unit32[b]) >= cosine - 1e-4
@@ -119,7 +150,7 @@ def _compare(space: Subspaces, dims: int, cosine: float):
             dot, first = np.zeros(len(a)), np.full(len(a), -1)
             for d in range(dims):
                 dot += unit[a, d] * unit[b, d]
-            for c, (start, stop) in enumerate(space.blocks):
+            for c, (start, stop) in enumerate(space.blocks[: block + 1]):
                 gap = np.zeros(len(a))
                 for d in range(start, stop):
                     gap += (turned[a, d] - turned[b, d]) ** 2
@@ -128,8 +159,26 @@ def _compare(space: Subspaces, dims: int, cosine: float):
             a, b = a[own], b[own]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            pairs_a.append(a)
-            pairs_b.append(b)
+            forest.join(a, b)
+
+        def verify_many(rows: np.ndarray, columns: np.ndarray, hit: np.ndarray) -> None:
+            """As ``verify``, for most pairs of a matrix at once; pairs too close
+            to a bound to tell from products go through ``verify``."""
+            dot = unit[rows] @ unit[columns].T
+            sure = hit & (dot >= cosine + 1e-9)
+            unsure = hit & ~sure & (dot >= cosine - 1e-9)
+            for c, (start, stop) in enumerate(space.blocks[: block + 1]):
+                gap = squares[c][rows][:, None] + squares[c][columns] - 2 * (turned[rows, start:stop] @ turned[columns, start:stop].T)
+                edge = np.abs(gap - space.budgets[c]) <= 1e-9
+                unsure |= sure & edge
+                sure &= ~edge & ((gap <= space.budgets[c]) == (c == block))
+            sure &= ~unsure
+            links[rows] += sure @ copies[columns]
+            links[columns] += copies[rows] @ sure
+            i, j = np.nonzero(sure & (forest.root[rows][:, None] != forest.root[columns]))
+            forest.join(rows[i], columns[j])
+            i, j = np.nonzero(unsure)
+            verify(rows[i], columns[j])
 
         def scan(left: np.ndarray, right: np.ndarray, same: bool) -> None:
             left, right = left[np.argsort(along[left], kind="stable")], right[np.argsort(along[right], kind="stable")]
@@ -138,13 +187,18 @@ def _compare(space: Subspaces, dims: int, cosine: float):
                 rows = left[at : at + 128]
                 begin = max(at if same else 0, int(np.searchsorted(steps, along[rows[0]] - reach)))
                 end = int(np.searchsorted(steps, along[rows[-1]] + reach, "right"))
-                if begin >= end:
-                    continue
-                i, j = _hits(from_[rows] @ wanted[begin:end].T, limit)
-                if same:
-                    i, j = i[at + i < begin + j], j[at + i < begin + j]
-                for k in range(0, len(i), 1 << 18):
-                    verify(rows[i[k : k + (1 << 18)]], right[begin + j[k : k + (1 << 18)]])
+                for start in range(begin, end, SPAN):
+                    columns = right[start : min(start + SPAN, end)]
+                    flags = np.zeros((len(rows), -(-len(columns) // 8) * 8), bool)
+                    hit = flags[:, : len(columns)]
+                    np.less_equal(from_[rows] @ wanted[start : start + len(columns)].T, limit, out=hit)
+                    if same and start < at + 128:
+                        hit &= (at + np.arange(len(rows)))[:, None] < start + np.arange(len(columns))
+                    if np.count_nonzero(hit) * 16 > hit.size:
+                        verify_many(rows, columns, hit)
+                    else:
+                        i, j = _hits(flags)
+                        verify(rows[i], columns[j])
 
         home = [np.flatnonzero((tile == t) & ~visits) for t in (p, q)]
         guest = [np.flatnonzero((tile == t) & visits) for t in (p, q)]
@@ -152,16 +206,7 @@ def _compare(space: Subspaces, dims: int, cosine: float):
         scan(home[0], guest[1], False)
         if p != q:
             scan(home[1], guest[0], False)
-        a, b = np.concatenate([*pairs_a, np.zeros(0, int)]), np.concatenate([*pairs_b, np.zeros(0, int)])
-        root = np.arange(len(rep))
-        while len(a):
-            least = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, root[a], least)
-            np.minimum.at(root, root[b], least)
-            root = root[root]
-            if (before == root).all():
-                break
+        root = forest.root
         joined, linked = np.flatnonzero(root != np.arange(len(rep))), np.flatnonzero(links)
         return pa.table({
             "a": pa.array(np.concatenate([rep[linked], rep[joined]]), pa.int64()),
@@ -181,22 +226,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_dims: int
     rows = written(rows.select("vec_id", F.when(fit, F.col("vector")).alias("vector")), "vectors")
     classes = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.select("rep", "copies", "vector"), "vector-classes")
-    parts = None
-    for (dims,) in classes.select(F.size("vector")).distinct().orderBy(F.size("vector")).collect():
-        space = Subspaces(dims, cosine, block_dims, seed)
-        kind = classes.schema["vector"].dataType.simpleString()
-        placed = classes.filter(F.size("vector") == dims).mapInArrow(_slabs(space, dims), f"rep long, copies long, vector {kind}, slabs array<int>")
-        placed = placed.select("rep", "copies", "vector", F.posexplode("slabs").alias("block", "home"))
-        placed = placed.select("rep", "copies", "vector", "block", F.explode(F.array(F.struct(F.col("home").alias("slab"), F.lit(False).alias("visits")), F.struct((F.col("home") + 1).alias("slab"), F.lit(True).alias("visits")))).alias("x")).select("rep", "copies", "vector", "block", "x.*")
-        # One row a block and slab: at most 2 / width + 2 slabs, whatever the table holds.
-        members = placed.groupBy("block", "slab").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
-        dealt = placed.join(F.broadcast(members), ["block", "slab"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        dealt = dealt.select("*", other.alias("o")).withColumns({"p": F.least("tile", "o"), "q": F.greatest("tile", "o")})
-        found = dealt.select("rep", "copies", "vector", "block", "slab", "visits", "tile", "p", "q").groupBy("block", "slab", "p", "q").applyInArrow(_compare(space, dims, cosine), "a long, b long, links long")
-        parts = found if parts is None else parts.unionAll(found)
-    if parts is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    of, kind = _spaces(cosine, block_dims, seed), classes.schema["vector"].dataType.simpleString()
+    placed = classes.filter(F.size("vector") > 0).mapInArrow(_slabs(of), f"rep long, copies long, vector {kind}, slabs array<int>")
+    placed = placed.select("rep", "copies", "vector", F.size("vector").alias("dims"), F.posexplode("slabs").alias("block", "home"))
+    visited = F.array(F.struct(F.col("home").alias("slab"), F.lit(False).alias("visits")), F.struct((F.col("home") + 1).alias("slab"), F.lit(True).alias("visits")))
+    placed = placed.select("rep", "copies", "vector", "dims", "block", F.explode(visited).alias("x")).select("rep", "copies", "vector", "dims", "block", "x.*")
+    # One row a block and slab: at most 2 / width + 2 slabs of each length of vectors.
+    members = placed.groupBy("dims", "block", "slab").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    dealt = placed.join(members, ["dims", "block", "slab"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = dealt.select("*", other.alias("o")).withColumns({"p": F.least("tile", "o"), "q": F.greatest("tile", "o")})
+    parts = dealt.select("rep", "copies", "vector", "visits", "tile", "dims", "block", "slab", "p", "q").groupBy("dims", "block", "slab", "p", "q").applyInArrow(_compare(of, cosine), "a long, b long, links long")
     parts = written(parts, "vector-links")
     reached = components(parts.filter("b is not null").select("a", "b"))
     counts = written(parts.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")), "vector-counts")

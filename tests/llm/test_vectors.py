@@ -76,6 +76,25 @@ def test_links_equal_brute_force(vectors, tile):
     assert sum(links.values()) > 3000
 
 
+def test_dense_cluster_needs_no_list_of_pairs():
+    """20,000 vectors that all link: counts and a tree, in bounded memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 20_000, np.random.default_rng(2)
+    x = (rng.standard_normal(32) + 0.02 * rng.standard_normal((n, 32))).astype(np.float32)
+    column = lambda v: pa.array(np.full(n, v))
+    group = pa.table({"rep": pa.array(np.arange(n)), "copies": column(1), "vector": pa.array(list(x), pa.list_(pa.float32())), "visits": column(False), "tile": column(0), "dims": column(32), "block": column(0), "slab": column(0), "p": column(0), "q": column(0)})
+    compare = embedding_dedup._compare(embedding_dedup._spaces(0.9, 16, 9), 0.9)
+    tracemalloc.start()
+    out = compare(group).to_pylist()
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert sum(r["links"] for r in out) == n * (n - 1)
+    assert sorted(r["a"] for r in out if r["b"] is not None) == list(range(1, n)) and {r["b"] for r in out} == {None, 0}
+
+
 def test_no_vectors(vectors):
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
