@@ -1,17 +1,21 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 The words that the mix takes are cut into blocks of equal size.  Blocks go to
-the sources by highest quotients (target / (2k + 1)), then each source's blocks
-go to its shards the same way, which gives an integer quota per shard; within a
-shard the quota is met by a seeded choice among the blocks of its word stream.
+the sources by highest quotients (target / (2k + 1)), each source's blocks go to
+groups of its shards the same way, and each group's to its shards, which gives
+an integer quota per shard; within a shard the quota is met by a seeded choice
+among the blocks of its word stream.
 
-A shard holds documents of one source, dealt by a hash of their id, so a source
-with most of the rows spreads over many shards.  A block may be taken at most
-as often as the source's cap allows.
+A shard holds documents of one source, dealt by a hash of the row, so a source
+with most of the rows spreads over many shards; their size stays the same
+whatever the table's.  A block may be taken at most as often as the source's
+cap allows.  Rows are numbers and keys until all is decided; only then the words
+are cut from the texts.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null
-source is a source of its own, last in order; repeated rows count each; an
-empty table gives an empty result; sources that are empty get target 0.
+source is a source of its own, last in order; rows that are alike in all columns
+are numbered copies, each with its own place in a word stream; an empty table
+gives an empty result; sources that are empty get target 0.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismspark.llm.storage import map_rows, small_batches, written
@@ -31,8 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2
 BLOCK_WORDS = 64
-#: Words that a shard aims at, and the most shards of one source.
-SHARD_WORDS, MAX_SHARDS = 65_536, 4096
+#: Words that a shard aims at, and shards that a group of them aims at.
+SHARD_WORDS, GROUP_SHARDS = 65_536, 1024
 #: Sources are read by the driver, one row each; more than this is refused.
 MAX_SOURCES = 100_000
 SEED = 20
@@ -86,12 +90,14 @@ def apportion(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return out
 
 
-def _shard_quotas(block: int, cap: int):
+def _quotas(by: str, cap: int):
+    """Adds quota: the seats of a group of rows, apportioned among them by
+    words; none gets more than ``cap`` times its blocks."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("shard")
-        blocks = [-(-int(w) // block) for w in rows["words"]]
-        quota = apportion([float(w) for w in rows["words"]], int(rows["seats"].iloc[0]), [cap * b for b in blocks])
-        return pd.DataFrame({"s": rows["s"], "shard": rows["shard"], "quota": quota, "blocks": blocks})
+        rows = rows.sort_values(by)
+        quota = apportion([float(w) for w in rows["words"]], int(rows["seats"].iloc[0]), [cap * int(b) for b in rows["blocks"]])
+        return rows.drop(columns=["words", "seats"]).assign(quota=quota)
 
     return run
 
@@ -100,43 +106,54 @@ def _size():
     return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of all rows, written once: texts are read once."""
-    return written(docs.select("doc_id", "source", _size().alias("size")), "mix-sizes")
+def _row_key(docs: DataFrame, seed: int) -> Column:
+    """A hash of the whole row (maps aside, which have no hash)."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def sized(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, source, size, row, copies) of all different rows, written once:
+    texts are read once.  row: a hash of the row."""
+    rows = docs.select("doc_id", "source", _size().alias("size"), _row_key(docs, seed).alias("row"))
+    return written(rows.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
 
 
-def _allocated(sizes: DataFrame, docs: DataFrame, weights: tuple[float, ...], share: float, cap: int, block: int, seed: int) -> DataFrame:
-    """``docs`` (doc_id, source, size, any others) with source_size, target and
+def allocated(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: int, block: int, seed: int) -> DataFrame:
+    """(doc_id, source, size, row, copy, copies, source_size, target, s, g,
+    shard, start, quota, blocks, taken_blocks) of every copy of every row.
     taken_blocks: an array of (first, stop, times), the row's words in each
-    block and how often they are taken.  ``sizes``: the same rows, without others."""
+    block and how often they are taken; start: its place in the shard's words."""
     spark = sizes.sparkSession
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    rows = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # by code point
     n = [int(r["n"]) for r in rows]
     aim = targets(n, [weights[i % len(weights)] for i in range(len(n))], share, cap)
     seats = apportion(aim, round(sum(aim) / block), [cap * -(-x // block) for x in n])
+    groups = [max(1, -(-x // (SHARD_WORDS * GROUP_SHARDS))) for x in n]
     plan = spark.createDataFrame(
-        [(i, r["source"], x, a, q, max(1, min(MAX_SHARDS, -(-x // SHARD_WORDS)))) for i, (r, x, a, q) in enumerate(zip(rows, n, aim, seats, strict=True))],
-        "s int, name string, source_size long, target double, seats long, shards int",
+        [(i, r["source"], x, a, q, g, max(1, -(-x // (SHARD_WORDS * g)))) for i, (r, x, a, q, g) in enumerate(zip(rows, n, aim, seats, groups, strict=True))],
+        "s int, name string, source_size long, target double, seats long, groups long, shards long",
     )
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        named = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))  # MAX_SOURCES rows
-        named = named.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-        return named.withColumn("shard", F.pmod("h", "shards").cast("int"))
-
-    per_shard = dealt(sizes).groupBy("s", "shard", "seats").agg(F.sum("size").alias("words"))
-    quotas = per_shard.groupBy("s").applyInPandas(_shard_quotas(block, cap), "s int, shard int, quota long, blocks long")
+    each = sizes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    named = each.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))  # MAX_SOURCES rows
+    named = named.withColumn("h", F.xxhash64("row", "copy"))
+    dealt = named.withColumns({"g": F.pmod("h", "groups"), "shard": F.pmod(F.xxhash64("h"), "shards")})
+    per_shard = dealt.groupBy("s", "g", "shard", "seats").agg(F.sum("size").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block).cast("long"))
+    # A source has a group for each SHARD_WORDS * GROUP_SHARDS words.
+    per_group = per_shard.groupBy("s", "g", "seats").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"))
+    per_group = per_group.groupBy("s").applyInPandas(_quotas("g", cap), "s int, g long, blocks long, quota long")
+    per_shard = per_shard.drop("seats").join(per_group.select("s", "g", F.col("quota").alias("seats")), ["s", "g"])
+    per_shard = per_shard.select("s", "g", "shard", "words", "blocks", "seats").groupBy("s", "g").applyInPandas(_quotas("shard", cap), "s int, g long, shard long, blocks long, quota long")
     # One word stream a shard, its documents in seeded order.
-    stream = Window.partitionBy("s", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt(docs).withColumn("stop", F.sum("size").over(stream)).withColumn("start", F.col("stop") - F.col("size"))
-    chosen = placed.join(quotas, ["s", "shard"])
+    stream = Window.partitionBy("s", "g", "shard").orderBy("h", "doc_id", "row", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("stop", F.sum("size").over(stream)).withColumn("start", F.col("stop") - F.col("size"))
+    chosen = placed.join(per_shard, ["s", "g", "shard"])
     # Block b is taken quota div blocks times, and once more if its place in a
     # seeded order of the shard's blocks, pmod(step * b + turn, blocks), is
     # under the remainder; step is prime and above any number of blocks.
-    turn = F.pmod(F.xxhash64(F.lit(seed), "s", "shard", F.lit("turn")), F.lit(1 << 30))
+    turn = F.pmod(F.xxhash64(F.lit(seed), "s", "g", "shard", F.lit("turn")), F.lit(1 << 30))
     step = F.lit(2_147_483_647).cast("long")
     blocks = F.greatest(F.col("blocks"), F.lit(1))
     every = F.expr("quota div greatest(blocks, 1)")
@@ -152,13 +169,13 @@ def _allocated(sizes: DataFrame, docs: DataFrame, weights: tuple[float, ...], sh
 
     held = F.transform(F.sequence(F.expr(f"start div {block}"), F.expr(f"(stop - 1) div {block}")), words_of)
     none = F.array().cast("array<struct<first:bigint,stop:bigint,times:bigint>>")
-    return chosen.select(*docs.columns, "source_size", "target", F.when(F.col("size") > 0, held).otherwise(none).alias("taken_blocks"))
+    own = ["doc_id", "source", "size", "row", "copy", "copies", "source_size", "target", "s", "g", "shard", "start", "quota", "blocks"]
+    return chosen.select(*own, F.when(F.col("size") > 0, held).otherwise(none).alias("taken_blocks"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row."""
-    sizes = sized(docs)
-    found = _allocated(sizes, sizes, weights, share, cap, block, seed)
+    found = allocated(sized(docs, seed), weights, share, cap, block, seed)
     taken = F.aggregate("taken_blocks", F.lit(0).cast("long"), lambda acc, b: acc + (b["stop"] - b["first"]) * b["times"])
     return found.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
@@ -204,7 +221,16 @@ def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     a further row for each time that words are taken again.  Rows of which
     nothing is taken go."""
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "source", _size().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    found = _allocated(sized(docs), rows, weights, share, cap, block, seed)
-    flat = found.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], F.col("taken_blocks").alias("__blocks"))
+    sizes = sized(docs, seed)
+    found = allocated(sizes, weights, share, cap, block, seed)
+    found = found.filter(F.exists("taken_blocks", lambda b: b["times"] > 0)).select(F.col("doc_id").alias("__id"), F.col("row").alias("__key"), "copies", F.col("taken_blocks").alias("__blocks"))
+    keyed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    keyed = keyed.withColumn("__row", _row_key(keyed, seed))
+    same = (F.col("__row") == F.col("__key")) & F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("__id"))
+    flat = keyed.join(found.filter("copies = 1"), same).drop("__row", "__id", "__key", "copies")
+    if sizes.filter("copies > 1").limit(1).count():
+        # Rows that are alike in all columns: one text, and the blocks of each copy.
+        alike = sizes.filter("copies > 1").select(F.col("row").alias("__twice"))
+        once = keyed.join(alike, F.col("__row") == F.col("__twice"), "left_semi").dropDuplicates([f"c{docs.columns.index('doc_id')}", "__row"])
+        flat = flat.unionByName(once.join(found.filter("copies > 1"), same).drop("__row", "__id", "__key", "copies"))
     return map_rows(flat, _texts(cap, docs.columns.index("text"), len(docs.columns)), docs.schema.fields)

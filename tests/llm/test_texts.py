@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismspark.llm import bpe, licenses, minhash_dedup, mixing, secret_scan, suffix_dedup, token_count, toxicity
-from prismspark.llm.queries import TOKENIZERS
+from prismspark.llm.queries import tokenizer
 
-BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE, PIECES = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
 
 
 def by_id(frame):
