@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismspark.llm import bpe, minhash_dedup, mixing, secret_scan, toxicity
-from prismspark.llm.queries import TOKENIZERS
+from prismspark.llm.queries import tokenizer
 from prismspark.llm.storage import table, written
 
 
@@ -45,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and the digests of ids and decoded text."""
-    return bpe.encode_decode(docs, f"{TOKENIZERS}/byte_bpe_50k.json", outputs=True).drop("decoded")
+    return bpe.encode_decode(docs, tokenizer("byte_bpe_50k.json"), outputs=True).drop("decoded")
 
 
 STAGES = [
