@@ -1,21 +1,78 @@
 """Draws that depend on a key alone, so that a rerun or a retried task repeats
-them.  The arithmetic key is one that any SQL engine can work out."""
+them.  The arithmetic keys are ones that any SQL engine can work out."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MODULUS = 4_294_967_296
+#: A prime whose squares stay under 2^63.
+_PRIME = 3_037_000_493
+
+
+def _stages(seed: int) -> list[tuple[int, int]]:
+    """(factor, offset) of each step; a seed has its own, so orders of different
+    seeds are not shifts of one another."""
+    out = []
+    for k in range(3):
+        digest = hashlib.sha256(f"{seed}:{k}".encode()).digest()
+        out.append((1 << 30 | int.from_bytes(digest[:4], "big") >> 3 | 1, int.from_bytes(digest[4:8], "big") >> 1))
+    return out
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
 def order_key(ident: Column, seed: int) -> Column:
-    """Seeded order of non-negative ids under 2^31, as BIGINT."""
-    return F.pmod(ident.cast("long") * F.lit(2_654_435_761).cast("long") + F.lit(seed * 40_503).cast("long"), F.lit(MODULUS).cast("long"))
+    """Seeded order of 64-bit ids, as BIGINT from 0 to 2^32 - 1: linear steps
+    with squares between them, modulo a prime.  No product reaches 2^63."""
+    x = F.pmod(ident.cast("long"), _long(_PRIME))
+    *steps, (factor, offset) = _stages(seed)
+    for f, o in steps:
+        x = F.pmod(x * _long(f) + _long(o), _long(_PRIME))
+        x = F.pmod(x * x, _long(_PRIME))
+    return F.pmod(x * _long(factor) + _long(offset), _long(MODULUS))
 
 
 def order_key_sql(ident: str, seed: int) -> str:
-    return f"((cast({ident} as bigint) * 2654435761 + {seed * 40_503}) % {MODULUS})"
+    x = f"((cast({ident} as bigint) % {_PRIME} + {_PRIME}) % {_PRIME})"
+    *steps, (factor, offset) = _stages(seed)
+    for f, o in steps:
+        x = f"(({x} * {f} + {o}) % {_PRIME})"
+        x = f"(({x} * {x}) % {_PRIME})"
+    return f"(({x} * {factor} + {offset}) % {MODULUS})"
+
+
+def place_key(ident: Column, place: Column | int, seed: int) -> Column:
+    """As ``order_key``, of an id and a place under 2^31 (a channel, a draw)."""
+    place = F.lit(place) if isinstance(place, int) else place
+    return order_key(order_key(ident, seed) + place.cast("long") * _long(MODULUS), seed)
+
+
+def place_key_sql(ident: str, place: str, seed: int) -> str:
+    return order_key_sql(f"({order_key_sql(ident, seed)} + cast({place} as bigint) * {MODULUS})", seed)
+
+
+def share(key: Column) -> Column:
+    """A key as a uniform draw in (0, 1)."""
+    return (key + 0.5) / float(MODULUS)
+
+
+def share_sql(key: str) -> str:
+    return f"(({key} + cast(0.5 as double)) / cast({MODULUS} as double))"
+
+
+def gaussian(ident: Column, place: Column | int, seed: int) -> Column:
+    """Standard normal by Box-Muller on the draws of two seeds."""
+    return F.sqrt(-2 * F.log(share(place_key(ident, place, seed)))) * F.cos(2 * F.pi() * share(place_key(ident, place, seed + 1_000_003)))
+
+
+def gaussian_sql(ident: str, place: str, seed: int) -> str:
+    return f"(sqrt(-2 * ln({share_sql(place_key_sql(ident, place, seed))})) * cos(2 * pi() * {share_sql(place_key_sql(ident, place, seed + 1_000_003))}))"
 
 
 def uniform(seed: int, *key: Column) -> Column:

@@ -65,13 +65,20 @@ def als_baseline(x: np.ndarray, lam: float = 1e5, p: float = 0.01, rounds: int =
     return z.T
 
 
-def emsc(x: np.ndarray, reference: np.ndarray, order: int = 2, extra: np.ndarray | None = None) -> np.ndarray:
+def scaled_axis(axis: np.ndarray) -> np.ndarray:
+    """The axis from -1 to 1, in its own direction."""
+    axis = np.asarray(axis, float)
+    return 2 * (axis - axis[0]) / (axis[-1] - axis[0]) - 1 if len(axis) > 1 else np.zeros(len(axis))
+
+
+def emsc(x: np.ndarray, reference: np.ndarray, order: int = 2, extra: np.ndarray | None = None, axis: np.ndarray | None = None) -> np.ndarray:
     """Extended multiplicative signal correction: least squares on the reference
-    and powers of the scaled axis (and ``extra`` rows); all but the reference's
-    part is taken off and the rest divided by its coefficient."""
+    and powers of the axis, scaled to [-1, 1] (channel numbers if None), and
+    ``extra`` rows; all but the reference's part is taken off and the rest
+    divided by its coefficient."""
     if x.shape[1] != len(reference):
         raise ValueError(f"reference has {len(reference)} channels, spectra have {x.shape[1]}")
-    t = np.linspace(-1, 1, len(reference))
+    t = scaled_axis(np.arange(len(reference)) if axis is None else axis)
     design = np.vstack([reference, *[t**k for k in range(order + 1)], *([] if extra is None else extra)])
     c = x @ np.linalg.pinv(design)
     return (x - c[:, 1:] @ design[1:]) / np.where(np.abs(c[:, :1]) < 1e-12, 1e-12, c[:, :1])
@@ -89,7 +96,7 @@ def fringe_emsc(x: np.ndarray, axis: np.ndarray, reference: np.ndarray, window:
     place, out = np.arange(x.shape[1]), np.empty_like(x, float)
     for f in np.unique(best):
         k = best == f
-        out[k] = emsc(x[k], reference, order, np.vstack([np.sin(2 * np.pi * f * place), np.cos(2 * np.pi * f * place)]))
+        out[k] = emsc(x[k], reference, order, np.vstack([np.sin(2 * np.pi * f * place), np.cos(2 * np.pi * f * place)]), axis)
     return out
 
 
@@ -99,9 +106,17 @@ def me_emsc(x: np.ndarray, axis: np.ndarray, reference: np.ndarray, components:
     design; the corrected spectra become the next round's reference."""
     curves = np.array([van_de_hulst(axis, radius, index) for radius in np.linspace(2, 7.1, 10) for index in np.linspace(1.1, 1.4, 10)])
     basis = np.linalg.svd(curves - curves.mean(axis=0), full_matrices=False)[2][:components]
-    extra, out = np.vstack([curves.mean(axis=0), basis]), x
+    # What the constant and the curves span; a row's own reference is the rest.
+    _, size, directions = np.linalg.svd(np.vstack([np.ones(len(axis)), curves.mean(axis=0), basis]), full_matrices=False)
+    span = directions[size > size[0] * 1e-12]
+    rest = lambda v: v - v @ span.T @ span
+    out, own = x, np.broadcast_to(reference, x.shape)
     for _ in range(rounds):
-        out = np.vstack([emsc(row[None], ref, 0, extra) for row, ref in zip(x, np.broadcast_to(reference, x.shape) if out is x else (out + reference) / 2, strict=True)])
+        part = rest(own)
+        scale = (rest(x) * part).sum(axis=1, keepdims=True) / np.maximum((part * part).sum(axis=1, keepdims=True), 1e-300)
+        scale = np.where(np.abs(scale) < 1e-12, 1e-12, scale)
+        out = rest(x - scale * own) / scale + own
+        own = (out + reference) / 2
     return out
 
 

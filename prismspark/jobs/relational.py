@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismspark.functions.hashrand import order_key, order_key_sql
+from prismspark.functions.hashrand import order_key, order_key_sql, place_key_sql
 from prismspark.operators import evaluate, sampling, scoring
 from prismspark.sources import predictions, stores
-from prismspark.sources.tables import pixels, spectra, table, trials
+from prismspark.sources.tables import CHANNELS, pixels, spectra, table, trials
 
 BUDGET, RATIO = 200, 0.3
 
@@ -59,7 +59,7 @@ def test_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balanced_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.balanced_batches(spectra(spark, sf_dir), "y", "vec_id", 5, 8, 7)
+    return sampling.balanced_batches(spectra(spark, sf_dir), "y", "vec_id", 5, 8, 7, 3)
 
 
 def dominant_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,8 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """100 equal bins between the least and the largest value."""
     p = pixels(spark, sf_dir)
     ends = p.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
-    place = F.least(F.floor((F.col("value") - F.col("lo")) * 100 / (F.col("hi") - F.col("lo"))), F.lit(99)).cast("long")
+    place = F.floor(F.try_divide((F.col("value") - F.col("lo")) * 100, F.col("hi") - F.col("lo")))  # null where all are alike
+    place = F.when(F.col("value").isNotNull(), F.least(F.coalesce(place, F.lit(0)), F.lit(99))).cast("long")
     return p.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -205,9 +206,8 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def smoothed_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxcar mean over five steps of each series."""
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-2, 2)
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").cast("long").alias("step"), F.round(F.avg(F.col("value").cast("double")).over(w), 6).alias("smooth"))
+    log = table(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
+    return evaluate.boxcar(log, "event_type", "step", "value", 2).select("step", F.round("smooth", 6).alias("smooth"))
 
 
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,13 +300,35 @@ def study_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.orderBy(F.desc("value"), "id").limit(10).select("id", "kind", F.round("value", 6).alias("value"))
 
 
+def failed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with spectra that cannot be scored: some null, some cut short."""
+    rows = spectra(spark, sf_dir)
+    broken = F.when(F.col("vec_id") % 97 == 0, None).when(F.col("vec_id") % 89 == 0, F.slice("x", 1, 50)).otherwise(F.col("x"))
+    scored = scoring.score(rows.withColumn("x", broken), scoring.seeded_network(CHANNELS, 10), channels=CHANNELS)
+    return scoring.failed_images(scored)
+
+
+def trial_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials by optional lists of sizes, seeds and arms."""
+    found = evaluate.filter_trials(trials(spark, sf_dir), n=[64, 128], seed=None, arm=[1])
+    return found.groupBy("n", "seed").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+def paired_delta_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of the arms by size and seed token; a trial that ran again counts once."""
+    t = predictions.with_trial_ids(trials(spark, sf_dir).select("n", "seed", "arm").distinct())
+    per = trials(spark, sf_dir).withColumn("run", (F.col("event_id") / 1000).cast("long")).groupBy("n", "seed", "arm", "run").agg(F.avg(evaluate.hit()).alias("accuracy"))
+    found = evaluate.paired_by_token(per.join(t.select("n", "seed", "arm", "seed_token"), ["n", "seed", "arm"]), "n", "seed_token", "arm", "accuracy", "run")
+    return found.select("n", "pairs", (F.round("mean_delta", 6) + F.lit(0.0)).alias("mean_delta"))
+
+
 QUERIES = {f.__name__: f for f in (
     waterfill_sample, waterfill_quota, hyperspectral_sample, signal_background_filter, patient_split, split_leakage, label_split, test_subsample, balanced_batch,
     dominant_class, class_histogram_pct, class_per_image, accuracy_per_class, accuracy_summary, accuracy_by_n, paired_delta, confusion_pct, normalised_error,
     median_core_size, value_histogram, early_stop_wait, sweep_best, schedule_strength, safe_names, missing_images, trial_id_build, image_listing, image_shapes,
     pixel_range, class_subset, background_exclusion, augmentation_mask, search_space, param_importance, metric_log, smoothed_metric,
     label_counts, attribute_filter, label_lookup, prediction_truth, image_accuracy, name_accuracy, class_order_check, sampled_counters, shared_seeds,
-    missing_classes, fit_pool, prediction_records, study_columns,
+    missing_classes, fit_pool, prediction_records, study_columns, failed_images, trial_filters, paired_delta_token,
 )}
 
 _EV = "ev as (select event_type as label, cast(user_id as bigint) as core, cast(event_id as bigint) as event_id, cast(value as double) as value from events)"
@@ -338,9 +360,14 @@ ORACLE_SQL = {
       select image, label, case when r <= round_even(n * cast(0.7 as double), 0) then 'train' else 'test' end as part from r""",
     "test_subsample": f"""with {_OR}, r as (select *, row_number() over (partition by label order by {order_key_sql("image", 6)}, image) as r, count(*) over (partition by label) as n from o)
       select label, image from r where r <= greatest(1, round_even(n * cast(0.1 as double), 0))""",
-    "balanced_batch": f"""with e as (select vec_id, cast(label as bigint) as y from embeddings), i as (select *, row_number() over (partition by y order by vec_id) - 1 as i from e),
-      c as (select y, count(*) as n from e group by y), d as (select y, n, b as batch, s as slot from c, unnest(range(0, 5)) as x(b), unnest(range(0, 8)) as z(s))
-      select batch, slot, d.y, vec_id from d join i on i.y = d.y and i.i = {order_key_sql("batch * 8 + slot + 1", 7)} % n""",
+    "balanced_batch": f"""with e as (select vec_id, cast(label as bigint) as y from embeddings),
+      i as (select *, row_number() over (partition by y order by {order_key_sql("vec_id", 7)}, vec_id) - 1 as i from e),
+      c as (select y, n, row_number() over (order by y) - 1 as k, cast(sum(n) over (order by y) - n as bigint) as start, cast(sum(n) over () as bigint) as total from (select y, count(*) as n from e group by y)),
+      d as (select b as batch, y, k * 8 + s as d, {order_key_sql("b * 8 + s + 1", 7)} % n as i from c, unnest(range(0, 5)) as x(b), unnest(range(0, 8)) as z(s)
+        union all select b, y, -1 - s, {order_key_sql("b * 3 + s + 1", 8)} % total - start as i from c, unnest(range(0, 5)) as x(b), unnest(range(0, 3)) as z(s)
+        where {order_key_sql("b * 3 + s + 1", 8)} % total - start between 0 and n - 1),
+      o as (select *, row_number() over (partition by batch order by {place_key_sql("d", "batch", 9)}, d) - 1 as slot from d)
+      select batch, slot, o.y, vec_id from o join i on i.y = o.y and i.i = o.i""",
     "dominant_class": f"""with {_PX}, c as (select image, class, count(*) as n from px group by all), r as (select *, row_number() over (partition by image order by n desc, class) as r from c)
       select image, class as dominant, n from r where r = 1""",
     "class_histogram_pct": f"with {_PX} select class, count(*) as n, round(cast(100 as double) * count(*) / sum(count(*)) over (), 6) as pct from px group by class",
@@ -404,4 +431,10 @@ ORACLE_SQL = {
       select image, px, max(c) filter (r = 1) as argmax, round(max(cast(cast(p as float) as double)) filter (c = 0), 4) as bg_prob,
         string_agg(cast(c as varchar), ',' order by r) filter (r <= 3) as top, cast(max(label) as bigint) as true_label from r group by image, px""",
     "study_columns": "select cast(event_id as bigint) as id, event_type as kind, round(cast(value as double), 6) as value from events where event_type != 'error' order by cast(value as double) desc, event_id limit 10",
+    "failed_images": """select vec_id % 25 as image, count(*) as pixels, count(*) filter (vec_id % 97 = 0 or vec_id % 89 = 0) as failed from embeddings
+      group by 1 having count(*) filter (vec_id % 97 = 0 or vec_id % 89 = 0) > 0""",
+    "trial_filters": f"with {_TR} select n, seed, count(*) as pixels from t where n in (64, 128) and arm = 1 group by n, seed",
+    "paired_delta_token": f"""with {_TR}, r as (select n, seed, arm, event_id // 1000 as run, avg({_HIT}) as a from t group by all),
+      l as (select n, seed, arm, a from (select *, row_number() over (partition by n, seed, arm order by run desc) as k from r) where k = 1)
+      select x.n, count(*) as pairs, round(avg(y.a - x.a), 6) + cast(0 as double) as mean_delta from l x join l y on x.n = y.n and x.seed = y.seed and x.arm = 0 and y.arm = 1 group by x.n""",
 }

@@ -95,14 +95,72 @@ def dominant_class(rows: DataFrame, group: str, column: str) -> DataFrame:
     return counts.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select(group, F.col(column).alias("dominant"), "n")
 
 
+#: Steps of one range of a series.
+SPAN = 4_096
+
+
+def in_order(log: DataFrame, series: str, step: str) -> DataFrame:
+    """``log`` with __i, the place of each row in its series by step from 1, and
+    __c, its range of steps.  Rows are numbered within ranges; what comes before
+    a range is counted, so that no task holds a series."""
+    ranged = log.withColumn("__c", F.floor(F.col(step) / SPAN))
+    counts = ranged.groupBy(series, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(series).orderBy("__c")) - F.col("__n")
+    counts = counts.select(F.col(series).alias("__s"), F.col("__c").alias("__r"), before.alias("__o"))
+    within = F.row_number().over(Window.partitionBy(series, "__c").orderBy(step))
+    found = ranged.withColumn("__k", within).join(counts, F.col(series).eqNullSafe(F.col("__s")) & F.col("__c").eqNullSafe(F.col("__r")))
+    return found.withColumn("__i", F.col("__o") + F.col("__k")).select(*log.columns, "__i", "__c")
+
+
 def early_stop_wait(log: DataFrame, series: str, step: str, value: str) -> DataFrame:
-    """(series, step, value, best, wait): steps since the best value so far."""
-    past = Window.partitionBy(series).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy(series).orderBy(step)
-    before = Window.partitionBy(series).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("best", F.max(value).over(past)).withColumn("__old", F.max(value).over(before)).withColumn("__i", F.row_number().over(order))
-    rows = rows.withColumn("__at", F.max(F.when(F.col("__old").isNull() | (F.col(value) > F.col("__old")), F.col("__i"))).over(past))
-    return rows.select(series, step, value, "best", (F.col("__i") - F.col("__at")).cast("long").alias("wait"))
+    """(series, step, value, best, wait): steps since the best value so far.
+    The best value and the step of the last improvement are carried from range
+    to range of a series."""
+    rows = in_order(log, series, step)
+
+    def carried(frame: DataFrame, column: str, name: str) -> DataFrame:
+        """``frame`` with the largest value of a column in earlier ranges."""
+        per = frame.groupBy(series, "__c").agg(F.max(column).alias("__m"))
+        earlier = Window.partitionBy(series).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.select(F.col(series).alias("__s"), F.col("__c").alias("__r"), F.max("__m").over(earlier).alias(name))
+        return frame.join(per, F.col(series).eqNullSafe(F.col("__s")) & F.col("__c").eqNullSafe(F.col("__r"))).drop("__s", "__r")
+
+    order = Window.partitionBy(series, "__c").orderBy("__i")
+    past, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = carried(rows, value, "__top")
+    rows = rows.withColumns({"best": F.greatest("__top", F.max(value).over(past)), "__old": F.greatest("__top", F.max(value).over(before))})
+    rows = carried(rows.withColumn("__hit", F.when(F.col("__old").isNull() | (F.col(value) > F.col("__old")), F.col("__i"))), "__hit", "__last")
+    at = F.greatest("__last", F.max("__hit").over(past))
+    return rows.select(series, step, value, "best", (F.col("__i") - at).cast("long").alias("wait"))
+
+
+def boxcar(log: DataFrame, series: str, step: str, value: str, half: int) -> DataFrame:
+    """``log`` with ``smooth``, the mean of a row and its ``half`` neighbours on
+    either side in its series.  Rows beside a range's end visit the next range."""
+    rows = in_order(log, series, step).withColumn("__own", F.floor((F.col("__i") - 1) / SPAN))
+    at = F.pmod(F.col("__i") - 1, F.lit(SPAN))
+    visits = F.array_compact(F.array(F.col("__own"), F.when(at < half, F.col("__own") - 1), F.when(at >= SPAN - half, F.col("__own") + 1)))
+    dealt = rows.withColumn("__c", F.explode(visits))
+    near = Window.partitionBy(series, "__c").orderBy("__i").rowsBetween(-half, half)
+    return dealt.withColumn("smooth", F.avg(value).over(near)).filter("__c = __own").drop("__i", "__c", "__own")
+
+
+def filter_trials(trials: DataFrame, **wanted: list | None) -> DataFrame:
+    """Trials whose attributes are among the wanted ones; an attribute with None
+    is not asked for, one that the trials lack is an error."""
+    lacking = sorted(set(wanted) - set(trials.columns))
+    if lacking:
+        raise KeyError(f"trials have no {lacking}; they have {sorted(trials.columns)}")
+    for name, values in wanted.items():
+        trials = trials if values is None else trials.filter(F.col(name).isin(values))
+    return trials
+
+
+def paired_by_token(rows: DataFrame, size: str, token: str, arm: str, value: str, order: str) -> DataFrame:
+    """(size, pairs, mean_delta): arm 1 less arm 0 of trials that share size and
+    token; of several trials of one arm and token the last by order counts."""
+    last = rows.filter(F.col(token).isNotNull()).groupBy(size, token).agg(*[F.max_by(F.when(F.col(arm) == a, F.col(value)), F.when(F.col(arm) == a, F.col(order))).alias(f"__{a}") for a in (0, 1)])
+    return last.filter("__0 is not null and __1 is not null").groupBy(size).agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("__1") - F.col("__0")).alias("mean_delta"))
 
 
 #: Classes that a nearest-centroid classifier may have.

@@ -91,7 +91,7 @@ register_step("snv", "native", lambda c, axis, s: lambda x: native.standardized(
 register_step("vector_norm", "native", lambda c, axis, s: lambda x: native.unit_norm(x, c.get("order", 2)))
 register_step("z_normalize", "native", lambda c, axis, s: lambda x: native.finite_or_zero(native.standardized(x, 1e-3)))
 register_step("als", "kernel", lambda c, axis, s: lambda x: x - als_baseline(x, c.get("lam", 1e5), c.get("p", 0.01), c.get("n_iter", 10)))
-register_step("emsc", "kernel", lambda c, axis, s: (lambda ref: lambda x: emsc(x, ref, c.get("poly_order", 2)))(_reference(s)), True)
+register_step("emsc", "kernel", lambda c, axis, s: (lambda ref: lambda x: emsc(x, ref, c.get("poly_order", 2), axis=np.asarray(axis)))(_reference(s)), True)
 register_step("me_emsc", "kernel", lambda c, axis, s: (lambda ref: lambda x: me_emsc(x, np.asarray(axis), ref, c.get("n_components", 4), c.get("max_iter", 5)))(_reference(s)), True)
 register_step("fringe_emsc", "kernel", lambda c, axis, s: (lambda ref: lambda x: fringe_emsc(x, np.asarray(axis), ref, tuple(c["fringe_wn_location"]), c.get("poly_order", 2)))(_reference(s)), True)
 register_step("network", "kernel", lambda c, axis, s: c["function"])

@@ -1,8 +1,10 @@
 """Exact quota sampling, splits and balanced batches.
 
 All quotas are row numbers in a seeded order, so they are exact, repeatable and
-need no driver loop; the engine cuts each group to its quota before it shuffles
-(window group limit).
+need no driver loop.  Where a quota is a budget, the engine cuts each group to it
+before it shuffles (window group limit); where it is a share of the group, rows
+are numbered by ranges of their order, so that a label with most of the rows
+spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +12,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismspark.functions.hashrand import order_key
+from prismspark.functions.hashrand import MODULUS, order_key, place_key
+
+
+#: Ranges that the order of a group is dealt into.
+RANGES = 65_536
+
+
+def numbered(rows: DataFrame, group: list[str], ident: str, seed: int = 0) -> DataFrame:
+    """``rows`` with __i, the place in the seeded order of the group from 0, and
+    __n, the group's rows.  Places are the rows of earlier ranges of the order,
+    which are counted, and the place within the own range."""
+    keyed = rows.withColumn("__h", order_key(F.col(ident), seed)).withColumn("__b", F.expr(f"__h div {MODULUS // RANGES}"))
+    counts = keyed.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*group)  # at most RANGES rows of a group
+    counts = counts.withColumns({"__n": F.sum("__c").over(whole), "__o": F.sum("__c").over(whole.orderBy("__b")) - F.col("__c")})
+    renamed = counts.toDF(*[f"__{k}" for k in range(len(group))], "__r", "__c", "__n", "__o")
+    same = F.col("__b").eqNullSafe(F.col("__r"))
+    for k, name in enumerate(group):
+        same &= F.col(name).eqNullSafe(F.col(f"__{k}"))
+    within = Window.partitionBy(*group, "__b").orderBy("__h", ident)
+    placed = keyed.withColumn("__k", F.row_number().over(within)).join(renamed, same)
+    return placed.withColumn("__i", F.col("__o") + F.col("__k") - 1).select(*rows.columns, "__i", "__n")
 
 
 def water_fill(rows: DataFrame, label: str, core: str, ident: str, budget: int, seed: int = 0) -> DataFrame:
@@ -46,10 +69,8 @@ def hyperspectral_sample(rows: DataFrame, label: str, core: str, ident: str, val
 def label_split(items: DataFrame, label: str, ident: str, train_ratio: float, seed: int = 0) -> DataFrame:
     """``part`` (train or test) by seeded order within each label; the train
     share is rounded half to even."""
-    order = Window.partitionBy(label).orderBy(order_key(F.col(ident), seed), ident)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    part = F.when(F.row_number().over(order) <= F.bround(n * F.lit(train_ratio)), "train").otherwise("test")
-    return items.withColumn("part", part)
+    part = F.when(F.col("__i") < F.bround(F.col("__n") * F.lit(train_ratio)), "train").otherwise("test")
+    return numbered(items, [label], ident, seed).withColumn("part", part).drop("__i", "__n")
 
 
 def patient_split(items: DataFrame, patient: str, test_ratio: float, seed: int = 0) -> DataFrame:
@@ -57,34 +78,41 @@ def patient_split(items: DataFrame, patient: str, test_ratio: float, seed: int =
     and no patient is on both sides.  Rows without a patient are refused."""
     if items.filter(F.col(patient).isNull()).limit(1).count():
         raise ValueError("rows without a patient cannot be split by patient")
-    people = items.select(patient).distinct()
-    tests = max(1, round(people.count() * test_ratio))  # half to even
-    chosen = people.orderBy(order_key(F.col(patient), seed), patient).limit(tests).select(patient, F.lit("test").alias("part"))
+    tests = F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(test_ratio)))  # half to even
+    chosen = numbered(items.select(patient).distinct(), [], patient, seed).filter(F.col("__i") < tests).select(patient, F.lit("test").alias("part"))
     return items.join(chosen, patient, "left").withColumn("part", F.coalesce("part", F.lit("train")))
 
 
 def test_subsample(items: DataFrame, label: str, ident: str, ratio: float, seed: int = 0) -> DataFrame:
     """max(1, round(n * ratio)) rows of each label."""
-    order = Window.partitionBy(label).orderBy(order_key(F.col(ident), seed), ident)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    keep = F.greatest(F.lit(1), F.bround(n * F.lit(ratio)).cast("long"))
-    return items.withColumn("__k", F.row_number().over(order)).withColumn("__n", keep).filter("__k <= __n").drop("__k", "__n")
+    keep = F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(ratio)))
+    return numbered(items, [label], ident, seed).filter(F.col("__i") < keep).drop("__i", "__n")
 
 
-def balanced_batches(rows: DataFrame, label: str, ident: str, batches: int, per_class: int, seed: int = 0) -> DataFrame:
+def balanced_batches(rows: DataFrame, label: str, ident: str, batches: int, per_class: int, seed: int = 0, extra: int = 0) -> DataFrame:
     """(batch, slot, label, ident): each batch draws ``per_class`` rows of every
-    class with replacement."""
-    order = Window.partitionBy(label).orderBy(ident)
-    numbered = rows.select(label, ident, (F.row_number().over(order) - 1).cast("long").alias("__i"))
-    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    draws = sizes.select(label, "__n", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch")).select("*", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))).alias("slot"))
-    draws = draws.withColumn("__i", order_key(F.col("batch").cast("long") * per_class + F.col("slot") + 1, seed) % F.col("__n"))
-    return draws.join(numbered, [label, "__i"]).select(F.col("batch").cast("long").alias("batch"), F.col("slot").cast("long").alias("slot"), label, ident)
+    class with replacement and ``extra`` rows of all (what is left of its size),
+    and shuffles them: slot is the place in the batch, from 0."""
+    places = numbered(rows.select(label, ident), [label], ident, seed).select(label, ident, "__i")
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))  # a row a class
+    order = Window.orderBy(label)
+    sizes = sizes.withColumns({"__class": F.row_number().over(order) - 1, "__start": F.sum("__n").over(order) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy())})
+    batch = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch")
+    draws = sizes.select("*", batch).select("*", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))).alias("__s"))
+    draws = draws.select("batch", label, (F.col("__class") * per_class + F.col("__s")).alias("__d"), (order_key(F.col("batch").cast("long") * per_class + F.col("__s") + 1, seed) % F.col("__n")).alias("__i"))
+    if extra:
+        more = sizes.select("*", batch).select("*", F.explode(F.sequence(F.lit(0), F.lit(extra - 1))).alias("__s"))
+        drawn = order_key(F.col("batch").cast("long") * extra + F.col("__s") + 1, seed + 1) % F.col("__all") - F.col("__start")
+        more = more.withColumn("__i", drawn).filter("__i >= 0 and __i < __n")
+        draws = draws.unionAll(more.select("batch", label, (-1 - F.col("__s")).alias("__d"), "__i"))
+    mixed = Window.partitionBy("batch").orderBy(place_key(F.col("__d"), F.col("batch"), seed + 2), "__d")
+    draws = draws.withColumn("slot", (F.row_number().over(mixed) - 1).cast("long"))
+    return draws.join(places, [label, "__i"]).select(F.col("batch").cast("long").alias("batch"), "slot", label, ident)
 
 
 def random_mask(ident: Column, ratio: float, seed: int, allowed: Column | None = None) -> Column:
     """Whether a row is perturbed: a seeded share of the allowed rows."""
-    drawn = order_key(ident, seed) < F.lit(int(ratio * 4_294_967_296))
+    drawn = order_key(ident, seed) < F.lit(int(ratio * MODULUS))
     return drawn if allowed is None else drawn & allowed
 
 
@@ -95,3 +123,10 @@ def check_classes(wanted: list[str], known: DataFrame, column: str) -> None:
     if missing:
         names = [r[0] for r in known.select(column).distinct().orderBy(column).limit(1000).collect()]
         raise ValueError(f"Unknown classes {missing}; known: {names}")
+
+
+def check_class_count(rows: DataFrame, label: str, expected: int) -> None:
+    """A number of classes other than the model's is an error."""
+    found = rows.select(label).distinct().count()
+    if found != expected:
+        raise ValueError(f"the data have {found} classes, the model has {expected}")

@@ -3,11 +3,12 @@ classifier on Spark."""
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -73,20 +74,52 @@ def forward(x: np.ndarray, w: Weights) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def score(rows: DataFrame, weights: Weights, network: Callable[[np.ndarray, Weights], np.ndarray] = forward, batch: int = 512) -> DataFrame:
+def read_network(spark: SparkSession, path: str) -> Weights:
+    """Weights of an .npz file, read where Spark reads."""
+    found = spark.read.format("binaryFile").load(path).select("content").limit(2).collect()  # one file
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {len(found)} files, not one")
+    with np.load(io.BytesIO(found[0]["content"]), allow_pickle=False) as data:
+        return {k: data[k] for k in data.files}
+
+
+def score(rows: DataFrame, weights: Weights, network: Callable[[np.ndarray, Weights], np.ndarray] = forward, batch: int = 512, channels: int | None = None) -> DataFrame:
     """``rows`` with ``probs``: weights are broadcast once, batches of spectra
-    go through the network."""
+    go through the network.  A spectrum that is null, holds nulls, has another
+    length than ``channels`` (any, if None) or makes the network fail or give
+    numbers that are not finite has null ``probs``; the others are scored."""
     sent, at = rows.sparkSession.sparkContext.broadcast(weights), rows.columns.index("x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
-            probs = [p for k in range(0, len(x), batch) for p in network(x[k : k + batch], sent.value).astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(probs, pa.list_(pa.float32()))], names=[*b.schema.names, "probs"])
+            column, out = b.column(at), np.full(b.num_rows, None, object)
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends, flat = np.cumsum(sizes), column.flatten()
+            lacking = np.cumsum(np.concatenate([[0], flat.is_null().to_numpy(zero_copy_only=False)]))
+            whole = lacking[ends] == lacking[ends - sizes]
+            values = flat.to_numpy(zero_copy_only=False)
+            for size in set(sizes.tolist()) & ({channels} if channels else set(sizes.tolist())) - {0}:
+                fit = np.flatnonzero((sizes == size) & whole)
+                for k in range(0, len(fit), batch):
+                    some = fit[k : k + batch]
+                    x = values[(ends[some] - size)[:, None] + np.arange(size)].astype(float)
+                    try:
+                        probs = network(x, sent.value).astype(np.float32)
+                    except (ValueError, IndexError):  # a length that the network does not take
+                        continue
+                    for i, p in zip(some, probs, strict=True):
+                        out[i] = p if np.isfinite(p).all() else None
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(out), pa.list_(pa.float32()))], names=[*b.schema.names, "probs"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("probs", ArrayType(FloatType()))]))
 
 
+def failed_images(scored: DataFrame, image: str = "image") -> DataFrame:
+    """(image, pixels, failed) of images with pixels that have no probabilities."""
+    counts = scored.groupBy(image).agg(F.count(F.lit(1)).alias("pixels"), F.count(F.when(F.col("probs").isNull(), 1)).alias("failed"))
+    return counts.filter("failed > 0")
+
+
 def train_and_evaluate(rows: DataFrame, test_share: float = 0.25, seed: int = 3) -> DataFrame:
     """(part, n, accuracy) of a logistic classifier on standardised spectra,
     fitted on the rows that a seeded order puts in training."""
