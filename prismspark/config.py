@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import random
 from dataclasses import dataclass, field
 
@@ -45,10 +46,10 @@ def override(config, changes: dict):
 
 # Settings of the published domains (split, rows a class, z-score, perturbations).
 PRESETS = {
-    "microplastic": {"data": {"split": "patient", "per_class": 64, "augmentations": [{"type": "mie_scattering", "shape": "sphere"}, {"type": "polynomial_baseline"}, {"type": "noise"}]}},
-    "textile": {"data": {"split": "label", "per_class": 64, "augmentations": [{"type": "mie_scattering", "shape": "cylinder"}, {"type": "polynomial_baseline"}, {"type": "noise"}]}},
+    "microplastic": {"data": {"split": "patient", "per_class": 64, "augmentations": [{"type": "mie_scattering", "shape": "sphere"}, {"type": "polynomial_baseline", "p0_min": -0.1, "p0_max": 0.1}, {"type": "noise", "max_level": 0.05}]}},
+    "textile": {"data": {"split": "label", "per_class": 64, "augmentations": [{"type": "mie_scattering", "shape": "cylinder"}, {"type": "polynomial_baseline", "p0_min": -0.1, "p0_max": 0.1}, {"type": "noise", "max_level": 0.05}]}},
     "pollen": {"data": {"split": "label", "per_class": 64}},
-    "milk": {"data": {"split": "patient", "per_class": 512, "z_normalize": False, "augmentations": [{"type": "polynomial_baseline"}, {"type": "noise"}, {"type": "wavenumber_shift"}, {"type": "temperature"}]}},
+    "milk": {"data": {"split": "patient", "per_class": 512, "z_normalize": False, "augmentations": [{"type": "polynomial_baseline", "p0_min": -0.1, "p0_max": 0.1}, {"type": "noise", "max_level": 0.05}, {"type": "wavenumber_shift"}, {"type": "temperature_perturbation"}]}},
     "pcuk": {"data": {"split": "patient", "per_class": 128}},
     "mlrod": {"data": {"split": "test", "per_class": 32, "augmentations": [{"type": "cosmic_rays"}, {"type": "fluorescence"}, {"type": "shot_noise"}]}},
     "bacteria": {"data": {"split": "test", "per_class": 32, "augmentations": [{"type": "fluorescence"}, {"type": "shot_noise"}]}},
@@ -61,6 +62,20 @@ def preset(domain: str) -> Config:
     return override(Config(domain=domain), PRESETS[domain])
 
 
+def load(*paths: str) -> Config:
+    """Defaults, then the JSON files in order: each may name a ``domain``, whose
+    preset comes first, and change any keys."""
+    changes = []
+    for path in paths:
+        with open(path, encoding="utf-8") as f:
+            changes.append(json.load(f))
+    domain = next((c["domain"] for c in reversed(changes) if "domain" in c), None)
+    config = preset(domain) if domain else Config()
+    for change in changes:
+        config = override(config, change)
+    return config
+
+
 def draw_trials(space: dict, n: int, seed: int = 0) -> list[dict]:
     """``n`` seeded draws: (low, high) is a range, ("log", low, high) a range
     drawn by its logarithm, a list a choice."""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 MODULUS = 4_294_967_296
 #: A prime whose squares stay under 2^63.
 _PRIME = 3_037_000_493
+#: From the seed of a normal draw's radius to that of its angle.
+_OTHER = 1_000_003
 
 
 def _stages(seed: int) -> list[tuple[int, int]]:
@@ -66,13 +68,24 @@ def share_sql(key: str) -> str:
     return f"(({key} + cast(0.5 as double)) / cast({MODULUS} as double))"
 
 
-def gaussian(ident: Column, place: Column | int, seed: int) -> Column:
+def gaussian_keys(ident: Column, seed: int) -> Column:
+    """What ``gaussian_at`` needs of a row, to be worked out once."""
+    return F.struct(order_key(ident, seed).alias("r"), order_key(ident, seed + _OTHER).alias("a"))
+
+
+def gaussian_at(keys: Column, place: Column | int, seed: int) -> Column:
     """Standard normal by Box-Muller on the draws of two seeds."""
-    return F.sqrt(-2 * F.log(share(place_key(ident, place, seed)))) * F.cos(2 * F.pi() * share(place_key(ident, place, seed + 1_000_003)))
+    place = (F.lit(place) if isinstance(place, int) else place).cast("long") * _long(MODULUS)
+    r, a = order_key(keys["r"] + place, seed), order_key(keys["a"] + place, seed + _OTHER)
+    return F.sqrt(-2 * F.log(share(r))) * F.cos(2 * F.pi() * share(a))
+
+
+def gaussian(ident: Column, place: Column | int, seed: int) -> Column:
+    return gaussian_at(gaussian_keys(ident, seed), place, seed)
 
 
 def gaussian_sql(ident: str, place: str, seed: int) -> str:
-    return f"(sqrt(-2 * ln({share_sql(place_key_sql(ident, place, seed))})) * cos(2 * pi() * {share_sql(place_key_sql(ident, place, seed + 1_000_003))}))"
+    return f"(sqrt(-2 * ln({share_sql(place_key_sql(ident, place, seed))})) * cos(2 * pi() * {share_sql(place_key_sql(ident, place, seed + _OTHER))}))"
 
 
 def uniform(seed: int, *key: Column) -> Column:

@@ -2,38 +2,98 @@
 
 from __future__ import annotations
 
+import dataclasses
+import time
+
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismspark.config import Config
-from prismspark.operators import evaluate, preprocess, sampling, scoring
+from prismspark.operators import evaluate, perturb, preprocess, sampling, scoring
 from prismspark.sources import predictions
 
+SPLITS = ("patient", "label", "test")
+
 
 def split(rows: DataFrame, config: Config) -> DataFrame:
-    if config.data.split == "patient":
+    """``rows`` with ``part``; with the split 'test' the rows bring their own."""
+    kind = config.data.split
+    if kind not in SPLITS:
+        raise ValueError(f"Unknown split {kind!r}; known: {list(SPLITS)}")
+    if kind == "test":
+        if "part" not in rows.columns:
+            raise ValueError("the split 'test' needs rows with a column part (train or test)")
+        return rows
+    if kind == "patient":
         return sampling.patient_split(rows, "patient", 1 - config.data.train_ratio, config.seed)
     return sampling.label_split(rows, "y", "vec_id", config.data.train_ratio, config.seed)
 
 
+def steps(config: Config) -> list[dict]:
+    """Preprocessing, and the z-score after it if the run wants one."""
+    return preprocess.resolve(config.data.preprocessing) + [{"type": "z_normalize"}] * config.data.z_normalize
+
+
+def training_sample(rows: DataFrame, axis: list[float], config: Config) -> DataFrame:
+    """An even sample of the training rows, perturbed as the run says.  Rows that
+    have a ``value`` are drawn from the pools of signal and background, the
+    latter as class 'bkg'; perturbations may keep to either."""
+    train = rows.filter("part = 'train'")
+    if "value" in rows.columns:
+        train = sampling.hyperspectral_sample(train, "y", "image", "vec_id", "value", config.data.per_class, config.data.signal_above, config.data.background_below, config.seed)
+        background = F.col("class") == "bkg"
+    else:
+        train, background = sampling.water_fill(train, "y", "image", "vec_id", config.data.per_class, config.seed), None
+    entries = config.data.augmentations
+    return perturb.perturb(train, "vec_id", axis, entries, config.seed, 1.0, background, perturb.fit(train, entries))
+
+
 def run(spark: SparkSession, rows: DataFrame, axis: list[float], config: Config, out: str, weights: dict | None = None, mode: str = "all") -> DataFrame:
     """Fit the preprocessing on an even training sample, save its state, score
     the test rows and save predictions (``mode`` train, infer or all).  Returns
-    accuracy per class, or the sample in mode train.  A failed image does not
-    stop others: its rows have no probabilities and are counted."""
-    parts = split(rows, config)
-    if mode in ("train", "all"):
-        train = sampling.water_fill(parts.filter("part = 'train'"), "y", "image", "vec_id", config.data.per_class, config.seed)
-        state = preprocess.fit(train, axis, config.data.preprocessing)
-        predictions.save_state(spark, state, f"{out}/state")
-        if mode == "train":
-            return train
-    state = predictions.load_state(spark, f"{out}/state")
-    test, after = preprocess.apply(parts.filter("part = 'test'"), axis, config.data.preprocessing, state)
-    classes = rows.agg(F.max("y")).first()[0] + 1
-    scored = scoring.score(test, weights or scoring.seeded_network(len(after), classes), batch=config.inference.batch)
+    accuracy per class of the pixels that are not called background, or the
+    perturbed and preprocessed sample in mode train.  A spectrum that cannot be
+    scored does not stop others: it has no probabilities, and its image is
+    listed under ``failed``.  Settings, versions and minutes are logged."""
+    if mode not in ("train", "infer", "all"):
+        raise ValueError(f"Unknown mode {mode!r}; known: ['train', 'infer', 'all']")
     trial = f"N{config.data.per_class}_seed{config.seed:02d}_raw"
-    kept = predictions.records(scored.withColumn("trial_id", F.lit(trial)), config.inference.top_k)
-    predictions.save(kept, spark.createDataFrame([(trial, config.data.per_class, config.seed)], "trial_id string, n int, seed int"), out)
-    saved = predictions.load(spark, out).select(F.col("true_label").alias("gt"), F.col("argmax").cast("int").alias("pred"))
-    return evaluate.accuracy(saved, "gt")
+    with predictions.make_tracker("table", spark, f"{out}/log", trial) as log:
+        log.parameters(dataclasses.asdict(config))
+        log.parameters({"mode": mode, "spark": pyspark.__version__})
+        parts, began = split(rows, config), time.monotonic()
+        if mode in ("train", "all"):
+            train = training_sample(parts, axis, config)
+            state = preprocess.fit(train, axis, steps(config))
+            predictions.save_state(spark, state, f"{out}/state")
+            log.metric("train_minutes", (time.monotonic() - began) / 60)
+            if mode == "train":
+                return preprocess.apply(train, axis, steps(config), state)[0]
+        began = time.monotonic()
+        state = predictions.load_state(spark, f"{out}/state")
+        test, after = preprocess.apply(parts.filter("part = 'test'"), axis, steps(config), state)
+        if weights is None:
+            weights = scoring.seeded_network(len(after), (rows.agg(F.max("y")).first()[0] or 0) + 1)
+        scored = scoring.score(test, weights, batch=config.inference.batch, channels=len(after))
+        kept = predictions.records(scored.withColumn("trial_id", F.lit(trial)), config.inference.top_k)
+        predictions.save(kept, spark.createDataFrame([(trial, config.data.per_class, config.seed)], "trial_id string, n int, seed int"), out)
+        saved = predictions.load(spark, out).filter(F.col("trial_id") == trial)
+        failed = saved.withColumn("probs", F.when(F.col("argmax").isNotNull(), F.array("bg_prob")))
+        scoring.failed_images(failed).write.mode("overwrite").parquet(f"{out}/failed")
+        log.metric("infer_minutes", (time.monotonic() - began) / 60)
+        signal = saved.filter(F.col("bg_prob") <= config.inference.background_threshold)
+        return evaluate.accuracy(signal.select(F.col("true_label").alias("gt"), F.col("argmax").cast("int").alias("pred")), "gt")
+
+
+def sweep(spark: SparkSession, rows: DataFrame, axis: list[float], configs: dict[str, Config], out: str, weights: dict | None = None) -> DataFrame:
+    """(trial, objective, error) of every configuration: the mean accuracy of its
+    run.  A trial that fails has none and its error, and does not stop others."""
+    found = []
+    for name, config in configs.items():
+        try:
+            score = run(spark, rows, axis, config, f"{out}/{name}", weights).agg(F.avg("accuracy")).first()[0]
+            found.append((name, score, None))
+        except Exception as error:  # noqa: BLE001 - the trial's, and it is kept
+            found.append((name, None, f"{type(error).__name__}: {error}"[:500]))
+    return spark.createDataFrame(found, "trial string, objective double, error string")

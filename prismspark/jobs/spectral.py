@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismspark.functions import native, profiles
-from prismspark.operators import augment, complexity, evaluate, preprocess, scoring
+from prismspark.functions.hashrand import gaussian_sql, order_key_sql, place_key_sql, share_sql
+from prismspark.operators import augment, complexity, evaluate, perturb, preprocess, scoring
 from prismspark.sources.tables import AXIS, CHANNELS, long_form, spectra, trials
 
 WINDOWS = [(800.0, 1800.0), (2800.0, 3000.0)]
@@ -91,17 +92,14 @@ def nearest_centroid_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def savgol_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Smoothed channels that have a full window, as a sum over a frame."""
-    from pyspark.sql import Window
-
+    """Smoothed channels that have a full window: a sliding product in each row."""
     from prismspark.functions.kernels import savgol_matrix
 
     half = 5
     weights = savgol_matrix(CHANNELS, 11, 3)[CHANNELS // 2, CHANNELS // 2 - half : CHANNELS // 2 + half + 1]
-    long = long_form(spectra(spark, sf_dir), "x", "vec_id")
-    order = Window.partitionBy("vec_id").orderBy("ch")
-    total = sum(F.lit(float(w)) * F.lag("value", half - k).over(order) for k, w in enumerate(weights))
-    return long.withColumn("s", total).filter(F.col("s").isNotNull()).select("vec_id", "ch", (F.round("s", 6) + F.lit(0.0)).alias("value"))
+    at = lambda i: F.struct(i.cast("long").alias("ch"), sum(F.lit(float(w)) * F.get("x", i + (k - half)) for k, w in enumerate(weights)).alias("s"))
+    found = spectra(spark, sf_dir).select("vec_id", F.explode(F.transform(F.sequence(F.lit(half), F.size("x") - 1 - half), at)).alias("c"))
+    return found.select("vec_id", "c.ch", (F.round("c.s", 6) + F.lit(0.0)).alias("value"))
 
 
 def _savgol_sql() -> str:
@@ -185,12 +183,12 @@ def _perturbed(change):
 
 def fluorescence_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of each background component."""
-    basis = augment.fit_background(spectra(spark, sf_dir), "vec_id")
+    basis = augment.fit_background(spectra(spark, sf_dir))
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(basis["scale"])], "component long, scale double")
 
 
 def _fluorescence(rows: DataFrame) -> DataFrame:
-    return augment.fluorescence(rows, "vec_id", augment.fit_background(rows, "vec_id"))
+    return augment.fluorescence(rows, "vec_id", augment.fit_background(rows))
 
 
 def scaling_law_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,11 +213,149 @@ def score_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("vec_id", native.argmax(F.col("probs")).cast("long").alias("pred"), F.round(F.array_max("probs"), 5).alias("prob"))
 
 
+DENSE = tuple(np.round(np.random.default_rng(8).standard_normal(shape), 3) for shape in ((16, CHANNELS), (10, 16)))
+
+
+def score_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best class and its probability by a small dense network."""
+
+    def network(x: np.ndarray, w: dict) -> np.ndarray:
+        h = x @ w["a"].T
+        z = np.where(h > 0, h, 0.01 * h) @ w["b"].T
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    scored = scoring.score(spectra(spark, sf_dir), {"a": DENSE[0], "b": DENSE[1]}, network, channels=CHANNELS)
+    return scored.select("vec_id", native.argmax(F.col("probs")).cast("long").alias("pred"), F.round(F.array_max("probs").cast("double"), 5).alias("prob"))
+
+
+def _dense_sql() -> str:
+    return f"""with {_E}, h as (select vec_id, list_transform({_matrix_sql(DENSE[0])}, lambda v: case when v > 0 then v else cast(0.01 as double) * v end) as x from e),
+      z as (select vec_id, {_matrix_sql(DENSE[1])} as z from h), s as (select vec_id, z, list_transform(z, lambda v: exp(v - list_max(z))) as s from z)
+    select vec_id, cast(list_position(z, list_max(z)) - 1 as bigint) as pred, round(cast(cast(list_max(s) / list_sum(s) as float) as double), 5) as prob from s"""
+
+
 def train_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy on held-out spectra of a logistic classifier."""
     return scoring.train_and_evaluate(spectra(spark, sf_dir))
 
 
+CHAIN = {
+    "baseline": {"type": "polynomial_baseline", "ratio": 0.5, "p0_min": -0.05, "p0_max": 0.05, "p1_min": 0.9, "p1_max": 1.1, "p2_min": -0.02, "p2_max": 0.02},
+    "paraffin": {"ratio": 0.6, "amplitude_max": 0.05, "signal_only": True},
+    "off": {"type": "noise", "max_level": 9.0, "enabled": False},
+    "noise": {"ratio": 0.7, "max_level": 0.02},
+}
+CHAIN_SEED, STRENGTH = 3, 0.5
+CO2_DRAWN = {"loc1": 2330.0, "loc2": 2370.0, "d_loc": 4.0, "height": 0.05, "d_height": 0.01, "width": 20.0, "d_width": 3.0, "n_peaks": 2}
+
+
+def _single(name: str, seed: int, **cfg):
+    return _perturbed(lambda r: perturb.perturb(r, "vec_id", AXIS, {name: cfg}, seed))
+
+
+def augment_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of perturbations with ratios, masks and strength; label 0 is background."""
+    return values_of(perturb.perturb(spectra(spark, sf_dir), "vec_id", AXIS, CHAIN, CHAIN_SEED, STRENGTH, F.col("y") == 0))
+
+
+def _between_sql(low: float, high: float, seed: int, place: int = 0) -> str:
+    return f"(cast({low!r} as double) + cast({high - low!r} as double) * {share_sql(place_key_sql('vec_id', str(place), seed))})"
+
+
+def _noise_sql(x: str, level: str, seed: int) -> str:
+    return f"list_transform({x}, lambda v, i: v + {level} * {gaussian_sql('vec_id', '(i - 1)', seed)})"
+
+
+def _paraffin_sql(x: str, high: float, seed: int) -> str:
+    terms = " + ".join(f"cast({float(a)!r} as double) * {float(w * w)!r} / ({float(w * w)!r} + 4 * pow(wn - (cast({float(c)!r} as double) + j[{k + 1}]), 2))" for k, (c, w, a) in enumerate(profiles.PARAFFIN_BANDS))
+    moves = ", ".join(_between_sql(-3.0, 3.0, seed, 1 + k) for k in range(len(profiles.PARAFFIN_BANDS)))
+    shape = f"list_transform([[{moves}]], lambda j: list_transform({_list(AXIS)}, lambda wn: {terms}))[1]"
+    return f"list_transform([{shape}], lambda p: list_transform({x}, lambda v, i: v + {_between_sql(0.0, high, seed)} * p[i] / (list_max(p) + cast(0.000000001 as double))))[1]"
+
+
+def _masked_sql(ratio: float, seed: int, changed: str, allowed: str = "true") -> str:
+    return f"case when {order_key_sql('vec_id', seed)} < {int(ratio * 4_294_967_296)} and {allowed} then {changed} else x end"
+
+
+def _chain_sql() -> str:
+    (m0, d0), (m1, d1), (m2, d2) = (perturb.seeds(CHAIN_SEED, k) for k in range(3))
+    p = [_between_sql(lo, hi - lo + lo, d0, k) for k, (lo, hi) in enumerate(((-0.05, 0.05), (0.9, 1.1), (-0.02, 0.02)))]
+    t = f"({_list(_T)})[i]"
+    baseline = f"list_transform(x, lambda v, i: {p[1]} * v + {p[0]} + {p[2]} * {t})"
+    steps = f""", a as (select vec_id, y, {_masked_sql(0.5, m0, baseline)} as x from e),
+      b as (select vec_id, y, {_masked_sql(0.6, m1, _paraffin_sql("x", 0.05 * STRENGTH, d1), "y != 0")} as x from a),
+      c as (select vec_id, {_masked_sql(0.7, m2, _noise_sql("x", _between_sql(0.0, 0.02 * STRENGTH, d2), d2 + 1))} as z from b)"""
+    return f"with {_E}{steps} select vec_id, unnest(range(0, len(z))) as ch, round(unnest(z), 6) + cast(0 as double) as value from c"
+
+
+def _shift_rows_sql(top: float, seed: int) -> str:
+    """The axis is even, so a shift is a number of channels."""
+    step = (AXIS[-1] - AXIS[0]) / (CHANNELS - 1)
+    place = f"greatest(cast(0 as double), least(cast({CHANNELS - 1} as double), (i - 1) - {_between_sql(-top, top, perturb.seeds(seed, 0)[1])} / cast({step!r} as double)))"
+    read = f"list_transform([least(cast(floor({place}) as bigint), {CHANNELS - 2})], lambda k: x[k + 1] * (1 - ({place} - k)) + x[k + 2] * ({place} - k))[1]"
+    return _sql(f"list_transform(x, lambda v, i: {read})")
+
+
+def _homogenizer_sql(seed: int) -> str:
+    own = perturb.seeds(seed, 0)[1]
+    axis = np.asarray(AXIS)
+    ramp = 0.3 * (axis - axis.min()) / (axis.max() - axis.min() + 1e-9)
+    centre = f"(cast(2900.0 as double) + {_between_sql(-50.0, 50.0, own, 1)})"
+    shape = f"list_transform([{centre}], lambda c: list_transform({_list(AXIS)}, lambda wn, i: ({_list(ramp)})[i] + exp(-pow(wn - c, 2) / cast(20000.0 as double))))[1]"
+    added = f"list_transform([{shape}], lambda p: list_transform(x, lambda v, i: v + {_between_sql(0.0, 0.1, own)} * {_PEAK} * (p[i] - list_min(p)) / (list_max(p) - list_min(p) + cast(0.000000001 as double))))[1]"
+    return _sql(added)
+
+
+def _co2_sql(seed: int) -> str:
+    own, c = perturb.seeds(seed, 0)[1], CO2_DRAWN
+    peaks = []
+    for k in range(c["n_peaks"]):
+        middle = f"(cast({c['loc1']!r} as double) + cast({c['loc2'] - c['loc1']!r} as double) * {share_sql(place_key_sql(str(k), '0', own))})"
+        centre, height, width = (f"({base} + cast({d!r} as double) * {gaussian_sql('vec_id', str(3 * k + j), own)})" for j, (base, d) in enumerate(((middle, c["d_loc"]), (f"cast({c['height']!r} as double)", c["d_height"]), (f"cast({c['width']!r} as double)", c["d_width"]))))
+        peaks.append(f"{{'c': {centre}, 'h': {height}, 'w': {width}}}")
+    total = " + ".join(f"p[{k + 1}].h * p[{k + 1}].w * p[{k + 1}].w / (p[{k + 1}].w * p[{k + 1}].w + 4 * pow(({_list(AXIS)})[i] - p[{k + 1}].c, 2))" for k in range(c["n_peaks"]))
+    return _sql(f"list_transform([[{', '.join(peaks)}]], lambda p: list_transform(x, lambda v, i: v + {total}))[1]")
+
+
+def _matrix_sql(matrix: np.ndarray, x: str = "x") -> str:
+    """matrix @ x."""
+    return f"list_transform([{', '.join(_list(row) for row in matrix)}], lambda matrix_row: list_inner_product(matrix_row, {x}))"
+
+
+def _emsc_sql(order: int) -> str:
+    """What powers of the axis cannot tell of a spectrum, over the reference's
+    share of it, and what they can tell of the reference."""
+    from prismspark.functions.kernels import scaled_axis
+
+    q, _ = np.linalg.qr(np.vander(scaled_axis(_axis), order + 1))
+    rest = np.eye(CHANNELS) - q @ q.T
+    more = f""", l as (select unnest(range(0, {CHANNELS})) as ch, unnest(x) as v from e), m as (select ch, avg(v) as v from l group by ch), ref as (select list(v order by ch) as r from m),
+      pr as (select r, {_matrix_sql(rest, "r")} as pr from ref), px as (select vec_id, r, pr, {_matrix_sql(rest)} as px from e, pr),
+      s as (select vec_id, r, pr, px, list_inner_product(px, pr) / list_inner_product(pr, pr) as c from px)"""
+    return f"""with {_E}{more}, z as (select vec_id, list_transform(px, lambda v, i: v / c + r[i] - pr[i]) as z from s)
+    select vec_id, unnest(range(0, len(z))) as ch, round(unnest(z), 6) + cast(0 as double) as value from z"""
+
+
+def _smoothed(window: int, order: int, deriv: int = 0, n: int = CHANNELS) -> np.ndarray:
+    from prismspark.functions.kernels import savgol_matrix
+
+    return savgol_matrix(n, window, order, deriv)
+
+
+def _preprocess_sql() -> str:
+    m = _smoothed(7, 2, 0, len(_KEEP)) @ np.eye(CHANNELS)[list(_KEEP)]
+    standard = f"list_transform(x, lambda v: (v - {_MEAN}) / greatest({_STD}, 0.001))"
+    return f"""with {_E}, f as (select vec_id, {_matrix_sql(m)} as x from e), z as (select vec_id, {standard} as z from f)
+    select vec_id, unnest(range(0, len(z))) as ch, round(unnest(z), 6) + cast(0 as double) as value from z"""
+
+
+def _shot_sql() -> str:
+    ordered = "list_transform([list_sort(list_transform(x, lambda v: abs(v)))], lambda s: s[60] + cast(0.85 as double) * (s[61] - s[60]))[1]"
+    level = f"({_between_sql(0, 0.05, 3)} * abs(v) + cast(0.01 as double) * {ordered})"
+    return _sql(_noise_sql("x", level, 4))
+
+
 def nkk_real_part(rows: DataFrame) -> DataFrame:
     from prismspark.functions.kernels import kramers_kronig
 
@@ -227,6 +363,13 @@ def nkk_real_part(rows: DataFrame) -> DataFrame:
     return preprocess.map_spectra(rows, lambda x: kramers_kronig(x, waves))
 
 
+def _kramers_kronig() -> np.ndarray:
+    """The transform is linear: its matrix."""
+    from prismspark.functions.kernels import kramers_kronig
+
+    return kramers_kronig(np.eye(CHANNELS), 1e4 / _axis).T
+
+
 QUERIES = {
     "nearest_centroid_accuracy": nearest_centroid_accuracy,
     "snv_embeddings": _native(native.standardized),
@@ -264,6 +407,11 @@ QUERIES = {
     "me_emsc": _chain([{"type": "me_emsc", "n_components": 3, "max_iter": 3}]),
     "preprocess_chain": _chain([{"type": "crop", "keep": WINDOWS}, {"type": "savgol", "window": 7, "polyorder": 2}, {"type": "snv"}]),
     "pluggable_step": _chain([{"type": "network", "function": lambda x: 2 * x}]),
+    "augment_chain": augment_chain,
+    "wn_shift_rowwise": _single("wavenumber_shift", 11, shift_max=40.0),
+    "paraffin_jitter": _single("paraffin", 12),
+    "homogenizer_jitter": _single("homogenizer_degradation", 13),
+    "co2_drawn": _single("co2_peaks", 14, **CO2_DRAWN),
     "white_noise": _perturbed(lambda r: r.withColumn("x", augment.white_noise(F.col("x"), augment.between(0, 0.05, 1, F.col("vec_id")), 2, F.col("vec_id")))),
     "shot_noise": _perturbed(lambda r: r.withColumn("x", augment.shot_noise(F.col("x"), augment.between(0, 0.05, 3, F.col("vec_id")), 0.01, 4, F.col("vec_id")))),
     "cosmic_rays": _perturbed(lambda r: augment.cosmic_rays(r, "vec_id", rate=0.02, seed=5)),
@@ -276,6 +424,7 @@ QUERIES = {
     "scaling_law_fit": scaling_law_fit,
     "scaling_law_normalised_error": scaling_law_normalised_error,
     "score_network": score_network,
+    "score_dense": score_dense,
     "train_classifier": train_classifier,
 }
 
@@ -327,4 +476,16 @@ ORACLE_SQL = {
     "cross_entropy": _loss_sql(0.0, 1.0, "cross_entropy"),
     "focal_loss": _loss_sql(2.0, 0.25, "focal_loss"),
     "pluggable_step": _sql("list_transform(x, lambda v: 2 * v)"),
+    "augment_chain": _chain_sql(),
+    "score_dense": _dense_sql(),
+    "nkk": _sql(_matrix_sql(_kramers_kronig())),
+    "wn_shift_rowwise": _shift_rows_sql(40.0, 11),
+    "paraffin_jitter": _sql(_paraffin_sql("x", 0.05, perturb.seeds(12, 0)[1])),
+    "homogenizer_jitter": _homogenizer_sql(13),
+    "co2_drawn": _co2_sql(14),
+    "white_noise": _sql(_noise_sql("x", _between_sql(0, 0.05, 1), 2)),
+    "shot_noise": _shot_sql(),
+    "savgol_full": _sql(_matrix_sql(_smoothed(11, 3, 1))),
+    "preprocess_chain": _preprocess_sql(),
+    "emsc_poly2": _emsc_sql(2),
 }

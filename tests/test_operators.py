@@ -4,12 +4,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prismspark.config import Config, draw_trials, override, preset
-from prismspark.functions import native
-from prismspark.jobs.run import run
-from prismspark.operators import augment, evaluate, preprocess, sampling, scoring
+from prismspark.config import Config, draw_trials, load, override, preset
+from prismspark.functions import hashrand, native
+from prismspark.jobs.run import run, sweep
+from prismspark.operators import augment, evaluate, perturb, preprocess, sampling, scoring
 from prismspark.sources import predictions, stores
 from prismspark.sources.tables import AXIS, spectra
 
@@ -182,3 +183,156 @@ def test_stream_counts_predictions(spark, tmp_path):
     write_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
     assert predictions_per_window(stream).isStreaming
+
+
+def test_order_keys_of_large_ids_and_of_seeds(spark, duck):
+    ids = [0, 1, -1, 2**31, 4_000_000_000, 2**40 + 3, -(2**63), 2**63 - 1]
+    frame = spark.createDataFrame([(i,) for i in ids], "i long")
+    got = [tuple(r) for r in frame.select(hashrand.order_key(F.col("i"), 7), hashrand.place_key(F.col("i"), 3, 7)).collect()]
+    want = [duck.execute(f"select {hashrand.order_key_sql(f'({i})', 7)}, {hashrand.place_key_sql(f'({i})', '3', 7)}").fetchone() for i in ids]
+    assert got == want and all(0 <= k < 2**32 for r in got for k in r)
+    keys = np.array([tuple(r) for r in spark.range(4000).select(*[hashrand.order_key(F.col("id"), s) for s in range(4)], hashrand.gaussian(F.col("id"), 5, 1)).collect()], float)
+    assert np.abs(np.corrcoef(keys.T) - np.eye(5)).max() < 0.06
+    assert np.abs(np.corrcoef(keys[1:].T, keys[:-1].T)).min() < 0.06 and len(np.unique((keys[:, 0] - keys[:, 1]) % 2**32)) > 3900
+    assert abs(keys[:, 4].mean()) < 0.06 and abs(keys[:, 4].std() - 1) < 0.05
+
+
+def test_numbers_equal_plain_windows(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANGES", 16)
+    rows = spark.range(700).select("id", F.when(F.col("id") % 50 > 0, "hot").when(F.col("id") % 100 == 0, "rare").alias("y"))
+    got = {r["id"]: (r["__i"], r["__n"]) for r in sampling.numbered(rows, ["y"], "id", 3).collect()}
+    w = Window.partitionBy("y").orderBy(hashrand.order_key(F.col("id"), 3), "id")
+    want = {r["id"]: (r["i"], r["n"]) for r in rows.select("id", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("y")).alias("n")).collect()}
+    assert got == want
+    assert sampling.label_split(rows.limit(0), "y", "id", 0.5).count() == 0
+
+
+def test_series_equal_plain_windows(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SPAN", 7)
+    log = spark.range(200).select((F.col("id") % 2).alias("s"), (F.col("id") * 3 + F.col("id") % 5 * 11).alias("t"), F.when(F.col("id") % 9 > 0, F.pmod(F.hash("id"), F.lit(50)).cast("double")).alias("v")).dropDuplicates(["s", "t"])
+    rows = sorted((r["s"], r["t"], r["v"]) for r in log.collect())
+    want, smooth = {}, {}
+    for s in (0, 1):
+        own = [r for r in rows if r[0] == s]
+        best, at = None, 0
+        for i, (_, t, v) in enumerate(own):
+            if best is None or (v is not None and v > best):
+                at = i
+            best = v if best is None else max(best, v) if v is not None else best
+            want[s, t] = (best, i - at)
+            near = [x[2] for x in own[max(0, i - 2) : i + 3] if x[2] is not None]
+            smooth[s, t] = round(sum(near) / len(near), 9)
+    assert {(r["s"], r["t"]): (r["best"], r["wait"]) for r in evaluate.early_stop_wait(log, "s", "t", "v").collect()} == want
+    assert {(r["s"], r["t"]): round(r["smooth"], 9) for r in evaluate.boxcar(log, "s", "t", "v", 2).collect()} == smooth
+
+
+def test_batches_have_their_size_and_are_shuffled(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 3).alias("y"))
+    got = sampling.balanced_batches(rows, "y", "id", 4, 5, 1, extra=2).collect()
+    for b in range(4):
+        own = sorted((r["slot"], r["y"]) for r in got if r["batch"] == b)
+        assert [s for s, _ in own] == list(range(17)) and [y for _, y in own] != sorted(y for _, y in own)
+        assert all(sum(y == k for _, y in own) >= 5 for k in range(3))
+
+
+def test_spikes_of_long_spectra_are_not_capped(spark):
+    rows = spark.range(12).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(1.0), 4000).alias("x"))
+    after = augment.cosmic_rays(rows, "vec_id", rate=0.05, widest=1, seed=1).collect()
+    changed = [sum(v != 1.0 for v in r["x"]) for r in after]  # 200 are expected, some on one channel
+    assert 170 < np.mean(changed) < 215 and np.std(changed) > 4
+
+
+def test_broken_spectra_do_not_stop_others(spark):
+    rows = spark.createDataFrame([(1, "a", [1.0] * 64), (2, "a", None), (3, "b", [1.0, 2.0]), (4, "b", [1.0] * 63 + [None]), (5, "c", [0.5] * 63 + [float("nan")]), (6, "d", [])], "vec_id long, image string, x array<double>")
+    net = scoring.seeded_network(64, 3)
+    got = scoring.score(rows, net, channels=64)
+    assert {r["vec_id"]: r["probs"] is not None for r in got.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+    assert {r["image"]: (r["pixels"], r["failed"]) for r in scoring.failed_images(got).collect()} == {"a": (2, 1), "b": (2, 2), "c": (1, 1), "d": (1, 1)}
+    assert scoring.score(rows, net).filter("vec_id = 1 and probs is not null").count() == 1
+
+
+def test_run_lists_failed_images_and_logs(spark, tmp_path):
+    rows = spectra(spark, SF_DIR).withColumn("x", F.when(F.col("image") == 3, None).otherwise(F.col("x")))
+    entries = [{"type": "noise", "max_level": 0.1, "ratio": 0.5}, {"type": "polynomial_baseline"}]
+    config = override(Config(), {"data": {"per_class": 5, "split": "test", "augmentations": entries, "preprocessing": [{"type": "snv"}]}})
+    with pytest.raises(ValueError, match="part"):
+        run(spark, rows, AXIS, config, str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="split"):
+        run(spark, rows, AXIS, override(config, {"data": {"split": "moon"}}), str(tmp_path / "a"))
+    parts = rows.withColumn("part", F.when((F.col("vec_id") % 2 == 0) | (F.col("image") == 3), "test").otherwise("train"))
+    assert run(spark, parts, AXIS, config, str(tmp_path / "a")).count() > 0
+    failed = spark.read.parquet(str(tmp_path / "a" / "failed")).collect()
+    assert [r["image"] for r in failed] == [3] and failed[0]["failed"] == failed[0]["pixels"]
+    log = {r["key"]: r for r in spark.read.parquet(str(tmp_path / "a" / "log")).collect()}
+    assert log["infer_minutes"]["value"] > 0 and "augmentations" in log["data"]["text"]
+    assert run(spark, parts, AXIS, config, str(tmp_path / "a"), mode="train").count() > 20
+    trials = sweep(spark, parts, AXIS, {"good": config, "bad": override(config, {"data": {"split": "moon"}})}, str(tmp_path / "s"))
+    assert {r["trial"]: (r["objective"] is not None, r["error"] is not None) for r in trials.collect()} == {"good": (True, False), "bad": (False, True)}
+
+
+def test_perturbations_keep_to_their_rows(spark):
+    rows = spectra(spark, SF_DIR).select("vec_id", "y", "image", "x")
+    before = {r["vec_id"]: r for r in rows.collect()}
+    background = F.col("y") == 0
+    changed = {}
+    for mask in ("signal_only", "background_only"):
+        got = perturb.perturb(rows, "vec_id", AXIS, {"a": {"type": "wavenumber_shift", "ratio": 0.5, mask: True}}, 2, background=background).collect()
+        changed[mask] = {r["vec_id"] for r in got if r["x"] != before[r["vec_id"]]["x"]}
+        assert all((before[i]["y"] == 0) == (mask == "background_only") for i in changed[mask])
+    assert 0.4 < len(changed["signal_only"]) / sum(r["y"] != 0 for r in before.values()) < 0.6
+    bad = rows.limit(3).withColumn("x", F.transform("x", lambda v: v * 1e308))
+    same = perturb.perturb(bad, "vec_id", AXIS, [{"type": "polynomial_baseline", "p1_min": 9, "p1_max": 9}], 1)
+    assert all(np.isfinite(r["x"]).all() for r in same.collect())
+    with pytest.raises(KeyError, match="Unknown perturbation"):
+        perturb.resolve({"nothing": {"enabled": False}})
+    with pytest.raises(RuntimeError):
+        perturb.perturb(rows, "vec_id", AXIS, {"fluorescence": {}})
+    every = [{"type": t, "max_level": 0.1, "params": [2330, 2370, 4, 0.05, 0.01, 20, 3, 2]} for t in perturb.PERTURBATIONS]
+    some = rows.limit(8).select("vec_id", "y", F.transform("x", lambda v: v + 1).alias("x"))
+    out = perturb.perturb(some, "vec_id", AXIS, every, 4, basis=perturb.fit(some, every)).collect()
+    assert len(out) == 8 and all(np.isfinite(r["x"]).all() and len(r["x"]) == 64 for r in out)
+    assert perturb.raman_pipeline(some, "vec_id", AXIS, None, 0.0).collect() == some.collect()
+
+
+@pytest.mark.parametrize("axis", [AXIS, AXIS[::-1]])
+def test_row_shifts_equal_interpolation(spark, axis):
+    rows = spectra(spark, SF_DIR).limit(20).select("vec_id", "x")
+    before = {r["vec_id"]: np.array(r["x"]) for r in rows.collect()}
+    after = augment.wavenumber_shift_rows(rows, axis, F.col("vec_id") % 7 * 13.5 - 40).collect()
+    order = np.argsort(axis)
+    for r in after:
+        points, want = np.array(axis)[order], np.empty(64)
+        want[order] = np.interp(points, points + r["vec_id"] % 7 * 13.5 - 40, before[r["vec_id"]][order])
+        assert np.abs(np.array(r["x"]) - want).max() < 1e-12
+
+
+def test_background_basis_covers_all_spectra(spark):
+    from prismspark.functions.kernels import fluorescence_basis
+
+    rows = spectra(spark, SF_DIR)
+    got, want = augment.fit_background(rows, 4), fluorescence_basis(np.array([r["x"] for r in rows.collect()], float), 4)
+    assert np.allclose(got["mean"], want["mean"]) and np.allclose(got["scale"], want["scale"])
+    assert np.allclose(np.abs((got["basis"] * want["basis"]).sum(axis=1)), 1, atol=1e-6)
+
+
+def test_weights_are_read_and_classes_counted(spark, tmp_path):
+    np.savez(tmp_path / "net.npz", a=np.ones((2, 3)), b=np.zeros(2))
+    got = scoring.read_network(spark, str(tmp_path / "net.npz"))
+    assert got["a"].shape == (2, 3) and set(got) == {"a", "b"}
+    with pytest.raises(ValueError, match="10 classes"):
+        sampling.check_class_count(spectra(spark, SF_DIR), "y", 7)
+
+
+def test_settings_come_from_files_in_order(tmp_path):
+    (tmp_path / "a.json").write_text('{"domain": "milk", "seed": 4}')
+    (tmp_path / "b.json").write_text('{"seed": 5, "data": {"train_ratio": 0.5}}')
+    c = load(str(tmp_path / "a.json"), str(tmp_path / "b.json"))
+    assert (c.seed, c.data.per_class, c.data.train_ratio) == (5, 512, 0.5)
+
+
+def test_trials_are_filtered_by_what_is_asked(spark):
+    rows = spark.createDataFrame([(32, 0, "seed00", 0, 1.0, 1), (32, 0, "seed00", 0, 0.5, 2), (32, 0, "seed00", 1, 0.75, 3), (64, 1, "seed01", 1, 0.5, 4)], "n long, seed long, token string, arm long, a double, run long")
+    assert evaluate.filter_trials(rows, n=[32], seed=None).count() == 3
+    with pytest.raises(KeyError):
+        evaluate.filter_trials(rows, colour=[1])
+    assert [tuple(r) for r in evaluate.paired_by_token(rows, "n", "token", "arm", "a", "run").collect()] == [(32, 1, 0.25)]
