@@ -87,7 +87,8 @@ def intrinsic_dimension(rows: DataFrame, share: float = 0.95) -> DataFrame:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """(measure, value) of the measures above, from one pass each."""
+    """(measure, value) of the measures above; each reads the spectra on its own,
+    the participation ratio twice."""
     frames = [fisher_ratio(rows), spectral_entropy(rows), participation_ratio(rows), roughness(rows)]
     out = None
     for f in frames:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,24 +172,47 @@ def paired_by_token(rows: DataFrame, size: str, token: str, arm: str, value: str
 MAX_CLASSES = 1_000
 
 
+def class_means(rows: DataFrame) -> DataFrame:
+    """(cls, ch, m): mean spectrum of each class.  A task adds its spectra up, so
+    a row a class, channel and task is all that moves."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            batch = batch.filter(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
+            y, x = batch.column(0).to_numpy(), batch.column(1)
+            if not len(y):
+                continue
+            values = x.flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            for cls in np.unique(y).tolist():
+                own = held.setdefault(cls, [np.zeros(values.shape[1]), 0])
+                own[0] += values[y == cls].sum(axis=0)
+                own[1] += int((y == cls).sum())
+        yield pa.RecordBatch.from_pydict({"cls": pa.array(list(held), pa.int64()), "s": pa.array([v[0] for v in held.values()], pa.list_(pa.float64())), "n": pa.array([v[1] for v in held.values()], pa.int64())})
+
+    found = rows.select(F.col("y").cast("long"), "x").mapInArrow(sums, "cls long, s array<double>, n long")
+    long = found.select("cls", "n", F.posexplode("s").alias("ch", "s"))
+    return long.groupBy("cls", "ch").agg((F.sum("s") / F.sum("n")).alias("m"))
+
+
 def nearest_centroid(rows: DataFrame) -> DataFrame:
     """(vec_id, gt, pred): the class whose mean spectrum lies nearest, ties to
-    the smaller class.  The means, one array a class, go to every row as one
-    literal-sized column: at most MAX_CLASSES of them, which is checked."""
-    long = rows.select(F.col("y").alias("cls"), F.posexplode("x").alias("ch", "v"))
-    means = long.groupBy("cls", "ch").agg(F.avg("v").alias("m"))
+    the smaller class.  The means go to every task: an array a class, at most
+    MAX_CLASSES of them, which is checked."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ch", "m"))), lambda s: s["m"])
-    found = means.groupBy("cls").agg(ordered.alias("c"))
-    if found.select("cls").limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+    found = class_means(rows).groupBy("cls").agg(ordered.alias("c")).orderBy("cls").limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    centres = found.agg(F.array_sort(F.collect_list(F.struct("cls", "c"))).alias("centres"))  # one row
+    classes, centres = np.array([r["cls"] for r in found], np.int64), np.array([r["c"] for r in found], float)
 
-    def gap(x: Column, c: Column) -> Column:
-        return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            near = [classes[np.round(((x[k : k + 256, None] - centres) ** 2).sum(axis=2), 9).argmin(axis=1)] for k in range(0, len(x), 256)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *near]))], names=["vec_id", "gt", "pred"])
 
-    scores = F.transform("centres", lambda s: F.struct(F.round(gap(F.col("x"), s["c"]), 9).alias("d"), s["cls"].alias("cls")))
-    scored = rows.crossJoin(F.broadcast(centres))
-    return scored.select("vec_id", F.col("y").alias("gt"), F.array_min(scores)["cls"].alias("pred"))
+    known = rows.filter(F.col("x").isNotNull())
+    return known.select("vec_id", F.col("y").cast("long").alias("gt"), "x").mapInArrow(run, "vec_id long, gt long, pred long")
 
 
 def matched(pred: DataFrame, truth: DataFrame) -> DataFrame:
