@@ -322,6 +322,37 @@ def paired_delta_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n", "pairs", (F.round("mean_delta", 6) + F.lit(0.0)).alias("mean_delta"))
 
 
+def core_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cores that hold wanted classes, by the most frequent of these, split by patient."""
+    found = sampling.split_cores(_orders(spark, sf_dir), pixels(spark, sf_dir).select("image", "class"), "patient", "image", "class", ["A", "R"], RATIO, 14)
+    return found.select("image", "patient", "dominant", "part")
+
+
+def spectra_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An even sample of some classes, re-numbered and in seeded order."""
+    found = sampling.sample_classes(spectra(spark, sf_dir), "y", "image", "vec_id", list(range(10)), [7, 2, 5, 0], 12, 31)
+    return found.select("place", "vec_id", F.col("new_y").cast("long").alias("new_y"))
+
+
+def accuracy_per_class_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of each class of an image that its truth holds."""
+    p = pixels(spark, sf_dir).select("image", F.col("class").alias("gt"), F.when(F.col("value") > 25, "N").otherwise("A").alias("pred"))
+    return p.groupBy("image", "gt").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.avg(evaluate.hit()), 6).alias("accuracy"))
+
+
+def resolved_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a store with two layouts has each image that is asked for."""
+    orders = _orders(spark, sf_dir).select(F.col("patient").alias("image"), "label")
+    return stores.resolve(orders.filter("label != 'P'"), orders.filter("label = 'F'"), orders)
+
+
+def label_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of images that lack one: a word, the image's name, another attribute."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("image"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("label"), "c_name", F.col("c_nationkey").cast("string").alias("rock"))
+    word, name, other = (stores.labelled(c, d).select("image", F.col("label").alias(k)) for k, d in (("word", F.lit("unknown")), ("name", F.col("c_name")), ("other", F.coalesce("rock", "c_name"))))
+    return word.join(name, "image").join(other, "image")
+
+
 QUERIES = {f.__name__: f for f in (
     waterfill_sample, waterfill_quota, hyperspectral_sample, signal_background_filter, patient_split, split_leakage, label_split, test_subsample, balanced_batch,
     dominant_class, class_histogram_pct, class_per_image, accuracy_per_class, accuracy_summary, accuracy_by_n, paired_delta, confusion_pct, normalised_error,
@@ -329,6 +360,7 @@ QUERIES = {f.__name__: f for f in (
     pixel_range, class_subset, background_exclusion, augmentation_mask, search_space, param_importance, metric_log, smoothed_metric,
     label_counts, attribute_filter, label_lookup, prediction_truth, image_accuracy, name_accuracy, class_order_check, sampled_counters, shared_seeds,
     missing_classes, fit_pool, prediction_records, study_columns, failed_images, trial_filters, paired_delta_token,
+    core_split, spectra_sample, accuracy_per_class_image, resolved_images, label_defaults,
 )}
 
 _EV = "ev as (select event_type as label, cast(user_id as bigint) as core, cast(event_id as bigint) as event_id, cast(value as double) as value from events)"
@@ -437,4 +469,14 @@ ORACLE_SQL = {
     "paired_delta_token": f"""with {_TR}, r as (select n, seed, arm, event_id // 1000 as run, avg({_HIT}) as a from t group by all),
       l as (select n, seed, arm, a from (select *, row_number() over (partition by n, seed, arm order by run desc) as k from r) where k = 1)
       select x.n, count(*) as pairs, round(avg(y.a - x.a), 6) + cast(0 as double) as mean_delta from l x join l y on x.n = y.n and x.seed = y.seed and x.arm = 0 and y.arm = 1 group by x.n""",
+    "core_split": f"""with {_PX}, {_OR}, c as (select image, class, count(*) as n from px where class in ('A', 'R') group by all),
+      b as (select image, class as dominant from (select *, row_number() over (partition by image order by n desc, class) as r from c) where r = 1), k as (select o.*, dominant from o join b using (image)),
+      q as (select patient, row_number() over (order by {order_key_sql("patient", 14)}, patient) as r, count(*) over () as n from (select distinct patient from k))
+      select image, patient, dominant, case when r <= greatest(1, round_even(n * cast({RATIO} as double), 0)) then 'test' else 'train' end as part from k join q using (patient)""",
+    "spectra_sample": f"""with e as (select vec_id, cast(label as bigint) as label, vec_id % 25 as core, vec_id as event_id from embeddings where label in (7, 2, 5, 0)), {_fill('e', 12, 31)}
+      select row_number() over (order by {order_key_sql("vec_id", 32)}, vec_id) - 1 as place, vec_id, cast(list_position([7, 2, 5, 0], label) - 1 as bigint) as new_y from w2 where k <= 12""",
+    "accuracy_per_class_image": f"with {_PX} select image, class as gt, count(*) as pixels, round(avg(case when class = {_GUESS} then cast(1 as double) else cast(0 as double) end), 6) as accuracy from px group by image, class",
+    "resolved_images": f"with {_OR} select patient as image, case when count(*) filter (label = 'F') > 0 then 'nested' else 'top' end as layout from o group by patient having count(*) filter (label != 'P') > 0",
+    "label_defaults": """select cast(c_custkey as bigint) as image, case when c_custkey % 3 > 0 then c_mktsegment else 'unknown' end as word, case when c_custkey % 3 > 0 then c_mktsegment else c_name end as name,
+      case when c_custkey % 3 > 0 then c_mktsegment else cast(c_nationkey as varchar) end as other from customer""",
 }

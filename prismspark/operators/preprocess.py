@@ -84,6 +84,30 @@ def _reference(state) -> np.ndarray:
     return np.asarray(state["reference"], float)
 
 
+def _network(cfg, axis, state) -> Kernel:
+    """A given function, or what ``load`` returns, which a task calls once; it
+    takes batches of spectra, as (rows, 1, channels) of 32-bit numbers with
+    ``planes``, and may return either form."""
+    function, load, size = cfg.get("function"), cfg.get("load"), int(cfg.get("batch", 4096))
+    if (function is None) == (load is None):
+        raise NotImplementedError("a network step needs either a function or a loader of one")
+    if cfg.get("expect_channels", len(axis)) != len(axis):
+        raise ValueError(f"the network expects {cfg['expect_channels']} channels, spectra have {len(axis)}")
+    held: list = [] if function is None else [function]
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        if not held:
+            held.append(load())
+        out = []
+        for k in range(0, len(x), size):
+            part = x[k : k + size]
+            made = np.asarray(held[0](part.astype(np.float32)[:, None] if cfg.get("planes") else part), float)
+            out.append(made.reshape(len(part), -1))
+        return np.vstack(out)
+
+    return kernel
+
+
 register_step("crop", "linear", _crop)
 register_step("savgol", "linear", lambda c, axis, s: (savgol_matrix(len(axis), c.get("window", 11), c.get("polyorder", 3), c.get("deriv", 0)), list(axis)))
 register_step("interpolate", "linear", _resample)
@@ -94,7 +118,7 @@ register_step("als", "kernel", lambda c, axis, s: lambda x: x - als_baseline(x,
 register_step("emsc", "kernel", lambda c, axis, s: (lambda ref: lambda x: emsc(x, ref, c.get("poly_order", 2), axis=np.asarray(axis)))(_reference(s)), True)
 register_step("me_emsc", "kernel", lambda c, axis, s: (lambda ref: lambda x: me_emsc(x, np.asarray(axis), ref, c.get("n_components", 4), c.get("max_iter", 5)))(_reference(s)), True)
 register_step("fringe_emsc", "kernel", lambda c, axis, s: (lambda ref: lambda x: fringe_emsc(x, np.asarray(axis), ref, tuple(c["fringe_wn_location"]), c.get("poly_order", 2)))(_reference(s)), True)
-register_step("network", "kernel", lambda c, axis, s: c["function"])
+register_step("network", "kernel", _network)
 
 
 def resolve(config: dict | list | None) -> list[dict]:

@@ -9,6 +9,8 @@ spreads over many tasks.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,35 @@ def patient_split(items: DataFrame, patient: str, test_ratio: float, seed: int =
     return items.join(chosen, patient, "left").withColumn("part", F.coalesce("part", F.lit("train")))
 
 
+def split_cores(cores: DataFrame, pixels: DataFrame, patient: str, core: str, cls: str, classes: list[str] | None, test_ratio: float, seed: int = 0) -> DataFrame:
+    """``cores`` with ``dominant``, the most frequent of the wanted classes among
+    its pixels (core, cls; ties to the smallest), and ``part`` by patient.  Cores
+    without any of the wanted classes go before patients are dealt."""
+    wanted = pixels if classes is None else pixels.filter(F.col(cls).isin(classes))
+    counts = wanted.groupBy(core, cls).agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(core).orderBy(F.desc("__n"), cls)
+    best = counts.withColumn("__r", F.row_number().over(order)).filter("__r = 1").select(core, F.col(cls).alias("dominant"))
+    return patient_split(cores.join(best, core), patient, test_ratio, seed)
+
+
+def sample_classes(rows: DataFrame, label: str, core: str, ident: str, known: list, classes: list | None = None, per_class: int | None = None, seed: int = 0) -> DataFrame:
+    """Rows of the wanted classes with ``new_y``, their place among these, and
+    ``place``, that in a seeded order of the sample from 0.  ``per_class`` rows
+    of each class, even over its cores; all of them if None.  A class that is not
+    known is an error, one without rows a warning."""
+    active = list(known if classes is None else classes)
+    if unknown := [c for c in active if c not in known]:
+        raise ValueError(f"Unknown classes {unknown}; known: {known}")
+    index = F.array_position(F.array(*[F.lit(c) for c in active]), F.col(label)) - 1
+    found = rows.filter(F.col(label).isin(active))
+    present = {r[0] for r in found.select(label).distinct().collect()}  # at most a row a class
+    if missing := [c for c in active if c not in present]:
+        warnings.warn(f"no spectra of the classes {missing}", stacklevel=2)
+    if per_class is not None:
+        found = water_fill(found, label, core, ident, per_class, seed)
+    return numbered(found, [], ident, seed + 1).withColumn("new_y", index).withColumnRenamed("__i", "place").drop("__n")
+
+
 def test_subsample(items: DataFrame, label: str, ident: str, ratio: float, seed: int = 0) -> DataFrame:
     """max(1, round(n * ratio)) rows of each label."""
     keep = F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(ratio)))

@@ -81,7 +81,14 @@ class Tracker:
         return False  # errors go on
 
 
+class NoTracker(Tracker):
+    """Keeps nothing."""
+
+    def __exit__(self, kind, error, trace) -> bool:
+        return False
+
+
 def make_tracker(backend: str, spark: SparkSession, path: str, run_id: str) -> Tracker:
-    if backend != "table":
-        raise ValueError(f"Unknown tracker {backend!r}; known: ['table']")
-    return Tracker(spark, path, run_id)
+    if backend not in ("table", "none"):
+        raise ValueError(f"Unknown tracker {backend!r}; known: ['table', 'none']")
+    return (Tracker if backend == "table" else NoTracker)(spark, path, run_id)

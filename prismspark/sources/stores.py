@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +17,30 @@ def list_images(images: DataFrame) -> DataFrame:
     return images.select("image", F.coalesce("label", F.lit("—")).alias("label"))
 
 
+def resolve(asked: DataFrame, nested: DataFrame, top: DataFrame) -> DataFrame:
+    """(image, layout) of the images asked for: nested where the store has them
+    in its folder of images, else top; an image that it lacks is an error."""
+    inner, outer = nested.select("image").distinct(), top.select("image").distinct()
+    require_images(asked, inner.unionAll(outer))
+    found = asked.select("image").distinct().join(inner.withColumn("__n", F.lit(1)), "image", "left")
+    return found.select("image", F.when(F.col("__n") == 1, "nested").otherwise("top").alias("layout"))
+
+
+def labelled(images: DataFrame, default: Column) -> DataFrame:
+    """``images`` with the label that an image lacks: a word, its name, or what
+    else the store tells of it."""
+    return images.withColumn("label", F.coalesce("label", default))
+
+
+def read_axis(spark: SparkSession, path: str) -> list[float] | None:
+    """The axis kept beside a store (a row of one array ``wn``); None if none is."""
+    try:
+        row = spark.read.schema("wn array<double>").parquet(path).first()
+    except AnalysisException:
+        return None
+    return list(row["wn"]) if row and row["wn"] else None
+
+
 def require_images(asked: DataFrame, known: DataFrame) -> None:
     """Images that the store lacks are an error that lists what it has."""
     lacking = [r[0] for r in asked.select("image").join(known.select("image"), "image", "left_anti").orderBy("image").limit(100).collect()]

@@ -336,3 +336,36 @@ def test_trials_are_filtered_by_what_is_asked(spark):
     with pytest.raises(KeyError):
         evaluate.filter_trials(rows, colour=[1])
     assert [tuple(r) for r in evaluate.paired_by_token(rows, "n", "token", "arm", "a", "run").collect()] == [(32, 1, 0.25)]
+
+
+def test_samples_name_unknown_and_missing_classes(spark):
+    rows = spark.range(60).select("id", (F.col("id") % 2).alias("y"), (F.col("id") % 5).alias("core"))
+    with pytest.raises(ValueError, match="Unknown classes"):
+        sampling.sample_classes(rows, "y", "core", "id", [0, 1, 2], [9])
+    with pytest.warns(UserWarning, match="2"):
+        got = sampling.sample_classes(rows, "y", "core", "id", [0, 1, 2], [2, 1]).collect()
+    assert sorted(r["place"] for r in got) == list(range(30)) and {r["new_y"] for r in got} == {1} and [r["id"] for r in sorted(got, key=lambda r: r["place"])] != sorted(r["id"] for r in got)
+
+
+def test_network_steps_are_loaded_and_checked(spark):
+    rows = spectra(spark, SF_DIR).limit(30)
+    step = {"type": "network", "load": lambda: lambda x: x * 3, "batch": 7, "planes": True, "expect_channels": 64}
+    got = {r["vec_id"]: r["x"] for r in preprocess.apply(rows, AXIS, [step])[0].collect()}
+    assert all(np.allclose(got[r["vec_id"]], np.array(r["x"]) * 3, atol=1e-6) for r in rows.collect())
+    with pytest.raises(ValueError, match="channels"):
+        preprocess.apply(rows, AXIS, [step | {"expect_channels": 9}])
+    with pytest.raises(NotImplementedError):
+        preprocess.apply(rows, AXIS, [{"type": "network"}])
+
+
+def test_stores_tell_what_they_lack(spark, tmp_path):
+    names = lambda *v: spark.createDataFrame([(x,) for x in v], "image string")
+    assert {tuple(r) for r in stores.resolve(names("a", "b"), names("a"), names("a", "b")).collect()} == {("a", "nested"), ("b", "top")}
+    with pytest.raises(KeyError, match="c"):
+        stores.resolve(names("c"), names("a"), names("b"))
+    assert stores.read_axis(spark, str(tmp_path / "none")) is None
+    spark.createDataFrame([([1.0, 2.0],)], "wn array<double>").write.parquet(str(tmp_path / "axis"))
+    assert stores.read_axis(spark, str(tmp_path / "axis")) == [1.0, 2.0]
+    with predictions.make_tracker("none", spark, str(tmp_path / "log"), "r") as t:
+        t.metric("a", 1.0)
+    assert not (tmp_path / "log").exists()
