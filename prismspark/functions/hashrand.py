@@ -49,10 +49,15 @@ def order_key_sql(ident: str, seed: int) -> str:
     return f"(({x} * {factor} + {offset}) % {MODULUS})"
 
 
+def place_at(key: Column, place: Column | int, seed: int) -> Column:
+    """``place_key`` from the id's ``order_key``, worked out once."""
+    place = F.lit(place) if isinstance(place, int) else place
+    return order_key(key + place.cast("long") * _long(MODULUS), seed)
+
+
 def place_key(ident: Column, place: Column | int, seed: int) -> Column:
     """As ``order_key``, of an id and a place under 2^31 (a channel, a draw)."""
-    place = F.lit(place) if isinstance(place, int) else place
-    return order_key(order_key(ident, seed) + place.cast("long") * _long(MODULUS), seed)
+    return place_at(order_key(ident, seed), place, seed)
 
 
 def place_key_sql(ident: str, place: str, seed: int) -> str:
@@ -75,8 +80,7 @@ def gaussian_keys(ident: Column, seed: int) -> Column:
 
 def gaussian_at(keys: Column, place: Column | int, seed: int) -> Column:
     """Standard normal by Box-Muller on the draws of two seeds."""
-    place = (F.lit(place) if isinstance(place, int) else place).cast("long") * _long(MODULUS)
-    r, a = order_key(keys["r"] + place, seed), order_key(keys["a"] + place, seed + _OTHER)
+    r, a = place_at(keys["r"], place, seed), place_at(keys["a"], place, seed + _OTHER)
     return F.sqrt(-2 * F.log(share(r))) * F.cos(2 * F.pi() * share(a))
 
 

@@ -57,36 +57,44 @@ def shot_noise(x: Column, scale: Column, read_noise: float, seed: int, key: Colu
 
 def lorentzian_peaks(x: Column, axis: Sequence[float], centres: Column, heights: Column, widths: Column) -> Column:
     """x plus Lorentzian peaks given as arrays of equal length."""
-    peaks = F.arrays_zip(centres.alias("c"), heights.alias("h"), widths.alias("w"))
+    def added(peaks: Column) -> Column:
+        at = lambda wn: F.aggregate(peaks, F.lit(0.0), lambda acc, p: acc + p["h"] * p["w"] * p["w"] / (p["w"] * p["w"] + 4 * (wn - p["c"]) * (wn - p["c"])))
+        return F.zip_with(x, native.doubles(axis), lambda v, wn: v + at(wn))
 
-    def at(wn: Column) -> Column:
-        return F.aggregate(peaks, F.lit(0.0), lambda acc, p: acc + p["h"] * p["w"] * p["w"] / (p["w"] * p["w"] + 4 * (wn - p["c"]) * (wn - p["c"])))
-
-    return F.zip_with(x, native.doubles(axis), lambda v, wn: v + at(wn))
+    return native.let(F.arrays_zip(centres.alias("c"), heights.alias("h"), widths.alias("w")), added)
 
 
 def co2_peaks(x: Column, axis: Sequence[float], ident: Column, seed: int, place: tuple[float, float], d_place: float, height: tuple[float, float], width: tuple[float, float], n: int) -> Column:
     """``n`` Lorentzian peaks: a place for each of them, drawn for all rows
     alike, around which a row's centres are spread; heights and widths (mean,
     deviation) are drawn a row and peak."""
-    keys = hashrand.gaussian_keys(ident, seed)
     middle = [between(*map(float, place), seed, F.lit(k)) for k in range(n)]
-    draw = lambda k, j: hashrand.gaussian_at(keys, 3 * k + j, seed)
-    centres = F.array(*[m + float(d_place) * draw(k, 0) for k, m in enumerate(middle)])
-    heights = F.array(*[float(height[0]) + float(height[1]) * draw(k, 1) for k in range(n)])
-    widths = F.array(*[F.abs(float(width[0]) + float(width[1]) * draw(k, 2)) for k in range(n)])
-    return lorentzian_peaks(x, axis, centres, heights, widths)
+
+    def peaks(keys: Column) -> Column:
+        draw = lambda k, j: hashrand.gaussian_at(keys, 3 * k + j, seed)
+        return F.struct(
+            F.array(*[m + float(d_place) * draw(k, 0) for k, m in enumerate(middle)]).alias("c"),
+            F.array(*[float(height[0]) + float(height[1]) * draw(k, 1) for k in range(n)]).alias("h"),
+            F.array(*[F.abs(float(width[0]) + float(width[1]) * draw(k, 2)) for k in range(n)]).alias("w"),
+        )
+
+    return native.let(native.let(hashrand.gaussian_keys(ident, seed), peaks), lambda p: lorentzian_peaks(x, axis, p["c"], p["h"], p["w"]))
 
 
 def paraffin_drawn(x: Column, axis: Sequence[float], amount: Column, ident: Column, seed: int, jitter: float = 3.0) -> Column:
     """Paraffin whose bands are each moved by up to ``jitter`` in every row."""
-    moved = [F.struct((float(c) + between(-jitter, jitter, seed, ident, 1 + k)).alias("c"), F.lit(float(w * w)).alias("w2"), F.lit(float(a)).alias("a")) for k, (c, w, a) in enumerate(profiles.PARAFFIN_BANDS)]
+    def moved(key: Column) -> Column:
+        draw = lambda k: -jitter + 2 * jitter * hashrand.share(hashrand.place_at(key, 1 + k, seed))
+        return F.array(*[float(c) + draw(k) for k, (c, _, _) in enumerate(profiles.PARAFFIN_BANDS)])
+
+    def profile(centres: Column) -> Column:
+        def at(wn: Column) -> Column:
+            away = [wn - F.get(centres, F.lit(k)) for k in range(len(profiles.PARAFFIN_BANDS))]
+            return sum(float(a * w * w) / (float(w * w) + 4 * d * d) for d, (_, w, a) in zip(away, profiles.PARAFFIN_BANDS, strict=True))
 
-    def profile(bands: Column) -> Column:
-        at = lambda wn: F.aggregate(bands, F.lit(0.0), lambda acc, b: acc + b["a"] * b["w2"] / (b["w2"] + 4 * (wn - b["c"]) * (wn - b["c"])))
         return F.transform(native.doubles(axis), at)
 
-    shape = native.let(F.array(*moved), profile)
+    shape = native.let(native.let(hashrand.order_key(ident, seed), moved), profile)
     return native.let(shape, lambda p: native.let(F.array_max(p) + 1e-9, lambda top: F.zip_with(x, p, lambda v, b: v + amount * (b / top))))
 
 
