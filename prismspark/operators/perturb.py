@@ -45,6 +45,10 @@ def _range(cfg: Mapping, name: str, low: float, high: float, strength: float = 1
     return float(cfg.get(f"{name}_min", pair[0])) * strength, float(cfg.get(f"{name}_max", pair[1])) * strength
 
 
+# The names of settings below and their defaults are those of the
+# published configurations.
+
+
 def _polynomial(cfg, axis, ident, seed, strength, basis) -> Change:
     ranges = cfg.get("param_ranges") or [_range(cfg, f"p{k}", float(k == 1), float(k == 1)) for k in range(4)]
     return lambda x, key: augment.polynomial_baseline(x, axis, *[between(*map(float, r), seed, key, k) for k, r in enumerate(ranges)])
