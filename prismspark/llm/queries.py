@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismspark.llm import bpe, embedding_dedup, licenses, minhash_dedup, mixing, secret_scan, suffix_dedup, token_count, topk_search, toxicity
+from prismspark.llm import bpe, embedding_dedup, hard_negatives, licenses, minhash_dedup, mixing, secret_scan, spelling, suffix_dedup, token_count, topk_search, toxicity, warc
 from prismspark.llm.storage import table
 
 
@@ -79,6 +79,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written, rewritten by records, and read back."""
+    archives = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read(warc.index(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, a seventh of the labels moved."""
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def _secrets_sql() -> str:
     """The same spans from regular expressions over every text, without an index."""
     parts = []
@@ -130,6 +147,39 @@ VECTORS_SQL = """with recursive v as (select vec_id, min(embedding) as e from em
     select v.vec_id, coalesce(n.n, 0) as n_links, least(v.vec_id, coalesce(other, v.vec_id)) as component_id, least(v.vec_id, coalesce(other, v.vec_id)) = v.vec_id as kept
     from v left join n on n.a = v.vec_id left join least on node = v.vec_id"""
 
+#: The checksum of each run by its table of 256 bytes, drawn from the polynomial.
+SPELLING_SQL = """with recursive bits(b, c, k) as (select range, range, 0 from range(256)
+      union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+    tab as materialized (select list(c order by b) as t from bits where k = 8),
+    r as (select coalesce(cast(doc_id as varchar), '') as doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{00C0}-\\x{00FF}]{7,}')) as r from documents),
+    l as (select doc, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r from r),
+    x as (select r, hex(encode(doc || ':' || r)) as x from l),
+    h as (select r, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: cast('0x' || x[2 * i + 1:2 * i + 2] as bigint)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) as h from x, tab),
+    w as (select case when h % 31 = 0 then r[1:h % length(r)] || r[h % length(r) + 2:] else r end as word from h),
+    v as materialized (select word, count(*) as n from w where length(word) >= 7 group by word having count(*) >= 2),
+    k as materialized (select word, n, i, word[1:i] as a, word[i + 2:] as b from (select word, n, unnest(range(length(word))) as i from v)),
+    near as (select x.word, y.word as other, y.n from k x join k y on x.i = y.i and x.a = y.a and x.b = y.b and x.word != y.word
+      union select k.word, v.word, v.n from k join v on v.word = a || b union select v.word, k.word, k.n from k join v on v.word = a || b),
+    best as (select word, count(*) as n_near, first(other order by n desc, other) as other, max(n) as other_n from near group by word),
+    f as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * v.n then other end as form, case when other_n >= 10 * v.n then other_n end as form_n from v left join best using (word)),
+    down(word, root, form) as (select word, word, form from f union all select d.word, f.word, f.form from down d join f on d.form = f.word)
+    select f.word, f.form, d.root, f.n, f.n_near, f.form_n from f join down d on d.word = f.word where d.form is null"""
+
+WARC_SQL = """with p as (select page_id, coalesce(html, '') as html, row_number() over (order by page_id) as row from pages),
+    d as (select *, sha1(html) as h, first_value(page_id) over w as least, row_number() over w as k from p window w as (partition by html order by page_id, row))
+    select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+      list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((cast('0x' || h[1 + 5 * (i // 4):5 + 5 * (i // 4)] as bigint) >> (15 - 5 * (i % 4))) & 31)]), 'string_agg', '') as payload_digest,
+      case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then least end as refers_to from d"""
+
+NEGATIVES_SQL = """with v as (select vec_id, row_number() over () as row, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+      where vec_id is not null and label is not null and embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+    s as materialized (select a.row as arow, a.vec_id as anchor_id, c.row as crow, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score from v a join v c on a.row != c.row where a.vec_id % 100 = 0),
+    p as (select *, row_number() over (partition by arow order by score desc, vec_id) as k from s where same),
+    n as (select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.arow, p.crow order by s.score desc, s.vec_id) as rank
+      from p join s on s.arow = p.arow and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score where p.k <= 5)
+    select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
@@ -142,6 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling": op11_spelling,
+    "op12_warc": op12_warc,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -149,4 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_dedup": SHINGLES_SQL,
     "op8_secret_scan": _secrets_sql(),
     "op9_embedding_dedup": VECTORS_SQL,
+    "op11_spelling": SPELLING_SQL,
+    "op12_warc": WARC_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
