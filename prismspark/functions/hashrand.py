@@ -29,26 +29,43 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
+#: Bits of the pieces that an id is taken in, so that each stays under _PRIME.
+_BITS = 31
+
+
 def order_key(ident: Column, seed: int) -> Column:
     """Seeded order of 64-bit ids, as BIGINT from 0 to 2^32 - 1: linear steps
-    with squares between them, modulo a prime.  No product reaches 2^63."""
-    x = F.pmod(ident.cast("long"), _long(_PRIME))
+    with squares between them, modulo a prime.  A further piece of the id enters
+    after each square, so ids that share a draw by chance do so for one seed
+    alone.  No product reaches 2^63."""
+    ident, mask = ident.cast("long"), _long((1 << _BITS) - 1)
+    x = ident.bitwiseAND(mask)
     *steps, (factor, offset) = _stages(seed)
-    for f, o in steps:
+    for k, (f, o) in enumerate(steps, 1):
         x = F.pmod(x * _long(f) + _long(o), _long(_PRIME))
-        x = F.pmod(x * x, _long(_PRIME))
+        x = F.pmod(x * x + F.shiftright(ident, k * _BITS).bitwiseAND(mask), _long(_PRIME))
     return F.pmod(x * _long(factor) + _long(offset), _long(MODULUS))
 
 
 def order_key_sql(ident: str, seed: int) -> str:
-    x = f"((cast({ident} as bigint) % {_PRIME} + {_PRIME}) % {_PRIME})"
+    ident, mask = f"cast({ident} as bigint)", (1 << _BITS) - 1
+    x = f"({ident} & {mask})"
     *steps, (factor, offset) = _stages(seed)
-    for f, o in steps:
+    for k, (f, o) in enumerate(steps, 1):
         x = f"(({x} * {f} + {o}) % {_PRIME})"
-        x = f"(({x} * {x}) % {_PRIME})"
+        x = f"(({x} * {x} + (({ident} >> {k * _BITS}) & {mask})) % {_PRIME})"
     return f"(({x} * {factor} + {offset}) % {MODULUS})"
 
 
+def text_key(value: Column) -> Column:
+    """60 bits of a text's digest, an id for ``order_key``."""
+    return F.conv(F.substring(F.md5(value.cast("string")), 1, 15), 16, 10).cast("long")
+
+
+def text_key_sql(value: str) -> str:
+    return f"cast('0x' || substr(md5(cast({value} as varchar)), 1, 15) as bigint)"
+
+
 def place_at(key: Column, place: Column | int, seed: int) -> Column:
     """``place_key`` from the id's ``order_key``, worked out once."""
     place = F.lit(place) if isinstance(place, int) else place

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismspark.operators.evaluate import usable
+
 
 def _long(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "y", F.posexplode("x").alias("ch", "v"))
@@ -35,23 +37,32 @@ def spectral_entropy(rows: DataFrame) -> DataFrame:
 
 
 def covariance(rows: DataFrame) -> DataFrame:
-    """(i, j, c): sample covariance of channels.  Each task multiplies its
-    batches, centred on the overall mean, into one matrix; the matrices are
-    added, so a row a channel pair and task is all that moves."""
-    centre = [r["value"] for r in mean_spectrum(rows).orderBy("ch").collect()]  # a value a channel
-    mean, k = np.array(centre, float), len(centre)
+    """(i, j, c): sample covariance of channels, of the spectra that hold finite
+    numbers alone and are of the most frequent length.  Each task multiplies its
+    batches, centred on the overall mean, into one matrix, and sends the part
+    from the diagonal on as one array a channel; the arrays are added by place."""
+    n, mean, _ = moments(rows)
+    k = len(mean)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((k, k)), 0
+        total = np.zeros((k, k))
         for batch in batches:
-            x = batch.column(0).drop_null()
-            part = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) - mean if len(x) else np.zeros((0, k))
-            total, n = total + part.T @ part, n + len(part)
-        i, j = np.divmod(np.arange(k * k), max(k, 1))
-        yield pa.RecordBatch.from_pydict({"i": i, "j": j, "s": total.ravel(), "n": np.full(k * k, n)})
+            for _, _, x in usable(batch, 0, 1):
+                if x.shape[1] == k:
+                    total += (x - mean).T @ (x - mean)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(k)), "s": pa.array([total[i, i:] for i in range(k)], pa.list_(pa.float64()))})
+
+    parts = rows.select(F.lit(0).alias("y"), "x").mapInArrow(products, "i long, s array<double>")
 
-    sums = rows.select("x").mapInArrow(products, "i long, j long, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return sums.select("i", "j", F.try_divide("s", F.col("n") - 1).alias("c"))
+    def added(group: pa.Table) -> pa.Table:
+        i, total = group["i"][0].as_py(), sum(np.array(v) for v in group["s"].to_pylist())
+        other, c = np.arange(i, k), total / (n - 1) if n > 1 else np.full(k - i, np.nan)
+        both = np.concatenate([np.arange(k - i), np.arange(1, k - i)])  # the diagonal once
+        left = np.concatenate([np.full(k - i, i), other[1:]])
+        right = np.concatenate([other, np.full(k - i - 1, i)])
+        return pa.table({"i": left, "j": right, "c": pa.array(c[both], mask=np.isnan(c[both]))})
+
+    return parts.groupBy("i").applyInArrow(added, "i long, j long, c double")  # an array a task
 
 
 def participation_ratio(rows: DataFrame) -> DataFrame:
@@ -69,21 +80,101 @@ def roughness(rows: DataFrame) -> DataFrame:
     return steps.agg(F.avg(F.col("d") * F.col("d")).alias("roughness"))
 
 
-def intrinsic_dimension(rows: DataFrame, share: float = 0.95) -> DataFrame:
-    """One row: components that explain ``share`` of the variance."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    n = rows.select(F.size("x")).first()
-    k = n[0] if n else 0
-    frame = rows.select(array_to_vector("x").alias("features"))
-    parts = PCA(k=k, inputCol="features", outputCol="out").fit(frame).explainedVariance.toArray() if k else []
-    total, dim = 0.0, 0
-    for dim, part in enumerate(parts, 1):  # noqa: B007
-        total += part
-        if total >= share:
+#: Directions that the sketch of ``leading_variances`` keeps beyond those asked
+#: for, the passes that sharpen it, and the seed of its first directions.
+OVERSAMPLE, PASSES, SKETCH_SEED = 16, 3, 11
+
+
+def _shares(rows: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Sum over spectra of (x - mean) (x - mean)' basis.  A task multiplies its
+    batches into one matrix of channels by directions, whose rows are added by
+    channel: no matrix of channels by channels is made."""
+    k = basis.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(basis)
+        for batch in batches:
+            for _, _, x in usable(batch, 0, 1):
+                if x.shape[1] == len(mean):
+                    part = x - mean
+                    total += part.T @ (part @ basis)
+        yield pa.RecordBatch.from_pydict({"ch": pa.array(np.arange(len(mean))), "s": pa.array(list(total), pa.list_(pa.float64()))})
+
+    parts = rows.select(F.lit(0).alias("y"), "x").mapInArrow(run, "ch long, s array<double>")
+    sums = parts.groupBy("ch").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(k)]).alias("s")).orderBy("ch").toArrow()  # a row a channel
+    return np.array(sums["s"].to_pylist(), float).reshape(len(mean), k)
+
+
+def moments(rows: DataFrame) -> tuple[int, np.ndarray, float]:
+    """Number of spectra that hold finite numbers alone and are of the most
+    frequent length (ties to the longer), their mean, and their summed squared
+    distance from it; a row a length and task moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for _, _, x in usable(batch, 0, 1):
+                n, mean, spread = held.get(x.shape[1], (0, np.zeros(x.shape[1]), 0.0))
+                own = x.mean(axis=0)
+                gap, both = own - mean, n + len(x)
+                spread += float(((x - own) ** 2).sum() + gap @ gap * n * len(x) / both)
+                held[x.shape[1]] = (both, mean + gap * len(x) / both, spread)
+        out = sorted(held.items())
+        yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in out], pa.int64()), "n": pa.array([v[0] for _, v in out], pa.int64()), "m": pa.array([v[1] for _, v in out], pa.list_(pa.float64())), "q": pa.array([v[2] for _, v in out], pa.float64())})
+
+    parts = rows.select(F.lit(0).alias("y"), "x").mapInArrow(run, "k long, n long, m array<double>, q double")
+    best = parts.groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("k")).first()
+    if best is None or not best["k"]:
+        return 0, np.zeros(0), 0.0
+    own = parts.filter(F.col("k") == best["k"])
+    mean = own.select("n", F.posexplode("m").alias("ch", "v")).groupBy("ch").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).orderBy("ch").toArrow()["v"].to_numpy()
+    means = F.array(*[F.lit(float(v)) for v in mean])
+    square = F.aggregate(F.zip_with("m", means, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+    total = own.agg(F.sum(F.col("q") + F.col("n") * square)).first()[0]
+    return best["n"], mean, float(total)
+
+
+def leading_variances(rows: DataFrame, directions: int, passes: int = PASSES, seed: int = SKETCH_SEED) -> tuple[np.ndarray, float, int]:
+    """The largest variances along principal directions, the total variance, and
+    how many channels there are, by a randomised range finder: seeded directions
+    are multiplied with the spectra's covariance, made orthogonal, and multiplied
+    again; each pass reads the spectra once."""
+    n, mean, total = moments(rows)
+    k = min(len(mean), directions + OVERSAMPLE)
+    if n < 2 or not k:
+        return np.zeros(0), 0.0, len(mean)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(mean), k)))[0]
+    for _ in range(passes if k < len(mean) else 1):
+        basis = np.linalg.qr(_shares(rows, basis, mean))[0]
+    small = basis.T @ _shares(rows, basis, mean) / (n - 1)
+    return np.maximum(np.linalg.eigvalsh((small + small.T) / 2)[::-1], 0), total / (n - 1), len(mean)
+
+
+def cumulative_share(rows: DataFrame, share: float = 0.95) -> DataFrame:
+    """(component, variance, cumulative): principal variances until they explain
+    ``share`` of the total, and that running share.  The sketch is widened until
+    it is reached, so work grows with the dimension found, not with the square
+    of the channels."""
+    spark, wanted = rows.sparkSession, 16
+    while True:
+        variances, total, channels = leading_variances(rows, wanted)
+        # A sketch's last directions are rough: those asked for count.
+        known = variances if len(variances) == channels else variances[:wanted]
+        if len(known) == channels or total <= 0 or known.sum() >= share * total:
             break
-    return rows.sparkSession.createDataFrame([(dim,)], "dimension long")
+        wanted *= 2
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(known, 1)], "component long, variance double")
+    before = F.sum("variance").over(Window.orderBy("component"))  # a row a component
+    found = table.withColumn("cumulative", F.try_divide(before, F.lit(float(total))))
+    return found.filter(F.coalesce(F.col("cumulative") - F.try_divide("variance", F.lit(float(total))), F.lit(0.0)) < share * (1 - 1e-12))
+
+
+def intrinsic_dimension(rows: DataFrame, share: float = 0.95) -> DataFrame:
+    """One row: components that explain ``share`` of the variance.  Spectra that
+    are null, hold nulls or numbers that are not finite, or are of another length
+    than most take no part; without a spread there is no dimension (0)."""
+    found = cumulative_share(rows, share).filter("variance > 0")
+    return found.agg(F.count(F.lit(1)).alias("dimension"))
 
 
 def report(rows: DataFrame) -> DataFrame:

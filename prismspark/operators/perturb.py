@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from prismspark.functions import hashrand, native
 from prismspark.operators import augment
 from prismspark.operators.augment import between
-from prismspark.operators.sampling import random_mask
+from prismspark.operators.sampling import fresh, ident_key, random_mask, seeded, water_fill
 
 Change = Callable[[Column, Column], Column]
 
@@ -144,12 +144,22 @@ def resolve(entries: Mapping[str, Mapping] | Sequence[Mapping] | None) -> list[d
     return [e for e in named if e.get("enabled", True)]
 
 
-def fit(rows: DataFrame, entries) -> dict[str, np.ndarray] | None:
-    """The background basis of the first enabled fluorescence entry, if any."""
-    for entry in resolve(entries):
+def fit(rows: DataFrame, entries, pool: DataFrame | None = None, ident: str = "vec_id", label: str = "y", core: str | None = None) -> dict[str, dict] | None:
+    """Background bases of the enabled fluorescence entries, by their place.  An
+    entry with a ``fit_pool_size`` is fitted on so many rows of ``pool`` (all
+    training rows; ``rows`` if None), even over labels and drawn by
+    ``fit_pool_seed``, so that the basis does not change with the sample."""
+    found = {}
+    for place, entry in enumerate(resolve(entries)):
         if entry["type"] == "fluorescence":
-            return augment.fit_background(rows, int(entry.get("n_components", 5)))
-    return None
+            size, drawn = int(entry.get("fit_pool_size") or 0), rows
+            if size > 0:
+                drawn, seed = pool if pool is not None else rows, int(entry.get("fit_pool_seed") or 0)
+                labels = max(1, drawn.select(label).distinct().count())
+                drawn = water_fill(drawn, label, core or label, ident, -(-size // labels), seed)
+                drawn = drawn.orderBy(seeded(drawn, ident, seed + 1), ident).limit(size)
+            found[str(place)] = augment.fit_background(drawn.select("x"), int(entry.get("n_components", 5)), float(entry.get("als_lam", 1e5)), float(entry.get("als_p", 0.01)))
+    return found or None
 
 
 def seeds(seed: int, place: int) -> tuple[int, int]:
@@ -159,8 +169,14 @@ def seeds(seed: int, place: int) -> tuple[int, int]:
 
 def perturb(rows: DataFrame, ident: str, axis: Sequence[float], entries, seed: int = 0, strength: float = 1.0, background: Column | None = None, basis: dict | None = None) -> DataFrame:
     """``rows`` with ``x`` after all entries.  ``background`` tells background
-    rows; without it entries go by their ratio alone."""
-    for place, cfg in enumerate(resolve(entries)):
+    rows; without it entries go by their ratio alone.  ``basis`` is what ``fit``
+    gave, or one fitted background for all entries."""
+    entries = resolve(entries)
+    if dict(rows.dtypes)[ident] == "string":
+        named = fresh(rows, "key")
+        keyed = perturb(rows.withColumn(named, ident_key(rows, ident)), named, axis, entries, seed, strength, background, basis)
+        return keyed.drop(named)
+    for place, cfg in enumerate(entries):
         mask_seed, own = seeds(seed, place)
         allowed = None
         if background is not None and cfg.get("signal_only", False):
@@ -169,13 +185,14 @@ def perturb(rows: DataFrame, ident: str, axis: Sequence[float], entries, seed: i
             allowed = background
         mask = random_mask(F.col(ident), float(cfg.get("ratio", 1.0)), mask_seed, allowed)
         step = PERTURBATIONS[cfg["type"]]
-        change = step.make(cfg, list(axis), ident, own, strength, basis)
+        fitted = basis.get(str(place), basis if "mean" in basis else None) if basis else None
+        change = step.make(cfg, list(axis), ident, own, strength, fitted)
         if step.kind == "native":
             rows = rows.withColumn("x", augment.masked(F.col("x"), change(F.col("x"), F.col(ident)), mask))
         else:
-            columns = rows.columns
-            changed = change(rows.withColumn("__old", F.col("x")))
-            rows = changed.withColumn("x", augment.masked(F.col("__old"), F.col("x"), mask)).select(*columns)
+            columns, old = rows.columns, fresh(rows, "old")
+            changed = change(rows.withColumn(old, F.col("x")))
+            rows = changed.withColumn("x", augment.masked(F.col(old), F.col("x"), mask)).select(*[F.col(f"`{c}`") for c in columns])
     return rows
 
 
@@ -185,6 +202,6 @@ def raman_pipeline(rows: DataFrame, ident: str, axis: Sequence[float], basis: di
     finite in the end stay as they are."""
     mask = random_mask(F.col(ident), p_apply, seed)
     entries = [{"type": t, **settings.get(t, {})} for t in ("cosmic_rays", "fluorescence", "shot_noise") if t != "fluorescence" or basis is not None]
-    columns = rows.columns
-    changed = perturb(rows.withColumn("__first", F.col("x")), ident, axis, entries, seed, basis=basis)
-    return changed.withColumn("x", augment.masked(F.col("__first"), F.col("x"), mask)).select(*columns)
+    columns, first = rows.columns, fresh(rows, "first")
+    changed = perturb(rows.withColumn(first, F.col("x")), ident, axis, entries, seed, basis=basis)
+    return changed.withColumn("x", augment.masked(F.col(first), F.col("x"), mask)).select(*[F.col(f"`{c}`") for c in columns])

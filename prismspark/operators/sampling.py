@@ -14,37 +14,62 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismspark.functions.hashrand import MODULUS, order_key, place_key
+from prismspark.functions.hashrand import MODULUS, order_key, place_key, text_key
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``rows`` has no such column."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Ranges that the order of a group is dealt into.
 RANGES = 65_536
 
 
-def numbered(rows: DataFrame, group: list[str], ident: str, seed: int = 0) -> DataFrame:
-    """``rows`` with __i, the place in the seeded order of the group from 0, and
-    __n, the group's rows.  Places are the rows of earlier ranges of the order,
-    which are counted, and the place within the own range."""
-    keyed = rows.withColumn("__h", order_key(F.col(ident), seed)).withColumn("__b", F.expr(f"__h div {MODULUS // RANGES}"))
-    counts = keyed.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    whole = Window.partitionBy(*group)  # at most RANGES rows of a group
-    counts = counts.withColumns({"__n": F.sum("__c").over(whole), "__o": F.sum("__c").over(whole.orderBy("__b")) - F.col("__c")})
-    renamed = counts.toDF(*[f"__{k}" for k in range(len(group))], "__r", "__c", "__n", "__o")
-    same = F.col("__b").eqNullSafe(F.col("__r"))
-    for k, name in enumerate(group):
-        same &= F.col(name).eqNullSafe(F.col(f"__{k}"))
-    within = Window.partitionBy(*group, "__b").orderBy("__h", ident)
-    placed = keyed.withColumn("__k", F.row_number().over(within)).join(renamed, same)
-    return placed.withColumn("__i", F.col("__o") + F.col("__k") - 1).select(*rows.columns, "__i", "__n")
+def ident_key(rows: DataFrame, ident: str) -> Column:
+    """What draws are keyed by: whole-number ids as they are, others (names) by
+    64 bits of their text."""
+    kind, column = dict(rows.dtypes)[ident], F.col(f"`{ident}`")
+    return column if kind in ("tinyint", "smallint", "int", "bigint") else text_key(column)
+
+
+def seeded(rows: DataFrame, ident: str, seed: int) -> Column:
+    return order_key(ident_key(rows, ident), seed)
+
+
+def numbered(rows: DataFrame, group: list[str], ident: str, seed: int = 0, place: str = "__i", size: str = "__n") -> DataFrame:
+    """``rows`` with ``place``, the place in the seeded order of the group from
+    0, and ``size``, the group's rows.  Places are the rows of earlier ranges of
+    the order, which are counted, and the place within the own range."""
+    h, b = fresh(rows, "h"), fresh(rows, "b")
+    keyed = rows.withColumn(h, seeded(rows, ident, seed)).withColumn(b, F.expr(f"`{h}` div {MODULUS // RANGES}"))
+    keys = [F.col(f"`{g}`") for g in group]
+    counts = keyed.groupBy(*keys, b).agg(F.count(F.lit(1)))
+    renamed = counts.toDF(*[fresh(keyed, f"g{k}") for k in range(len(group))], fresh(keyed, "r"), fresh(keyed, "c"))
+    *own, r, c = renamed.columns
+    o, n, k = fresh(keyed, "o"), fresh(keyed, "n"), fresh(keyed, "k")
+    whole = Window.partitionBy(*own)  # at most RANGES rows of a group
+    renamed = renamed.withColumns({n: F.sum(c).over(whole), o: F.sum(c).over(whole.orderBy(r)) - F.col(c)})
+    same = F.col(b).eqNullSafe(F.col(r))
+    for key, name in zip(keys, own, strict=True):
+        same &= key.eqNullSafe(F.col(name))
+    within = Window.partitionBy(*keys, b).orderBy(h, f"`{ident}`")
+    placed = keyed.withColumn(k, F.row_number().over(within)).join(renamed, same)
+    return placed.select(*[F.col(f"`{x}`") for x in rows.columns], (F.col(o) + F.col(k) - 1).alias(place), F.col(n).alias(size))
 
 
 def water_fill(rows: DataFrame, label: str, core: str, ident: str, budget: int, seed: int = 0) -> DataFrame:
     """At most ``budget`` rows of each label, as even over its cores as their
     capacities allow; what is left over goes to cores in seeded order."""
-    within = Window.partitionBy(label, core).orderBy("__h", ident)
-    numbered = rows.withColumn("__h", order_key(F.col(ident), seed)).withColumn("__r", F.row_number().over(within)).filter(F.col("__r") <= budget)
-    across = Window.partitionBy(label).orderBy("__r", order_key(F.col(core), seed), core)
-    return numbered.withColumn("__k", F.row_number().over(across)).filter(F.col("__k") <= budget).drop("__h", "__r", "__k")
+    h, r, k = fresh(rows, "h"), fresh(rows, "r"), fresh(rows, "k")
+    label = f"`{label}`"
+    within = Window.partitionBy(label, f"`{core}`").orderBy(h, f"`{ident}`")
+    first = rows.withColumn(h, seeded(rows, ident, seed)).withColumn(r, F.row_number().over(within)).filter(F.col(r) <= budget)
+    across = Window.partitionBy(label).orderBy(r, seeded(rows, core, seed), f"`{core}`")
+    return first.withColumn(k, F.row_number().over(across)).filter(F.col(k) <= budget).drop(h, r, k)
 
 
 def water_fill_quotas(rows: DataFrame, label: str, core: str, ident: str, budget: int, seed: int = 0) -> DataFrame:
@@ -69,10 +94,11 @@ def hyperspectral_sample(rows: DataFrame, label: str, core: str, ident: str, val
 
 
 def label_split(items: DataFrame, label: str, ident: str, train_ratio: float, seed: int = 0) -> DataFrame:
-    """``part`` (train or test) by seeded order within each label; the train
+    """``items`` with ``part`` (train or test) by seeded order within each label; the train
     share is rounded half to even."""
-    part = F.when(F.col("__i") < F.bround(F.col("__n") * F.lit(train_ratio)), "train").otherwise("test")
-    return numbered(items, [label], ident, seed).withColumn("part", part).drop("__i", "__n")
+    i, n = fresh(items, "i"), fresh(items, "n")
+    part = F.when(F.col(i) < F.bround(F.col(n) * F.lit(train_ratio)), "train").otherwise("test")
+    return numbered(items, [label], ident, seed, i, n).withColumn("part", part).drop(i, n)
 
 
 def patient_split(items: DataFrame, patient: str, test_ratio: float, seed: int = 0) -> DataFrame:
@@ -111,24 +137,27 @@ def sample_classes(rows: DataFrame, label: str, core: str, ident: str, known: li
         warnings.warn(f"no spectra of the classes {missing}", stacklevel=2)
     if per_class is not None:
         found = water_fill(found, label, core, ident, per_class, seed)
-    return numbered(found, [], ident, seed + 1).withColumn("new_y", index).withColumnRenamed("__i", "place").drop("__n")
+    n = fresh(found, "n")
+    return numbered(found, [], ident, seed + 1, "place", n).withColumn("new_y", index).drop(n)
 
 
 def test_subsample(items: DataFrame, label: str, ident: str, ratio: float, seed: int = 0) -> DataFrame:
     """max(1, round(n * ratio)) rows of each label."""
-    keep = F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(ratio)))
-    return numbered(items, [label], ident, seed).filter(F.col("__i") < keep).drop("__i", "__n")
+    i, n = fresh(items, "i"), fresh(items, "n")
+    keep = F.greatest(F.lit(1), F.bround(F.col(n) * F.lit(ratio)))
+    return numbered(items, [label], ident, seed, i, n).filter(F.col(i) < keep).drop(i, n)
 
 
-def balanced_batches(rows: DataFrame, label: str, ident: str, batches: int, per_class: int, seed: int = 0, extra: int = 0) -> DataFrame:
+def balanced_batches(rows: DataFrame, label: str, ident: str, batches: int, per_class: int, seed: int = 0, extra: int = 0, first: int = 0) -> DataFrame:
     """(batch, slot, label, ident): each batch draws ``per_class`` rows of every
     class with replacement and ``extra`` rows of all (what is left of its size),
-    and shuffles them: slot is the place in the batch, from 0."""
+    and shuffles them: slot is the place in the batch, from 0.  Batches are
+    numbered from ``first``, and each depends on its number and the seed alone."""
     places = numbered(rows.select(label, ident), [label], ident, seed).select(label, ident, "__i")
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))  # a row a class
     order = Window.orderBy(label)
     sizes = sizes.withColumns({"__class": F.row_number().over(order) - 1, "__start": F.sum("__n").over(order) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy())})
-    batch = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch")
+    batch = F.explode(F.sequence(F.lit(first), F.lit(first + batches - 1))).alias("batch")
     draws = sizes.select("*", batch).select("*", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))).alias("__s"))
     draws = draws.select("batch", label, (F.col("__class") * per_class + F.col("__s")).alias("__d"), (order_key(F.col("batch").cast("long") * per_class + F.col("__s") + 1, seed) % F.col("__n")).alias("__i"))
     if extra:

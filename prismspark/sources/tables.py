@@ -34,8 +34,10 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_form(rows: DataFrame, x: str = "x", *keys: str) -> DataFrame:
-    """(keys..., ch, value): a row for each channel."""
-    return rows.select(*keys, F.posexplode(x).alias("ch", "value")).withColumn("ch", F.col("ch").cast("long"))
+    """(keys..., ch, value): a row for each channel.  The outer form infers no
+    filter on the array, into which the expression that makes it would go; the
+    row of an array without channels goes after it."""
+    return rows.select(*keys, F.posexplode_outer(x).alias("ch", "value")).filter("ch is not null").withColumn("ch", F.col("ch").cast("long"))
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:

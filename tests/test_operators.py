@@ -369,3 +369,106 @@ def test_stores_tell_what_they_lack(spark, tmp_path):
     with predictions.make_tracker("none", spark, str(tmp_path / "log"), "r") as t:
         t.metric("a", 1.0)
     assert not (tmp_path / "log").exists()
+
+
+def test_windows_wider_than_ranges(spark):
+    log = spark.range(20_000).select(F.lit(1).alias("s"), F.col("id").alias("t"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    got = {r["t"]: r["smooth"] for r in evaluate.boxcar(log, "s", "t", "v", 9_000).filter("t in (0, 10000, 19999)").collect()}
+    squares = np.arange(20_000.0) ** 2
+    assert got == {t: pytest.approx(squares[max(0, t - 9_000) : t + 9_001].mean()) for t in (0, 10_000, 19_999)}
+
+
+def test_sparse_and_equal_steps(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "SPAN", 50)
+    log = spark.range(600).select((F.col("id") % 2).alias("i"), (F.floor(F.col("id") / 4) * 10_000).alias("t"), F.col("id").cast("double").alias("v"), F.lit(7).alias("c"))
+    rows = evaluate.in_order(log, "i", "t", "place", "part").collect()
+    for s in (0, 1):
+        own = sorted((r["t"], r["v"], r["place"]) for r in rows if r["i"] == s)
+        assert [p for *_, p in own] == list(range(1, 301))
+    assert 5 < len({r["part"] for r in rows}) <= 12 and {r["c"] for r in rows} == {7}
+
+
+def test_means_of_odd_spectra(spark):
+    schema = "vec_id long, y long, x array<double>"
+    ragged = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0]), (2, 1, [1.0] * 5), (3, 0, [1.0] * 5)], schema).coalesce(1)
+    with pytest.raises(Exception, match="common mean"):
+        evaluate.class_means(ragged).collect()
+    with pytest.raises(ValueError, match="channels"):
+        evaluate.nearest_centroid(ragged.filter("vec_id < 3"))
+    odd = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 1, [9.0, 9.0]), (3, 1, [float("nan"), 1.0]), (4, 1, [None, 2.0]), (5, 0, None), (6, 0, [1.0]), (7, None, [8.0, 9.0])], schema)
+    wide = odd.filter("vec_id != 6")
+    assert {(r["cls"], r["ch"]): r["m"] for r in evaluate.class_means(wide).collect()} == {(0, 0): 0.0, (0, 1): 0.0, (1, 0): 9.0, (1, 1): 9.0}
+    assert {r["vec_id"]: r["pred"] for r in evaluate.nearest_centroid(wide).collect()} == {1: 0, 2: 1, 3: None, 4: None, 7: 1}
+
+
+def test_names_as_ids(spark):
+    rows = spark.range(400).select(F.concat(F.lit("img"), "id").alias("image"), F.concat(F.lit("p"), F.col("id") % 9).alias("patient"), (F.col("id") % 3).alias("y"), F.lit("kept").alias("h"), F.lit("too").alias("i"))
+    got = sampling.label_split(rows, "y", "image", 0.75, 3)
+    assert got.columns == [*rows.columns, "part"] and {(r["h"], r["i"]) for r in got.collect()} == {("kept", "too")}
+    assert got.filter("part = 'train'").count() == 300 and sorted(map(tuple, got.collect())) == sorted(map(tuple, sampling.label_split(rows.repartition(7), "y", "image", 0.75, 3).collect()))
+    assert sampling.patient_split(rows, "patient", 0.25, 3).filter("part = 'test'").select("patient").distinct().count() == 2
+    filled = sampling.water_fill(rows, "y", "patient", "image", 10, 3)
+    assert filled.columns == rows.columns and filled.groupBy("y").count().filter("count = 10").count() == 3
+
+
+def test_draws_of_twin_ids(spark):
+    prime = 3_037_000_493
+    twins = spark.range(40).select("id", (F.col("id") + prime).alias("other"), (F.col("id") + prime * 2**31).alias("far"))
+    for other in ("other", "far"):
+        same = [twins.filter(hashrand.order_key(F.col("id"), s) == hashrand.order_key(F.col(other), s)).count() for s in range(3)]
+        assert same == [0, 0, 0]
+
+
+def test_perturbations_leave_other_columns(spark):
+    rows = spectra(spark, SF_DIR).limit(5).select("vec_id", "x", F.lit(3).alias("old"), F.lit(4).alias("__old"))
+    out = perturb.perturb(rows, "vec_id", AXIS, [{"type": "wavenumber_shift"}], 1)
+    assert out.columns == rows.columns and {(r["old"], r["__old"]) for r in out.collect()} == {(3, 4)}
+    named = rows.withColumn("vec_id", F.concat(F.lit("s"), "vec_id"))
+    assert perturb.perturb(named, "vec_id", AXIS, [{"type": "noise", "max_level": 0.1}], 1).columns == rows.columns
+
+
+def test_missing_attributes_are_false(spark):
+    trials = spark.createDataFrame([(1, True, "a"), (2, False, None), (3, None, "b")], "n int, augment boolean, token string")
+    pick = lambda **w: sorted(r["n"] for r in evaluate.filter_trials(trials, **w).collect())
+    assert pick(augment=[False]) == [2, 3] and pick(augment=[True]) == [1] and pick(n=[1, 3]) == [1, 3]
+    assert pick(other=[False]) == [1, 2, 3] and pick(other=[True]) == [] and pick(token=["a", "b"]) == [1, 3]
+
+
+def test_tokens_fall_back_to_the_whole_id(spark):
+    rows = spark.createDataFrame([(8, "", "r1", 0, 0.5, 1), (8, "", "r1", 1, 0.75, 1), (8, None, "r2", 0, 0.1, 1), (8, "", "r3", 1, 0.9, 1)], "n int, token string, run string, arm int, v double, o int")
+    assert [tuple(r) for r in evaluate.paired_by_token(rows, "n", "token", "arm", "v", "o", "run").collect()] == [(8, 1, 0.25)]
+
+
+def test_presets_hold_what_is_published():
+    milk, pcuk, mlrod = preset("milk").data, preset("pcuk").data, preset("mlrod").data
+    assert milk.augmentations["polynomial_baseline_signal"]["p0_max"] == 0.5 and milk.augmentations["noise"]["max_level"] == 0.001 and not milk.z_normalize
+    assert list(pcuk.augmentations) == ["polynomial_baseline_signal", "noise", "co2_peaks", "paraffin", "wavenumber_shift"] and not pcuk.augment_train
+    assert mlrod.augmentations["fluorescence"]["fit_pool_size"] == 2000 and preset("microplastic").data.augmentations["mie_scattering"]["theta_max"] == 0.45
+    for name in ("microplastic", "textile", "pollen", "milk", "pcuk", "mlrod", "bacteria"):
+        perturb.resolve(preset(name).data.augmentations)
+
+
+def test_fit_pool_does_not_change_with_the_sample(spark):
+    rows = spectra(spark, SF_DIR).select("vec_id", "y", "image", F.transform("x", lambda v: v + 1).alias("x"))
+    entries = {"fluorescence": {"fit_pool_size": 40, "fit_pool_seed": 5, "n_components": 2}}
+    a, b = (perturb.fit(rows.filter(f"vec_id % {k} = 0"), entries, rows, core="image") for k in (7, 3))
+    c = perturb.fit(rows.filter("vec_id % 7 = 0"), {"fluorescence": {"n_components": 2}}, rows)
+    assert a is not None and np.array_equal(a["0"]["mean"], b["0"]["mean"]) and not np.array_equal(a["0"]["mean"], c["0"]["mean"])
+
+
+def test_dimension_equals_the_exact_one(spark, monkeypatch):
+    from prismspark.operators import complexity
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 90)) * 0.6 ** np.arange(90) @ np.linalg.qr(rng.standard_normal((90, 90)))[0] + 5
+    data = [(0, 0, None), (1, 0, [float("nan")] * 90), (2, 0, [1.0, 2.0]), *[(i + 3, 0, v) for i, v in enumerate(x.tolist())]]
+    rows = spark.createDataFrame(data, "vec_id long, y long, x array<double>").repartition(3)
+    exact = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    for share in (0.5, 0.95, 0.99999):
+        want = int(np.searchsorted(np.cumsum(exact) / exact.sum(), share)) + 1
+        assert complexity.intrinsic_dimension(rows, share).first()["dimension"] == want
+    first = complexity.leading_variances(rows, 8)
+    assert np.allclose(first[0][:8], exact[:8], rtol=1e-6) and first[1] == pytest.approx(exact.sum())
+    assert complexity.intrinsic_dimension(rows.limit(1)).first()["dimension"] == complexity.intrinsic_dimension(rows.limit(0)).first()["dimension"] == 0
+    found = complexity.covariance(rows).collect()
+    assert len(found) == 90 * 90 and np.allclose([r["c"] for r in found], [np.cov(x.T)[r["i"], r["j"]] for r in found])
