@@ -1,4 +1,4 @@
-"""Registry of the spectral queries and of their DuckDB SQL."""
+"""Registry of all queries but the corpus operators', and of their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismspark.jobs import relational, spectral
+from prismspark.jobs import learning, relational, spectral
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**spectral.QUERIES, **relational.QUERIES}
-ORACLE_SQL: dict[str, str] = {**spectral.ORACLE_SQL, **relational.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**spectral.QUERIES, **relational.QUERIES, **learning.QUERIES}
+ORACLE_SQL: dict[str, str] = {**spectral.ORACLE_SQL, **relational.ORACLE_SQL, **learning.ORACLE_SQL}

@@ -263,12 +263,14 @@ def train(
     prepare: Callable[[DataFrame], DataFrame] = lambda drawn: drawn,
     finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     class_labels: Sequence | None = None,
+    batches: int | None = None,
 ) -> DataFrame:
     """Train on ``rows`` (ident, y, x), validate on ``held_out`` (y, x), keep
     checkpoints under ``path``; returns ``history``.
 
     ``prepare`` perturbs drawn rows (keyed by ``draw``, a number of every row
-    of all epochs) and ``finish`` preprocesses these and the held-out rows, to ``channels``."""
+    of all epochs; an epoch has as many batches as fill the rows, or ``batches``)
+    and ``finish`` preprocesses these and the held-out rows, to ``channels``."""
     model, trainer, spark = model or Model(), trainer or Trainer(), rows.sparkSession
     rows, held_out = rows.filter("y is not null and x is not null"), held_out.filter("y is not null and x is not null")
     if class_labels is None:
@@ -291,7 +293,7 @@ def train(
     held = spark.read.parquet(held_path)
     found = _last(spark, path)
     state = _restored(found) if found else State(flat(like), np.zeros(size), np.zeros(size))
-    batches = max(1, rows.count() // trainer.batch_size)
+    batches = batches or max(1, rows.count() // trainer.batch_size)
     patience = max(trainer.least_patience, trainer.early_stopping_patience // trainer.val_every_n_epochs)
     last = max(trainer.max_epochs, trainer.min_epochs)
     schema = "params array<double>, m array<double>, v array<double>, step long, epoch long, best double, best_epoch long, wait long, stopped boolean, train_loss double, train_acc double, grad_norm double, lr double, val_loss double, val_acc double, patience_used_pct double, names array<string>, shapes array<array<long>>, classes array<string>"
@@ -316,7 +318,7 @@ def train(
         checked = (epoch + 1) % trainer.val_every_n_epochs == 0
         val_loss, val_acc = validate(held, shaped(state.params, like), channels, classes, model.gamma) if checked else (None, None)
         if checked:
-            if val_acc > state.best:
+            if val_acc > state.best:  # not so for NaN, where no rows are held out
                 state.best, state.best_epoch, state.wait = val_acc, epoch, 0
             else:
                 state.wait += 1
