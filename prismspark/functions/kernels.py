@@ -334,3 +334,20 @@ def fit_power_law(n: np.ndarray, error: np.ndarray, weight: np.ndarray | None =
             if damp > 1e12:
                 break
     return float(p[0]), float(p[1]), float(p[2])
+
+
+def power_law_deviations(n: np.ndarray, error: np.ndarray, law: tuple[float, float, float], weight: np.ndarray | None = None) -> np.ndarray:
+    """Standard deviations of a, alpha and b of a fitted law: the inverse of the
+    weighted slopes' product times the residual variance.  A parameter at a bound
+    is taken as known (0); without more sizes than free parameters all are NaN."""
+    weight = np.ones_like(error) if weight is None else weight
+    a, alpha, b = law
+    free = np.array([a > 0, 0 < alpha < 5, 0 < b < 1])
+    slope = weight[:, None] * np.stack([n**-alpha, -a * np.log(n) * n**-alpha, np.ones_like(n)], axis=1)
+    left, out = len(n) - int(free.sum()), np.zeros(3)
+    if left <= 0:
+        return np.full(3, np.nan)
+    residual = weight * (a * n**-alpha + b - error)
+    spread = np.linalg.pinv(slope[:, free].T @ slope[:, free]) * (residual @ residual) / left
+    out[free] = np.sqrt(np.maximum(np.diag(spread), 0))
+    return out

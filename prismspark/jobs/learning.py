@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from prismspark.config import Model, Trainer
 from prismspark.functions.hashrand import order_key_sql, place_key_sql, text_key_sql
-from prismspark.operators import complexity, evaluate, sampling, search, training
-from prismspark.sources import array_store, study
+from prismspark.jobs.spectral import values_of
+from prismspark.operators import axes, complexity, evaluate, sampling, scoring, search, training
+from prismspark.sources import array_store, predictions, study
 from prismspark.sources.scratch import folder
-from prismspark.sources.tables import CHANNELS, spectra, trials
+from prismspark.sources.tables import AXIS, CHANNELS, spectra, trials
 
 #: The steps that ``training_first_steps`` takes: one batch of ``SIZE`` each.
 STEPS, SIZE, SEED, RATE, DECAY, CLIP, GAMMA = 3, 60, 31, 0.05, 0.01, 0.5, 1.0
@@ -84,7 +85,62 @@ def principal_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexity.cumulative_share(spectra(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (training_first_steps, training_history, array_store_range, study_file, search_suggestions, named_split, named_sample, principal_shares)}
+def _axes(rows: DataFrame) -> DataFrame:
+    """An axis for each image: every third falls, and no two start alike."""
+    places = rows.select("image").distinct().select("image", F.posexplode(F.array(*[F.lit(v) for v in AXIS])).alias("ch", "wn"))
+    down = F.lit(AXIS[0] + AXIS[-1]) - F.col("wn")
+    return places.withColumn("wn", F.when(F.col("image") % 3 == 0, down).otherwise(F.col("wn")) + 7.5 * F.col("image"))
+
+
+#: Wavenumbers that all images are brought to, some beyond either end.
+COMMON = [300.0 + 190.0 * k for k in range(20)]
+
+
+def image_axes_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of images that differ in axis, brought to one of their own each."""
+    rows = spectra(spark, sf_dir).select("image", "vec_id", "x")
+    target = rows.select("image").distinct().select("image", F.posexplode(F.array(*[F.lit(v) for v in COMMON])).alias("ch", "wn"))
+    target = target.withColumn("wn", F.col("wn") + F.col("image"))
+    return values_of(axes.resample(rows, _axes(rows), target, "image"))
+
+
+def window_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra cut to their image's windows, which overlap: channels kept, and
+    the sum of what they hold."""
+    rows = spectra(spark, sf_dir).select("image", "vec_id", "x")
+    windows = rows.select("image").distinct().select("image", F.explode(F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in WINDOWS])).alias("w"))
+    windows = windows.select("image", (F.col("w.low") + 11.0 * F.col("image")).alias("low"), "w.high")
+    found = axes.crop(rows, _axes(rows), windows, "image")
+    return found.select("image", "vec_id", F.size("x").cast("long").alias("channels"), F.round(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v), 6).alias("total"))
+
+
+#: Windows before they move with the image; the first two overlap.
+WINDOWS = [(700.0, 1500.0), (1200.0, 1900.0), (2750.0, 3100.0)]
+
+
+def clustered_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions kept in sorted files, and a range of one image's pixels read
+    from those that hold it."""
+    rows = spectra(spark, sf_dir).select(F.lit("t1").alias("trial_id"), "image", "px", (F.col("y") % 3).alias("argmax"))
+    path = folder(spark, "clustered")
+    predictions.save_clustered(rows, rows.select("trial_id").distinct(), path, 64)
+    return predictions.load_range(spark, path, "t1", 7, 3, 11).select("image", "px", "argmax")
+
+
+def anova_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of accuracy's variance that each setting of the trials explains."""
+    return scoring.functional_anova(_arms(spark, sf_dir), ["n", "seed", "arm"], "accuracy", folder(spark, "forest"))
+
+
+def exponent_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of the arms' exponents and its deviation."""
+    return evaluate.exponent_difference(evaluate.learning_curve(trials(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (
+    training_first_steps, training_history, array_store_range, study_file, search_suggestions, named_split, named_sample, principal_shares,
+    image_axes_resampled, window_channels, clustered_range, anova_importance, exponent_differences,
+)}
 
 
 def _steps_sql() -> str:
@@ -125,7 +181,18 @@ _TRIALS = """t as (select cast(pow(2, 5 + event_id % 5) as bigint) as n, cast(us
   cast(floor(event_id / 3.0) as bigint) % 4 as gt, cast(event_id % 4 as bigint) as pred from events)"""
 _NAMED = "concat('patient-', cast(vec_id % 23 as varchar))"
 
+_AXES = f"""v as (select vec_id, vec_id % 25 as image, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings),
+  b as (select unnest(range(0, {CHANNELS})) as ch, unnest([{", ".join(f"cast({w!r} as double)" for w in AXIS)}]) as wn),
+  a as (select image, ch, case when image % 3 = 0 then cast({AXIS[0] + AXIS[-1]!r} as double) - wn else wn end + cast(7.5 as double) * image as wn from b, (select distinct image from v))"""
+
 ORACLE_SQL = {
+    "image_axes_resampled": f"""with {_AXES}, t as (select image, unnest(range(0, {len(COMMON)})) as ch, unnest([{", ".join(f"cast({w!r} as double)" for w in COMMON)}]) + image as wn from (select distinct image from v)),
+      n as (select t.image, t.ch, t.wn, arg_max(a.ch, a.wn) filter (a.wn <= t.wn) as low, arg_min(a.ch, a.wn) filter (a.wn > t.wn) as high, max(a.wn) filter (a.wn <= t.wn) as wl, min(a.wn) filter (a.wn > t.wn) as wh from t join a on a.image = t.image group by all)
+      select vec_id, cast(ch as bigint) as ch, round(case when low is null then x[high + 1] when high is null then x[low + 1] else x[low + 1] + (wn - wl) / (wh - wl) * (x[high + 1] - x[low + 1]) end, 6) + 0 as value from v join n on n.image = v.image""",
+    "window_channels": f"""with {_AXES}, w as (select image, unnest([{", ".join(f"cast({p[0]!r} as double)" for p in WINDOWS)}]) + cast(11 as double) * image as low, unnest([{", ".join(f"cast({p[1]!r} as double)" for p in WINDOWS)}]) as high from (select distinct image from v)),
+      k as (select * from a where exists (select 1 from w where w.image = a.image and a.wn between low and high))
+      select v.image, vec_id, count(*) as channels, round(sum(x[ch + 1]), 6) as total from v join k on k.image = v.image group by v.image, vec_id""",
+    "clustered_range": "select cast(vec_id % 25 as bigint) as image, cast(vec_id // 25 as bigint) as px, cast(label % 3 as bigint) as argmax from embeddings where vec_id % 25 = 7 and vec_id // 25 between 3 and 10",
     "training_first_steps": _steps_sql(),
     "array_store_range": f"""select cast(vec_id % 25 as varchar) as image, cast(vec_id // 25 as bigint) as px, {CHANNELS} as channels,
       round(list_sum(list_transform(embedding, lambda v: cast(v as double))), 6) as total from embeddings where vec_id // 25 between 4 and 11""",

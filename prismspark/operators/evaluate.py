@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismspark.functions.kernels import fit_power_law
+from prismspark.functions.kernels import fit_power_law, power_law_deviations
 from prismspark.operators.sampling import fresh
 
 
@@ -59,6 +59,30 @@ def scaling_law(curve: DataFrame) -> DataFrame:
     return curve.groupBy("arm").applyInPandas(fit, "arm long, a double, alpha double, b double")
 
 
+def scaling_law_deviations(curve: DataFrame) -> DataFrame:
+    """(arm, a, alpha, b, a_std, alpha_std, b_std): the laws of ``scaling_law``
+    with the standard deviations of their parameters."""
+
+    def fit(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("n")
+        n, error, weight = pdf["n"].to_numpy(float), pdf["error"].to_numpy(float), 1 / (pdf["std"].to_numpy(float) + 1e-5)
+        law = fit_power_law(n, error, weight)
+        return pd.DataFrame([(pdf["arm"].iloc[0], *law, *power_law_deviations(n, error, law, weight))], columns=["arm", "a", "alpha", "b", "a_std", "alpha_std", "b_std"])
+
+    return curve.groupBy("arm").applyInPandas(fit, "arm long, a double, alpha double, b double, a_std double, alpha_std double, b_std double")
+
+
+def exponent_difference(curve: DataFrame, base: int = 0) -> DataFrame:
+    """(arm, difference, std): each other arm's exponent less that of the base
+    arm, and its standard deviation, the arms being independent."""
+    laws = scaling_law_deviations(curve)
+    against = laws.filter(F.col("arm") == base).select(F.col("alpha").alias("alpha0"), F.col("alpha_std").alias("std0"))  # one row
+    found = laws.filter(F.col("arm") != base).crossJoin(F.broadcast(against))
+    return found.select("arm", (F.col("alpha") - F.col("alpha0")).alias("difference"), F.sqrt(F.col("alpha_std") * F.col("alpha_std") + F.col("std0") * F.col("std0")).alias("std"))
+
+
 def normalised_law(curve: DataFrame) -> DataFrame:
     """(arm, n, normalised_error): (f(n) - b) / (f(n0) - b) of each arm's fitted
     law f, with n0 the smallest of the arms' largest sizes; null where f is flat

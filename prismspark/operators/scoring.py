@@ -143,3 +143,68 @@ def parameter_importance(trials: DataFrame, parameters: list[str], objective: st
     frame = VectorAssembler(inputCols=parameters, outputCol="features", handleInvalid="skip").transform(trials.filter(F.col(objective).isNotNull()))
     model = RandomForestRegressor(labelCol=objective, featuresCol="features", numTrees=20, maxDepth=4, seed=seed).fit(frame)
     return trials.sparkSession.createDataFrame([(p, float(v)) for p, v in zip(parameters, model.featureImportances.toArray(), strict=True)], "parameter string, importance double")
+
+
+def box_shares(boxes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Share of a step function's variance that each parameter explains alone.
+    ``boxes`` (leaf, parameter, 2) cut the unit cube into pieces on which the
+    function has ``values``."""
+    sides = boxes[:, :, 1] - boxes[:, :, 0]
+    volume = sides.prod(axis=1)
+    mean = float(volume @ values)
+    total = float(volume @ (values - mean) ** 2)
+    out = np.zeros(boxes.shape[1])
+    for j in range(boxes.shape[1]):
+        cuts = np.unique(boxes[:, j])
+        middle, length = (cuts[1:] + cuts[:-1]) / 2, np.diff(cuts)
+        rest = np.delete(sides, j, axis=1).prod(axis=1)
+        within = (boxes[:, j, 0, None] < middle) & (middle < boxes[:, j, 1, None])
+        marginal = (values * rest) @ within
+        out[j] = float(length @ (marginal - mean) ** 2)
+    return out / total if total > 0 else out
+
+
+def functional_anova(trials: DataFrame, parameters: list[str], objective: str, path: str, trees: int = 32, depth: int = 8, seed: int = 5) -> DataFrame:
+    """(parameter, importance, deviation): the share of the objective's variance
+    that each parameter explains alone over its whole range, as a forest of the
+    trials sees it: worked out from every tree's leaves, mean and deviation over
+    trees.  Trials without an objective or a parameter do not count.  The forest
+    is kept under ``path``; its trees go through tasks, one row a tree."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    spark = trials.sparkSession
+    known = trials.select(*[F.col(f"`{p}`").cast("double").alias(f"p{i}") for i, p in enumerate(parameters)], F.col(f"`{objective}`").cast("double").alias("o")).dropna()
+    names = [f"p{i}" for i in range(len(parameters))]
+    ends = known.agg(*[f(n) for n in names for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        raise ValueError("no finished trials")
+    low, high = np.array(ends[0::2], float), np.array(ends[1::2], float)
+    frame = VectorAssembler(inputCols=names, outputCol="features").transform(known)
+    model = RandomForestRegressor(labelCol="o", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=1, featureSubsetStrategy="all", seed=seed).fit(frame)
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    nodes = nodes.select("treeID", "id", "prediction", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("cut"))
+    span = np.where(high > low, high - low, 1.0)
+
+    def shares(group: pa.Table) -> pa.Table:
+        rows = {r["id"]: r for r in group.to_pylist()}
+        boxes, values, open_ = [], [], [(0, np.stack([np.zeros(len(low)), np.ones(len(low))], axis=1))]
+        while open_:
+            at, box = open_.pop()
+            node = rows[at]
+            if node["leftChild"] < 0:
+                boxes.append(box)
+                values.append(node["prediction"])
+                continue
+            j = node["feature"]
+            cut = min(max((node["cut"] - low[j]) / span[j], box[j, 0]), box[j, 1])
+            left, right = box.copy(), box.copy()
+            left[j, 1] = right[j, 0] = cut
+            open_ += [(node["leftChild"], left), (node["rightChild"], right)]
+        found = box_shares(np.array(boxes), np.array(values))
+        return pa.table({"place": np.arange(len(found)), "share": found})
+
+    per = nodes.groupBy("treeID").applyInArrow(shares, "place long, share double")
+    label = F.get(F.array(*[F.lit(p) for p in parameters]), F.col("place").cast("int"))
+    return per.groupBy("place").agg(F.avg("share").alias("importance"), F.stddev_pop("share").alias("deviation")).select(label.alias("parameter"), "importance", "deviation")

@@ -40,6 +40,48 @@ def load(spark: SparkSession, path: str, top_k: bool = False) -> DataFrame:
     return (rows if top_k else rows.drop("top_k")).join(done, "trial_id", "left_semi")
 
 
+#: Rows of one file of a clustered store.
+FILE_ROWS = 4_000_000
+
+
+def save_clustered(predictions: DataFrame, trials: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Whole trials, dealt by ranges of trial, image and pixel into sorted files,
+    so that many small images share a file and large ones have several; a table
+    of what each file holds, and last the rows that mark trials complete."""
+    spark = predictions.sparkSession
+    out = lambda frame: frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("trial_id")
+    n = predictions.count()
+    keys = ["trial_id", "image", "px"]
+    out(predictions.repartitionByRange(max(1, -(-n // file_rows)), *keys).sortWithinPartitions(*keys)).parquet(f"{path}/predictions")
+    done = trials.select("trial_id").distinct()
+    held = spark.read.schema(predictions.schema).parquet(f"{path}/predictions").select("trial_id", "image", "px", F.col("_metadata.file_path").alias("file"))
+    held = held.join(F.broadcast(done), "trial_id", "left_semi")  # a row a trial
+    ends = [F.min(F.struct("image", "px")).alias("first"), F.max(F.struct("image", "px")).alias("last"), F.count(F.lit(1)).alias("rows")]
+    out(held.groupBy("trial_id", "file").agg(*ends)).parquet(f"{path}/files")
+    out(trials.withColumn("complete", F.lit(True))).parquet(f"{path}/trials")
+
+
+def clustered_files(spark: SparkSession, path: str, trial_id: str, image, start: int = 0, stop: int | None = None) -> list[str]:
+    """Files of a clustered store that may hold pixels start <= px < stop of an
+    image; a trial that is not complete has none."""
+    done = spark.read.parquet(f"{path}/trials").filter((F.col("trial_id") == trial_id) & F.col("complete"))
+    files = spark.read.parquet(f"{path}/files").join(F.broadcast(done.select("trial_id").distinct()), "trial_id", "left_semi")  # one row
+    low = F.struct(F.lit(image).cast(files.schema["first"].dataType["image"].dataType).alias("image"), F.lit(start).cast("long").alias("px"))
+    end = F.struct(low["image"].alias("image"), F.lit(2**63 - 1 if stop is None else stop - 1).cast("long").alias("px"))
+    plain = lambda c: F.struct(F.col(c)["image"].alias("image"), F.col(c)["px"].cast("long").alias("px"))
+    return sorted(r["file"] for r in files.filter((plain("last") >= low) & (plain("first") <= end)).select("file").collect())
+
+
+def load_range(spark: SparkSession, path: str, trial_id: str, image, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Predictions of an image's pixels start <= px < stop, from the files that
+    may hold them."""
+    files = clustered_files(spark, path, trial_id, image, start, stop)
+    schema = spark.read.parquet(f"{path}/predictions").schema
+    rows = spark.read.schema(schema).option("basePath", f"{path}/predictions").parquet(*files) if files else spark.createDataFrame([], schema)
+    rows = rows.filter((F.col("image") == image) & (F.col("px") >= start))
+    return rows if stop is None else rows.filter(F.col("px") < stop)
+
+
 def save_state(spark: SparkSession, state: dict, path: str) -> None:
     rows = [(k, [float(x) for x in v]) for k, v in state.items()]
     spark.createDataFrame(rows, "key string, value array<double>").coalesce(1).write.mode("overwrite").parquet(path)
