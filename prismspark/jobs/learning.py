@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismspark.config import Model, Trainer
+from prismspark.functions import sql
 from prismspark.functions.hashrand import order_key_sql, place_key_sql, text_key_sql
+from prismspark.jobs.spectral import ORACLE_SQL as SPECTRAL_SQL
 from prismspark.jobs.spectral import values_of
 from prismspark.operators import axes, complexity, evaluate, sampling, scoring, search, training
 from prismspark.sources import array_store, predictions, study
@@ -137,9 +139,34 @@ def exponent_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.exponent_difference(evaluate.learning_curve(trials(spark, sf_dir)))
 
 
+def _by_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """``text`` over the table ``{spectra}``, with the SQL functions registered."""
+    sql.register(spark)
+    return spark.sql(text, spectra=spectra(spark, sf_dir))
+
+
+def sql_snv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values_of(_by_sql(spark, sf_dir, "select vec_id, spectrum_snv(x) as x from {spectra}"))
+
+
+def sql_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best class of the softmax of differences, and its probability."""
+    text = """select vec_id, spectrum_argmax(p) as best, round(array_max(p), 6) as prob, round(spectrum_mean(spectrum_unit(x)), 6) as mean
+      from (select vec_id, x, spectrum_softmax(spectrum_differences(x)) as p from {spectra})"""
+    return _by_sql(spark, sf_dir, text)
+
+
+def sql_top_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_sql(spark, sf_dir, "select vec_id, t.rank, t.ch, round(t.value, 6) as value from {spectra}, lateral top_channels(x, 4) t")
+
+
+def sql_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_sql(spark, sf_dir, "select vec_id, round(t.w0, 6) as w0, round(t.w1, 6) as w1, round(t.w2, 6) as w2 from {spectra}, lateral resampled(x, 2.5D, 70D, 3) t")
+
+
 QUERIES = {f.__name__: f for f in (
     training_first_steps, training_history, array_store_range, study_file, search_suggestions, named_split, named_sample, principal_shares,
-    image_axes_resampled, window_channels, clustered_range, anova_importance, exponent_differences,
+    image_axes_resampled, window_channels, clustered_range, anova_importance, exponent_differences, sql_snv, sql_softmax, sql_top_channels, sql_resampled,
 )}
 
 
@@ -185,7 +212,15 @@ _AXES = f"""v as (select vec_id, vec_id % 25 as image, list_transform(embedding,
   b as (select unnest(range(0, {CHANNELS})) as ch, unnest([{", ".join(f"cast({w!r} as double)" for w in AXIS)}]) as wn),
   a as (select image, ch, case when image % 3 = 0 then cast({AXIS[0] + AXIS[-1]!r} as double) - wn else wn end + cast(7.5 as double) * image as wn from b, (select distinct image from v))"""
 
+_SPECTRA = "e as (select vec_id, list_transform(embedding, lambda v: cast(v as double)) as x from embeddings)"
+
 ORACLE_SQL = {
+    "sql_snv": SPECTRAL_SQL["snv_embeddings"],
+    "sql_softmax": f"""with {_SPECTRA}, d as (select vec_id, x, list_transform(range(1, {CHANNELS}), lambda i: x[i + 1] - x[i]) as d from e), p as (select *, list_transform(d, lambda v: exp(v - list_max(d))) as s from d)
+      select vec_id, list_position(d, list_max(d)) - 1 as best, round(1 / list_sum(s), 6) as prob, round(list_avg(x) / sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) as mean from p""",
+    "sql_top_channels": f"""with {_SPECTRA}, l as (select vec_id, unnest(x) as v, unnest(range(0, {CHANNELS})) as ch from e), r as (select *, row_number() over (partition by vec_id order by v desc, ch) as rank from l)
+      select vec_id, rank, ch, round(v, 6) as value from r where rank <= 4""",
+    "sql_resampled": f"""with {_SPECTRA} select vec_id, round(x[3] + cast(0.5 as double) * (x[4] - x[3]), 6) as w0, round(x[37] + cast(0.25 as double) * (x[38] - x[37]), 6) as w1, round(x[{CHANNELS}], 6) as w2 from e""",
     "image_axes_resampled": f"""with {_AXES}, t as (select image, unnest(range(0, {len(COMMON)})) as ch, unnest([{", ".join(f"cast({w!r} as double)" for w in COMMON)}]) + image as wn from (select distinct image from v)),
       n as (select t.image, t.ch, t.wn, arg_max(a.ch, a.wn) filter (a.wn <= t.wn) as low, arg_min(a.ch, a.wn) filter (a.wn > t.wn) as high, max(a.wn) filter (a.wn <= t.wn) as wl, min(a.wn) filter (a.wn > t.wn) as wh from t join a on a.image = t.image group by all)
       select vec_id, cast(ch as bigint) as ch, round(case when low is null then x[high + 1] when high is null then x[low + 1] else x[low + 1] + (wn - wl) / (wh - wl) * (x[high + 1] - x[low + 1]) end, 6) + 0 as value from v join n on n.image = v.image""",

@@ -135,3 +135,18 @@ def test_deviations_equal_those_of_refits(spark):
     found = evaluate.exponent_difference(frame).first()
     assert found["arm"] == 1 and abs(found["difference"] - 0.2) < 4 * found["std"] < 0.2
     assert np.isnan(kernels.power_law_deviations(n[:2], n[:2], (1.0, 0.5, 0.1))).all() and kernels.power_law_deviations(n, n * 0, (0.0, 0.3, 0.0)).tolist()[0] == 0
+
+
+def test_sql_functions(spark):
+    from prismspark.functions import sql
+
+    assert {"spectrum_snv", "top_channels"} <= set(sql.register(spark))
+    rows = spark.createDataFrame([(1, [1.0, 3.0, 3.0, None, float("nan")]), (2, None), (3, [])], "i int, x array<double>")
+    found = spark.sql("select i, t.* from {rows}, lateral top_channels(x, 2) t", rows=rows).collect()
+    assert [tuple(r) for r in found] == [(1, 1, 1, 3.0), (1, 2, 2, 3.0)]
+    wide = spark.sql("select i, t.* from {rows}, lateral resampled(x, 0D, 1D, 3) t order by i", rows=rows)
+    assert wide.columns == ["i", "w0", "w1", "w2"] and [tuple(r) for r in wide.collect()] == [(1, 1.0, 2.0, 3.0), (2, None, None, None), (3, None, None, None)]
+    for text in ("select * from {rows}, lateral top_channels(x, i) t", "select * from top_channels(1, 2)", "select * from {rows}, lateral top_channels(x, -1) t"):
+        with pytest.raises(Exception, match="top_channels takes"):
+            spark.sql(text, rows=rows).collect()
+    assert "ArrowEvalPython" not in spark.sql("select spectrum_snv(x) from {rows}", rows=rows)._jdf.queryExecution().executedPlan().toString()
