@@ -217,7 +217,7 @@ _SPECTRA = "e as (select vec_id, list_transform(embedding, lambda v: cast(v as d
 ORACLE_SQL = {
     "sql_snv": SPECTRAL_SQL["snv_embeddings"],
     "sql_softmax": f"""with {_SPECTRA}, d as (select vec_id, x, list_transform(range(1, {CHANNELS}), lambda i: x[i + 1] - x[i]) as d from e), p as (select *, list_transform(d, lambda v: exp(v - list_max(d))) as s from d)
-      select vec_id, list_position(d, list_max(d)) - 1 as best, round(1 / list_sum(s), 6) as prob, round(list_avg(x) / sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) as mean from p""",
+      select vec_id, cast(list_position(d, list_max(d)) - 1 as bigint) as best, round(1 / list_sum(s), 6) as prob, round(list_avg(x) / sqrt(list_sum(list_transform(x, lambda v: v * v))), 6) as mean from p""",
     "sql_top_channels": f"""with {_SPECTRA}, l as (select vec_id, unnest(x) as v, unnest(range(0, {CHANNELS})) as ch from e), r as (select *, row_number() over (partition by vec_id order by v desc, ch) as rank from l)
       select vec_id, rank, ch, round(v, 6) as value from r where rank <= 4""",
     "sql_resampled": f"""with {_SPECTRA} select vec_id, round(x[3] + cast(0.5 as double) * (x[4] - x[3]), 6) as w0, round(x[37] + cast(0.25 as double) * (x[38] - x[37]), 6) as w1, round(x[{CHANNELS}], 6) as w2 from e""",
@@ -229,7 +229,7 @@ ORACLE_SQL = {
       select v.image, vec_id, count(*) as channels, round(sum(x[ch + 1]), 6) as total from v join k on k.image = v.image group by v.image, vec_id""",
     "clustered_range": "select cast(vec_id % 25 as bigint) as image, cast(vec_id // 25 as bigint) as px, cast(label % 3 as bigint) as argmax from embeddings where vec_id % 25 = 7 and vec_id // 25 between 3 and 10",
     "training_first_steps": _steps_sql(),
-    "array_store_range": f"""select cast(vec_id % 25 as varchar) as image, cast(vec_id // 25 as bigint) as px, {CHANNELS} as channels,
+    "array_store_range": f"""select cast(vec_id % 25 as varchar) as image, cast(vec_id // 25 as bigint) as px, cast({CHANNELS} as bigint) as channels,
       round(list_sum(list_transform(embedding, lambda v: cast(v as double))), 6) as total from embeddings where vec_id // 25 between 4 and 11""",
     "study_file": f"""with {_TRIALS} select row_number() over (order by n, seed, arm) - 1 as number, n, seed, arm, round(avg(case when pred = gt then cast(1 as double) else cast(0 as double) end), 6) as accuracy, count(*) as pixels
       from t group by n, seed, arm""",

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def list_images(images: DataFrame) -> DataFrame:
-    """(image, label) with a dash for images without a label."""
-    return images.select("image", F.coalesce("label", F.lit("—")).alias("label"))
+    """(image, label) by name, with a dash for images without a label."""
+    return images.select("image", F.coalesce("label", F.lit("—")).alias("label")).orderBy("image")
 
 
 def resolve(asked: DataFrame, nested: DataFrame, top: DataFrame) -> DataFrame:
