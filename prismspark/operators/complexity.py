@@ -83,6 +83,8 @@ def roughness(rows: DataFrame) -> DataFrame:
 #: Directions that the sketch of ``leading_variances`` keeps beyond those asked
 #: for, the passes that sharpen it, and the seed of its first directions.
 OVERSAMPLE, PASSES, SKETCH_SEED = 16, 3, 11
+#: Channels up to which all directions are taken at once.
+NARROW = 128
 
 
 def _shares(rows: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -134,12 +136,12 @@ def moments(rows: DataFrame) -> tuple[int, np.ndarray, float]:
     return best["n"], mean, float(total)
 
 
-def leading_variances(rows: DataFrame, directions: int, passes: int = PASSES, seed: int = SKETCH_SEED) -> tuple[np.ndarray, float, int]:
+def leading_variances(rows: DataFrame, directions: int, passes: int = PASSES, seed: int = SKETCH_SEED, known: tuple[int, np.ndarray, float] | None = None) -> tuple[np.ndarray, float, int]:
     """The largest variances along principal directions, the total variance, and
     how many channels there are, by a randomised range finder: seeded directions
     are multiplied with the spectra's covariance, made orthogonal, and multiplied
-    again; each pass reads the spectra once."""
-    n, mean, total = moments(rows)
+    again; each pass reads the spectra once.  ``known`` are their moments."""
+    n, mean, total = known or moments(rows)
     k = min(len(mean), directions + OVERSAMPLE)
     if n < 2 or not k:
         return np.zeros(0), 0.0, len(mean)
@@ -155,15 +157,17 @@ def cumulative_share(rows: DataFrame, share: float = 0.95) -> DataFrame:
     ``share`` of the total, and that running share.  The sketch is widened until
     it is reached, so work grows with the dimension found, not with the square
     of the channels."""
-    spark, wanted = rows.sparkSession, 16
+    known = moments(rows)
+    # So few channels are no more than a sketch: all directions in one pass.
+    spark, wanted = rows.sparkSession, len(known[1]) if len(known[1]) <= NARROW else 16
     while True:
-        variances, total, channels = leading_variances(rows, wanted)
+        variances, total, channels = leading_variances(rows, wanted, known=known)
         # A sketch's last directions are rough: those asked for count.
-        known = variances if len(variances) == channels else variances[:wanted]
-        if len(known) == channels or total <= 0 or known.sum() >= share * total:
+        kept = variances if len(variances) == channels else variances[:wanted]
+        if len(kept) == channels or total <= 0 or kept.sum() >= share * total:
             break
         wanted *= 2
-    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(known, 1)], "component long, variance double")
+    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(kept, 1)], "component long, variance double")
     before = F.sum("variance").over(Window.orderBy("component"))  # a row a component
     found = table.withColumn("cumulative", F.try_divide(before, F.lit(float(total))))
     return found.filter(F.coalesce(F.col("cumulative") - F.try_divide("variance", F.lit(float(total))), F.lit(0.0)) < share * (1 - 1e-12))

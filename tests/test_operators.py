@@ -464,7 +464,8 @@ def test_dimension_equals_the_exact_one(spark, monkeypatch):
     data = [(0, 0, None), (1, 0, [float("nan")] * 90), (2, 0, [1.0, 2.0]), *[(i + 3, 0, v) for i, v in enumerate(x.tolist())]]
     rows = spark.createDataFrame(data, "vec_id long, y long, x array<double>").repartition(3)
     exact = np.linalg.eigvalsh(np.cov(x.T))[::-1]
-    for share in (0.5, 0.95, 0.99999):
+    for share, narrow in ((0.5, 0), (0.95, 0), (0.95, 128), (0.99999, 0)):
+        monkeypatch.setattr(complexity, "NARROW", narrow)
         want = int(np.searchsorted(np.cumsum(exact) / exact.sum(), share)) + 1
         assert complexity.intrinsic_dimension(rows, share).first()["dimension"] == want
     first = complexity.leading_variances(rows, 8)
