@@ -91,7 +91,6 @@ def _shares(rows: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """Sum over spectra of (x - mean) (x - mean)' basis.  A task multiplies its
     batches into one matrix of channels by directions, whose rows are added by
     channel: no matrix of channels by channels is made."""
-    k = basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(basis)
@@ -103,8 +102,13 @@ def _shares(rows: DataFrame, basis: np.ndarray, mean: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"ch": pa.array(np.arange(len(mean))), "s": pa.array(list(total), pa.list_(pa.float64()))})
 
     parts = rows.select(F.lit(0).alias("y"), "x").mapInArrow(run, "ch long, s array<double>")
-    sums = parts.groupBy("ch").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(k)]).alias("s")).orderBy("ch").toArrow()  # a row a channel
-    return np.array(sums["s"].to_pylist(), float).reshape(len(mean), k)
+
+    def added(group: pa.Table) -> pa.Table:
+        return pa.table({"ch": group["ch"].slice(0, 1), "s": pa.array([sum(np.array(v) for v in group["s"].to_pylist())], pa.list_(pa.float64()))})
+
+    # An array a task for each channel; a row a channel comes to the driver.
+    sums = parts.groupBy("ch").applyInArrow(added, "ch long, s array<double>").orderBy("ch").toArrow()
+    return np.array(sums["s"].to_pylist(), float).reshape(basis.shape)
 
 
 def moments(rows: DataFrame) -> tuple[int, np.ndarray, float]:
