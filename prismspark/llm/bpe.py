@@ -14,6 +14,8 @@ repeated rows are encoded each; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import heapq
@@ -329,6 +331,7 @@ def frequent_words(docs: DataFrame, special: dict[str, int], n: int = LEXICON_WO
             if len(held) > HELD_WORDS:
                 yield out()
         yield out()
+        _give_back()
 
     words = docs.select("text").mapInArrow(count, "word string, n long")
     words = written(words.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "bpe-words")
@@ -351,9 +354,9 @@ class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: bytes, packed: bool = False):
         self.packed, self.limit = packed, HELD_WORDS // (2 if packed else 1)
         self.vocab, self.lexicon, self.merger, self.pattern = vocab, Lexicon(lexicon), Merger(vocab), regex.compile(PATTERN)
-        # Ids joined by commas, their number, their bytes decoded; with packed, the ids as 32-bit numbers.
-        self.known: dict[str, tuple] = {}
-        self.words: dict[str, tuple] = {}
+        # Ids joined by commas, their number, their bytes decoded; with packed only the ids as 32-bit numbers.
+        self.known: dict[str, tuple | bytes] = {}
+        self.words: dict[str, tuple | bytes] = {}
         self.digits = {i: str(i) for i in vocab.pieces}
 
     def learn(self, pieces: set[str]) -> None:
@@ -371,18 +374,18 @@ class Encoder:
         for w, ids in zip(fresh, found, strict=True):
             if w in self.vocab.special:
                 ids = [self.vocab.special[w]]
-            entry = (",".join([digits[i] for i in ids]), len(ids), b"".join([decode[i] for i in ids]))
-            self.words[w] = (*entry, array("i", ids).tobytes()) if self.packed else entry
+            self.words[w] = array("i", ids).tobytes() if self.packed else (",".join([digits[i] for i in ids]), len(ids), b"".join([decode[i] for i in ids]))
         for p, words in cut.items():
             if len(words) == 1:
                 self.known[p] = self.words[words[0]]
+            elif self.packed:
+                self.known[p] = b"".join([self.words[w] for w in words])
             elif len(words) == 2:
                 a, b = self.words[words[0]], self.words[words[1]]
-                entry = (a[0] + "," + b[0], a[1] + b[1], a[2] + b[2])
-                self.known[p] = (*entry, a[3] + b[3]) if self.packed else entry
+                self.known[p] = (a[0] + "," + b[0], a[1] + b[1], a[2] + b[2])
             else:
-                ids, sizes, *raw = zip(*[self.words[w] for w in words], strict=True)
-                self.known[p] = (",".join(ids), sum(sizes), *map(b"".join, raw))
+                ids, sizes, raw = zip(*[self.words[w] for w in words], strict=True)
+                self.known[p] = (",".join(ids), sum(sizes), b"".join(raw))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple]:
         """(number of ids, ids joined by commas, decoded bytes) of each text;
@@ -393,11 +396,24 @@ class Encoder:
         if missing:
             self.learn(missing if len(self.known) + len(missing) <= self.limit else pieces)
         for own in cut:
-            if not own:
-                yield (0, "", b"", b"") if self.packed else (0, "", b"")
-                continue
-            ids, sizes, *raw = zip(*map(self.known.__getitem__, own), strict=True)
-            yield sum(sizes), ",".join(ids), *map(b"".join, raw)
+            if self.packed:
+                packed = b"".join(map(self.known.__getitem__, own))
+                ids = np.frombuffer(packed, np.int32).tolist()
+                yield len(ids), ",".join(map(self.digits.__getitem__, ids)), b"".join(map(self.vocab.pieces.__getitem__, ids)), packed
+            elif own:
+                ids, sizes, raw = zip(*map(self.known.__getitem__, own), strict=True)
+                yield sum(sizes), ",".join(ids), b"".join(raw)
+            else:
+                yield 0, "", b""
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task, of
+    whatever operator, with what its allocators keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such call beside glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _encoder(docs: DataFrame, path: str, lexicon_words: int, packed: bool):
@@ -437,6 +453,8 @@ def encode_decode(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
         gc.enable()
+        del encoder
+        _give_back()
 
     types = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
     return docs.select("doc_id", "text").mapInArrow(run, types)
