@@ -15,9 +15,9 @@ of tiles is a task's work; tasks return counts and a spanning forest of the
 links they verified, never the pairs.
 
 Defined results: vectors that are null, zero or hold null or non-finite
-components link with nothing; vectors of different length do not link; rows of
-one id are one vector (the smallest in array order that is not null); a null id
-stays alone; other columns are ignored.
+components link with nothing; vectors of different length do not link; rows that
+repeat an id are vectors of their own, and link with each other only by cosine; a
+null id stays alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def _slabs(of):
                 space = of(dims)
                 _, turned = space.rotated(_matrix(part.column(2), dims))
                 slabs = np.stack([np.floor(turned[:, a] / w).astype(np.int32) for (a, _), w in zip(space.blocks, space.widths, strict=True)], axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(slabs), pa.list_(pa.int32()))], names=["rep", "copies", "vector", "slabs"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(slabs), pa.list_(pa.int32()))], names=["key", "copies", "vector", "slabs"])
 
     return run
 
@@ -132,7 +132,7 @@ def _compare(of, cosine: float):
     def run(group: pa.Table) -> pa.Table:
         dims, block, p, q = (group[c][0].as_py() for c in ("dims", "block", "p", "q"))
         space = of(dims)
-        rep, copies, visits, tile = (group[c].to_numpy() for c in ("rep", "copies", "visits", "tile"))
+        key, copies, visits, tile = (group[c].to_numpy() for c in ("key", "copies", "visits", "tile"))
         unit, turned = space.rotated(_matrix(group["vector"], dims))
         low, high = space.blocks[block]
         near, unit32 = turned[:, low:high].astype(np.float32), unit.astype(np.float32)
@@ -142,7 +142,7 @@ def _compare(of, cosine: float):
         along = turned[:, min(low + 1, high - 1)]  # neighbours lie within the radius here too
         limit, reach = np.float32(space.budgets[block] + 1e-5), space.widths[block]
         squares = np.stack([(turned[:, a:b] ** 2).sum(axis=1) for a, b in space.blocks[: block + 1]])
-        links, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
+        links, forest = np.zeros(len(key), np.int64), Forest(len(key))
 
         def verify(a: np.ndarray, b: np.ndarray) -> None:
             close = np.einsum("ij,ij->i", unit32[a], unit32[b]) >= cosine - 1e-4
@@ -207,10 +207,10 @@ def _compare(of, cosine: float):
         if p != q:
             scan(home[1], guest[0], False)
         root = forest.root
-        joined, linked = np.flatnonzero(root != np.arange(len(rep))), np.flatnonzero(links)
+        joined, linked = np.flatnonzero(root != np.arange(len(key))), np.flatnonzero(links)
         return pa.table({
-            "a": pa.array(np.concatenate([rep[linked], rep[joined]]), pa.int64()),
-            "b": pa.array([None] * len(linked) + rep[root[joined]].tolist(), pa.int64()),
+            "a": pa.array(np.concatenate([key[linked], key[joined]]), pa.int64()),
+            "b": pa.array([None] * len(linked) + key[root[joined]].tolist(), pa.int64()),
             "links": pa.array(links[linked].tolist() + [0] * len(joined), pa.int64()),
         })
 
@@ -218,30 +218,32 @@ def _compare(of, cosine: float):
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_dims: int = BLOCK_DIMS, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every id of ``vectors``
+    """(vec_id, n_links, component_id, kept) of every row of ``vectors``
     (vec_id, embedding)."""
-    # min() passes over nulls, so an id has a vector if any of its rows has one.
-    rows = vectors.groupBy("vec_id").agg(F.min("embedding").alias("vector"))
-    fit = finite(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    rows = written(rows.select("vec_id", F.when(fit, F.col("vector")).alias("vector")), "vectors")
+    fit = finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
+    rows = written(vectors.select("vec_id", F.when(fit, F.col("embedding")).alias("vector")), "vectors")
     classes = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes.select("rep", "copies", "vector"), "vector-classes")
+    # Classes are numbered, as several may have one smallest id.
+    classes = written(classes.select(F.monotonically_increasing_id().alias("key"), "rep", "copies", "vector"), "vector-classes")
     of, kind = _spaces(cosine, block_dims, seed), classes.schema["vector"].dataType.simpleString()
-    placed = classes.filter(F.size("vector") > 0).mapInArrow(_slabs(of), f"rep long, copies long, vector {kind}, slabs array<int>")
-    placed = placed.select("rep", "copies", "vector", F.size("vector").alias("dims"), F.posexplode("slabs").alias("block", "home"))
+    placed = classes.filter(F.size("vector") > 0).select("key", "copies", "vector").mapInArrow(_slabs(of), f"key long, copies long, vector {kind}, slabs array<int>")
+    placed = placed.select("key", "copies", "vector", F.size("vector").alias("dims"), F.posexplode("slabs").alias("block", "home"))
     visited = F.array(F.struct(F.col("home").alias("slab"), F.lit(False).alias("visits")), F.struct((F.col("home") + 1).alias("slab"), F.lit(True).alias("visits")))
-    placed = placed.select("rep", "copies", "vector", "dims", "block", F.explode(visited).alias("x")).select("rep", "copies", "vector", "dims", "block", "x.*")
+    placed = placed.select("key", "copies", "vector", "dims", "block", F.explode(visited).alias("x")).select("key", "copies", "vector", "dims", "block", "x.*")
     # One row a block and slab: at most 2 / width + 2 slabs of each length of vectors.
     members = placed.groupBy("dims", "block", "slab").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
-    dealt = placed.join(members, ["dims", "block", "slab"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    dealt = placed.join(members, ["dims", "block", "slab"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = dealt.select("*", other.alias("o")).withColumns({"p": F.least("tile", "o"), "q": F.greatest("tile", "o")})
-    parts = dealt.select("rep", "copies", "vector", "visits", "tile", "dims", "block", "slab", "p", "q").groupBy("dims", "block", "slab", "p", "q").applyInArrow(_compare(of, cosine), "a long, b long, links long")
+    parts = dealt.select("key", "copies", "vector", "visits", "tile", "dims", "block", "slab", "p", "q").groupBy("dims", "block", "slab", "p", "q").applyInArrow(_compare(of, cosine), "a long, b long, links long")
     parts = written(parts, "vector-links")
-    reached = components(parts.filter("b is not null").select("a", "b"))
-    counts = written(parts.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")), "vector-counts")
-    known = classes.join(counts, "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select(F.col("vector").alias("same"), "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    reached = components(parts.filter("b is not null").select("a", "b"))  # roots are named as components alone
+    reached = reached.unionAll(reached.select("component", "component").distinct()).withColumnRenamed("node", "key").join(classes.select("key", "rep"), "key")
+    least = reached.groupBy("component").agg(F.min("rep").alias("least"))
+    reached = written(reached.join(least, "component").select("key", "least"), "vector-components")
+    counts = written(parts.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links")), "vector-counts")
+    known = classes.join(counts, "key", "left").join(reached, "key", "left")
+    known = known.select(F.col("vector").alias("same"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "rep").alias("component"))
     out = rows.join(written(known, "vector-known"), F.col("vector") == F.col("same"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -120,11 +120,10 @@ def _secrets_sql() -> str:
     from documents d left join per p on d.doc_id = p.doc_id"""
 
 
-TOPK_SQL = """with v as (select vec_id, min(embedding) as e from embeddings where vec_id is not null and embedding is not null
-      and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x))) group by vec_id),
-    i as (select vec_id, list_transform(e, lambda x: floor(256 * cast(x as double))) as e from v),
-    s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from i q join i c on q.vec_id != c.vec_id where q.vec_id % 50 = 0),
-    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+TOPK_SQL = """with v as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+      where vec_id is not null and embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+    s as (select q.row, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.row != c.row where q.vec_id % 50 = 0),
+    r as (select *, row_number() over (partition by row order by score desc, vec_id) as rank from s)
     select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5"""
 
 SHINGLES_SQL = """with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') as w from documents),
@@ -137,15 +136,15 @@ SHINGLES_SQL = """with recursive w as (select doc_id, list_filter(regexp_split_t
     select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) as component_id, least(w.doc_id, coalesce(other, w.doc_id)) = w.doc_id as kept
     from w left join n on n.doc_id = w.doc_id left join least on node = w.doc_id"""
 
-VECTORS_SQL = """with recursive v as (select vec_id, min(embedding) as e from embeddings group by vec_id),
-    ok as (select vec_id, list_transform(e, lambda x: cast(x as double)) as e from v where e is not null and vec_id is not null
+VECTORS_SQL = """with recursive v as materialized (select row_number() over () as row, vec_id, embedding as e from embeddings),
+    ok as (select row, vec_id, list_transform(e, lambda x: cast(x as double)) as e from v where e is not null and vec_id is not null
       and not list_bool_or(list_transform(e, lambda x: x is null or not isfinite(x))) and list_bool_or(list_transform(e, lambda x: x != 0))),
-    links as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
-    reach(node, other) as (select a, b from links union select r.node, l.b from reach r join links l on r.other = l.a),
-    least as (select node, min(other) as other from reach group by node),
+    links as materialized (select a.row as a, b.row as b, b.vec_id as id from ok a join ok b on a.row != b.row and list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach(node, other, id) as (select a, b, id from links union select r.node, l.b, l.id from reach r join links l on r.other = l.a),
+    least as (select node, min(id) as id from reach group by node),
     n as (select a, count(*) as n from links group by a)
-    select v.vec_id, coalesce(n.n, 0) as n_links, least(v.vec_id, coalesce(other, v.vec_id)) as component_id, least(v.vec_id, coalesce(other, v.vec_id)) = v.vec_id as kept
-    from v left join n on n.a = v.vec_id left join least on node = v.vec_id"""
+    select v.vec_id, coalesce(n.n, 0) as n_links, least(v.vec_id, coalesce(least.id, v.vec_id)) as component_id, least(v.vec_id, coalesce(least.id, v.vec_id)) = v.vec_id as kept
+    from v left join n on n.a = v.row left join least on node = v.row"""
 
 #: The checksum of each run by its table of 256 bytes, drawn from the polynomial.
 SPELLING_SQL = """with recursive bits(b, c, k) as (select range, range, 0 from range(256)

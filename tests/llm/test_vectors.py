@@ -21,31 +21,29 @@ def vectors(spark):
     centres = rng.standard_normal((12, 16))
     rows = [(i, (centres[i % 12] + 0.25 * rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + k, rows[5][1]) for k in range(40)]  # copies
-    rows += [(400, None), (401, [0.0] * 16), (402, [math.nan] + [1.0] * 15), (403, [None] + [1.0] * 15), (404, [math.inf] * 16), (405, [1.0, 2.0]), (406, [2.0, 4.0]), (407, []), (None, rows[5][1]), (5, rows[5][1])]
+    rows += [(400, None), (401, [0.0] * 16), (402, [math.nan] + [1.0] * 15), (403, [None] + [1.0] * 15), (404, [math.inf] * 16), (405, [1.0, 2.0]), (406, [2.0, 4.0]), (407, []), (None, rows[5][1]), (5, rows[5][1]), (50, rows[7][1]), (50, rows[8][1]), (8, rows[7][1])]
     return spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], SCHEMA).repartition(3)
 
 
 def usable(frame):
-    out = {}
-    for r in frame.collect():
-        v = r["embedding"]
-        if r["vec_id"] is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            out[r["vec_id"]] = v
-    return out
+    """(vec_id, vector) of each row that takes part."""
+    rows = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
+    return [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
 
 
 @pytest.mark.parametrize("blocks", [(topk_search.CANDIDATE_BLOCK, topk_search.QUERY_BLOCK), ((37, 37), (2, 2))])
 def test_search_equals_brute_force(vectors, blocks, monkeypatch):
     monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", blocks[0])
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", blocks[1])
-    known = {i: [math.floor(256 * x) for x in v] for i, v in usable(vectors).items()}
-    want = set()
-    for q in known:
+    known = [(i, [math.floor(256 * x) for x in v]) for i, v in usable(vectors)]
+    want = []
+    for n, (q, w) in enumerate(known):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(known[q], v, strict=False)), i) for i, v in known.items() if i != q)[:5]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+            best = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), i) for m, (i, v) in enumerate(known) if m != n)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     got = topk_search.search(vectors, F.col("id") % 50 == 0)
-    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+    assert sum(q == 50 for q, *_ in want) == 15
 
 
 def test_search_of_few_and_of_none(spark, vectors):
@@ -56,24 +54,22 @@ def test_search_of_few_and_of_none(spark, vectors):
 
 @pytest.mark.parametrize("tile", [32_768, 60])
 def test_links_equal_brute_force(vectors, tile):
-    known = {i: v for i, v in usable(vectors).items() if any(v)}
-    ids = sorted(known)
-    links, root = {i: 0 for i in ids}, {i: i for i in ids}
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            x, y = np.array(known[a], float), np.array(known[b], float)
+    known = [(i, v) for i, v in usable(vectors) if any(v)]
+    links, root = [0] * len(known), list(range(len(known)))
+    for n, (_, v) in enumerate(known):
+        for m, (_, w) in enumerate(known[:n]):
+            x, y = np.array(v, float), np.array(w, float)
             if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.9:
-                links[a] += 1
-                links[b] += 1
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if r == high else r for k, r in root.items()}
-    rows = embedding_dedup.near_duplicates(vectors, tile=tile).collect()
-    assert len(rows) == len({r["vec_id"] for r in vectors.collect()})
-    for r in rows:
-        i = r["vec_id"]
-        assert (r["n_links"], r["component_id"]) == (links.get(i, 0), root.get(i, i)), i
-        assert r["kept"] == (i is None or root.get(i, i) == i)
-    assert sum(links.values()) > 3000
+                links[n] += 1
+                links[m] += 1
+                low, high = sorted((root[m], root[n]))
+                root = [low if r == high else r for r in root]
+    least = {r: min(i for (i, _), s in zip(known, root, strict=True) if s == r) for r in set(root)}
+    want = [(i, k, least[r], i == least[r]) for (i, _), k, r in zip(known, links, root, strict=True)]
+    want += [(i, 0, i, True) for i in (None, 400, 401, 402, 403, 404, 407)]
+    got = [tuple(r) for r in embedding_dedup.near_duplicates(vectors, tile=tile).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(links) > 3000 and len({w for w in want if w[0] == 50}) == 3
 
 
 def test_dense_cluster_needs_no_list_of_pairs():
@@ -85,7 +81,7 @@ def test_dense_cluster_needs_no_list_of_pairs():
     n, rng = 20_000, np.random.default_rng(2)
     x = (rng.standard_normal(32) + 0.02 * rng.standard_normal((n, 32))).astype(np.float32)
     column = lambda v: pa.array(np.full(n, v))
-    group = pa.table({"rep": pa.array(np.arange(n)), "copies": column(1), "vector": pa.array(list(x), pa.list_(pa.float32())), "visits": column(False), "tile": column(0), "dims": column(32), "block": column(0), "slab": column(0), "p": column(0), "q": column(0)})
+    group = pa.table({"key": pa.array(np.arange(n)), "copies": column(1), "vector": pa.array(list(x), pa.list_(pa.float32())), "visits": column(False), "tile": column(0), "dims": column(32), "block": column(0), "slab": column(0), "p": column(0), "q": column(0)})
     compare = embedding_dedup._compare(embedding_dedup._spaces(0.9, 16, 9), 0.9)
     tracemalloc.start()
     out = compare(group).to_pylist()
