@@ -23,7 +23,9 @@ its strings are dealt by all their ``LENGTH`` bytes instead of by the gram's: a
 task folds equal ones to the earliest before it sorts and front-codes them, and
 the parts merge these runs by the same loser tree.  So a passage in very many
 documents costs a task one suffix for each different string; its other places
-are covered at once.
+are covered at once.  Hashes bring equal strings together, and their bytes are
+compared before one of them is folded: strings that share hashes alone stay apart
+and meet in the merge.
 
 A text is looked at in pieces of ``SLICE`` bytes that overlap by LENGTH - 1, so
 each string lies in one piece whatever the text's length.
@@ -37,7 +39,7 @@ without an id is left whole; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +251,23 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[a]]), order[a:b]
 
 
+#: Rows whose bytes are compared at once.
+_ROWS = 8_192
+
+
+def _alike(rows: np.ndarray, a: np.ndarray, b: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` of a matrix of bytes are equal, in the first
+    ``used`` columns of ``a`` if given."""
+    out, column = np.empty(len(a), bool), np.arange(rows.shape[1])
+    for at in range(0, len(a), _ROWS):
+        x, y = a[at : at + _ROWS], b[at : at + _ROWS]
+        same = rows[x] == rows[y]
+        if used is not None:
+            same |= column >= used[x, None]
+        out[at : at + _ROWS] = same.all(axis=1)
+    return out
+
+
 class HotStrings:
     """Strings of hot grams that a task met; equal ones are folded."""
 
@@ -261,22 +280,30 @@ class HotStrings:
         """Strings at ``at`` of the anchors' data; place: where in their row."""
         size = anchors.length
         one, two = anchors.strings(at, size)
-        kept = self.fold((one, two, doc, key, place, at), size)
-        text = np.lib.stride_tricks.sliding_window_view(anchors.data, size)[kept[5]]
+        texts = np.lib.stride_tricks.sliding_window_view(anchors.data, size)
+        kept = self.fold((one, two, doc, key, place, at), size, lambda a, b: _alike(texts, at[a], at[b]))
+        text = texts[kept[5]]
         self.held.append((*kept[:5], text))
         self.n += len(text)
         if self.n > self.known + RUN:
-            self.held = [self.fold(tuple(map(np.concatenate, zip(*self.held, strict=True))), size)]
+            self.held = [self.folded(size)]
             self.n = self.known = len(self.held[0][0])
 
-    def fold(self, x: tuple[np.ndarray, ...], size: int | np.ndarray) -> tuple[np.ndarray, ...]:
+    def folded(self, size: int) -> tuple[np.ndarray, ...]:
+        """What is held, equal strings folded."""
+        x = tuple(map(np.concatenate, zip(*self.held, strict=True)))
+        return self.fold(x, size, lambda a, b: _alike(x[5], a, b))
+
+    def fold(self, x: tuple[np.ndarray, ...], size: int | np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
         """x: hashes of byte strings, doc, key, place in it, any others; only
         the earliest of equal strings stay, the others become spans of ``size``
-        bytes."""
+        bytes.  ``alike`` compares the bytes of strings by their places in x."""
         one, two, doc, key, at = x[:5]
         order = np.lexsort((at, key, doc, two, one))
         one, two, doc, key, at = (c[order] for c in x[:5])
         same = np.concatenate([[False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
+        k = np.flatnonzero(same)
+        same[k] = alike(order[k - 1], order[k])
         later, again = _later(same, doc, key, at)
         if later.any():
             span = (size[order] if isinstance(size, np.ndarray) else np.full(len(at), size))[later]
@@ -289,8 +316,7 @@ class HotStrings:
     def flush(self, parts: int) -> Iterator[tuple[int, int, bytes]]:
         """Its runs (kind 1), one a part, and spans (kind 2)."""
         if self.held:
-            x = tuple(map(np.concatenate, zip(*self.held, strict=True)))
-            one, _, doc, key, at, text = self.fold(x, x[5].shape[1])
+            one, _, doc, key, at, text = self.folded(self.held[0][5].shape[1])
             for part, k in _by_part((one % np.uint64(parts)).astype(np.int64)):
                 own = np.ascontiguousarray(text[k])
                 k, own = k[order := np.argsort(own.view(f"S{own.shape[1]}").ravel(), kind="stable")], own[order]
@@ -320,8 +346,13 @@ def _runs(length: int, gram: int, parts: int):
                 return
             x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             held.clear()
+
+            def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                same = (x["low"][a] == x["low"][b]) & (x["high"][a] == x["high"][b]) & (x["size"][a] == x["size"][b])
+                return same & _alike(x["ahead"], a, b) & _alike(x["behind"], a, b, x["high"])
+
             # Anchors whose strings are all equal (copies meet in one task) are one.
-            kept = hot.fold((x["one"], x["two"], x["doc"], x["key"], x["at"] - x["high"], np.arange(len(x["at"]))), length + x["high"] - x["low"])[5]
+            kept = hot.fold((x["one"], x["two"], x["doc"], x["key"], x["at"] - x["high"], np.arange(len(x["at"]))), length + x["high"] - x["low"], alike)[5]
             x = {k: v[kept] for k, v in x.items()}
             for part, k in _by_part((x["gram"].view(np.uint64) % np.uint64(parts)).astype(np.int64)):
                 k = k[np.lexsort((x["size"][k], np.ascontiguousarray(x["ahead"][k]).view(f"S{length}").ravel()))]
@@ -479,24 +510,23 @@ def _covered(prefixes: np.ndarray, before: np.ndarray, doc: np.ndarray, key: np.
     n = len(doc)
     rank = np.empty(n, np.int64)
     rank[np.lexsort((at, key, doc))] = np.arange(n)
-    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    held = np.zeros(n, np.int64)  # rows whose last o bytes before the anchor are equal share a number
     for o in range(before.shape[1] + 1):
         own = (low <= o) & (o <= high)
         group = np.cumsum(prefixes < length - o)
         often = np.bincount(group, own, group[-1] + 1)[group] > 1
         k = np.flatnonzero(own & often)
         if len(k):
-            order = k[np.lexsort((rank[k], two[k], one[k], group[k]))]
-            g, x, y = group[order], one[order], two[order]
-            same = np.concatenate([[False], (g[1:] == g[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])])
+            order = k[np.lexsort((rank[k], held[k], group[k]))]
+            g, x = group[order], held[order]
+            same = np.concatenate([[False], (g[1:] == g[:-1]) & (x[1:] == x[:-1])])
             later, _ = _later(same, doc[order], key[order], at[order])
             order = order[later]
             if len(order):
                 yield doc[order], key[order], at[order] - o, at[order] - o + length
         if o < before.shape[1]:
-            one = (one + before[:, o] + np.uint64(1)) * np.uint64(_ODD[0])
-            two = (two + before[:, o] + np.uint64(1)) * np.uint64(_ODD[1])
-            two ^= two >> np.uint64(29)
+            k = np.flatnonzero(high > o)
+            _, held[k] = np.unique(held[k] * 256 + before[k, o], return_inverse=True)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

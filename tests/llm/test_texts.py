@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,37 @@ def test_no_text_is_lost_where_ids_repeat(spark, hot, monkeypatch):
     assert got == sorted([(1, a), (5, ""), (5, b), (9, ""), (5, b)])
 
 
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_shared_hashes_fold_nothing(hot):
+    """Strings whose hashes all agree, by force, are told apart by their bytes."""
+    rng = random.Random(4)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(260)) for _ in range(3))
+    texts = [(1, a), (2, b), (3, a + c), (4, c + b), (5, c[:180])]
+    grams = set()
+    real = suffix_dedup.Anchors
+
+    class Clash(real):
+        def strings(self, at, size):
+            return np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+
+    found = real(100, 32)
+    for _, t in texts:
+        grams |= set(found.find([t.encode()])["gram"].tolist())
+    known = [{"gram": g, "often": hot == 1} for g in sorted(grams)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in texts], "key": [0] * len(texts), "text": [t for _, t in texts], "grams": pa.array([known] * len(texts), pa.list_(pa.struct([("gram", pa.int64()), ("often", pa.bool_())])))})
+    results = []
+    for kind in (real, Clash):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(suffix_dedup, "Anchors", kind)
+            runs = pa.Table.from_batches(suffix_dedup._runs(100, 32, 1)([batch]))
+        spans = suffix_dedup._merge(100, 32)(runs).to_pylist()
+        assert all(s["start"] < s["stop"] for s in spans)
+        results.append({(s["doc_id"], p) for s in spans for p in range(s["start"], s["stop"])})
+    want = {i: n for i, (_, n, _, _) in removed(texts).items()}
+    assert results[0] == results[1]
+    assert {i: sum(d == i for d, _ in results[1]) for i, _ in texts} == want and sum(want.values()) > 800
+
+
 def test_loser_tree_sorts_and_knows_prefixes():
     rng = random.Random(2)
     for count in (1, 2, 3, 7):
