@@ -1,10 +1,12 @@
 """Training of a classifier by synchronous steps over the cluster.
 
 Balanced batches of the next epochs (at least one, up to ``AHEAD`` rows) are
-drawn, their spectra joined, perturbed and preprocessed, and written once, a
-folder a batch and ``SHARDS`` shards in it; a step reads its folder, every task
-adds up the gradients of its shards, and the driver adds these few rows and
-moves the parameters (AdamW, gradients clipped by their norm).  What moves is a
+drawn, their spectra joined, perturbed and preprocessed, and written once in
+``SHARDS`` shards a batch; every task of a step adds up the gradients of its
+shards, and the driver adds these few rows and moves the parameters (AdamW,
+gradients clipped by their norm).  Small batches are dealt once to partitions of
+their own, ``TASK_ROWS`` rows in each, and a step runs on its partitions alone;
+batches of over ``SMALL_ROWS`` rows are read from a folder each.  What moves is a
 row of parameters a shard; spectra stay in the tasks.
 
 After each epoch one row with the parameters, the optimiser's moments and the
@@ -27,6 +29,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +44,15 @@ SHARDS = 16
 AHEAD = 100_000
 #: Numbers of gradients that one step may bring to the driver.
 MAX_VALUES = 16 << 20
+#: Rows of a batch up to which it is dealt to partitions of its own, and rows of
+#: such a partition, about.
+SMALL_ROWS, TASK_ROWS = 8_192, 1_024
 #: Classes that a model may have.
 MAX_CLASSES = 1_000
 #: Rows that a task multiplies at once.
 ROWS = 2_048
 BETAS, EPSILON = (0.9, 0.999), 1e-8
+PACKED = "batch long, shard long, y binary, x binary"
 
 Parameters = dict[str, np.ndarray]
 
@@ -184,6 +191,65 @@ class State:
         return norm
 
 
+def _shards(batches: Iterator[pa.RecordBatch], channels: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray]]:
+    """((batch, shard), labels, spectra) of rows (batch, shard, y, x) that lie
+    together."""
+    last, ys, xs = None, [], []
+    for batch in batches:
+        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        for at, labels, x in usable(batch, 2, 3):
+            if x.shape[1] != channels:
+                continue
+            own = keys[at]
+            for some in np.split(np.arange(len(own)), np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1):
+                key = tuple(own[some[0]].tolist())
+                if last not in (None, key):
+                    yield last, np.concatenate(ys), np.concatenate(xs)
+                    ys, xs = [], []
+                last = key
+                ys.append(labels[some])
+                xs.append(x[some])
+    if last is not None:
+        yield last, np.concatenate(ys), np.concatenate(xs)
+
+
+def _packed(channels: int):
+    """Rows (batch, shard, y, x) that lie together to one row a batch and shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (batch, shard), labels, x in _shards(batches, channels):
+            yield pa.RecordBatch.from_pylist([{"batch": batch, "shard": shard, "y": labels.astype(np.int64).tobytes(), "x": np.ascontiguousarray(x).tobytes()}])
+
+    return run
+
+
+def dealt(packed: DataFrame, first: int, batches: int, tasks: int) -> RDD:
+    """(shard, labels, spectra) of so many batches from number ``first``; the
+    partitions from ``tasks`` times a batch's place on are its own."""
+    keyed = packed.rdd.map(lambda r: ((r["batch"] - first) * tasks + r["shard"] % tasks, (r["shard"], bytes(r["y"]), bytes(r["x"]))))
+    return keyed.partitionBy(batches * tasks, lambda k: k).values().persist(StorageLevel.DISK_ONLY)
+
+
+def small_gradient(held: RDD, place: int, tasks: int, params: Parameters, channels: int, gamma: float) -> tuple[float, int, int, np.ndarray]:
+    """``gradient`` of the batch at a place of ``dealt``."""
+
+    def run(shards: Iterator[tuple[int, bytes, bytes]]) -> list:
+        out = []
+        for shard, y, x in shards:
+            labels, spectra, total = np.frombuffer(y, np.int64), np.frombuffer(x).reshape(-1, channels), [0.0, 0, 0, 0.0]
+            for k in range(0, len(labels), ROWS):
+                loss, hits, grads = losses(spectra[k : k + ROWS], labels[k : k + ROWS], params, gamma)
+                total = [a + b for a, b in zip(total, (float(loss.sum()), int(hits.sum()), len(hits), flat(grads)), strict=True)]
+            out.append((shard, *total))
+        return out
+
+    found = sorted(held.context.runJob(held, run, range(place * tasks, (place + 1) * tasks)), key=lambda r: r[0])
+    g = np.zeros(sum(v.size for v in params.values()))
+    for r in found:
+        g += r[4]
+    return sum(r[1] for r in found), sum(r[2] for r in found), sum(r[3] for r in found), g
+
+
 # -- epochs ------------------------------------------------------------------
 
 
@@ -297,20 +363,31 @@ def train(
     patience = max(trainer.least_patience, trainer.early_stopping_patience // trainer.val_every_n_epochs)
     last = max(trainer.max_epochs, trainer.min_epochs)
     schema = "params array<double>, m array<double>, v array<double>, step long, epoch long, best double, best_epoch long, wait long, stopped boolean, train_loss double, train_acc double, grad_norm double, lr double, val_loss double, val_acc double, patience_used_pct double, names array<string>, shapes array<array<long>>, classes array<string>"
-    ready = 0
+    small, parts = trainer.batch_size <= SMALL_ROWS, max(1, min(shards, -(-trainer.batch_size // TASK_ROWS)))
+    ready, own = 0, None
     while state.epoch + 1 < last and not state.stopped:
         epoch = state.epoch + 1
         if epoch >= ready:
             first, ready = epoch * batches, min(last, epoch + max(1, AHEAD // (batches * trainer.batch_size)))
             drawn = finish(prepare(draw_batches(rows, ident, classes, trainer.batch_size, first, ready * batches - first, seed, shards)))
             drawn = drawn.select("batch", "shard", "slot", place.cast("long").alias("y"), "x")
-            tasks = min((ready * batches - first) * shards, 4 * spark.sparkContext.defaultParallelism)
             folder = f"{path}/batches-{first}"
-            drawn.repartition(tasks, "batch", "shard").sortWithinPartitions("batch", "shard", "slot").write.mode("overwrite").partitionBy("batch").parquet(folder)
+            tasks = min((ready * batches - first) * shards, 4 * spark.sparkContext.defaultParallelism)
+            ordered = drawn.repartition(tasks, "batch", "shard").sortWithinPartitions("batch", "shard", "slot")
+            if small:
+                ordered.select("batch", "shard", "y", "x").mapInArrow(_packed(channels), PACKED).write.mode("overwrite").parquet(folder)
+                if own is not None:
+                    own.unpersist()
+                own = dealt(spark.read.schema(PACKED).parquet(folder), first, ready * batches - first, parts)
+            else:
+                ordered.write.mode("overwrite").partitionBy("batch").parquet(folder)
         loss = hits = n = norm = 0.0
         for step in range(batches):
-            batch = spark.read.schema("shard long, slot long, y long, x array<double>").parquet(f"{folder}/batch={epoch * batches + step}")
-            part, right, count, g = gradient(batch, shaped(state.params, like), channels, model.gamma)
+            if small:
+                part, right, count, g = small_gradient(own, epoch * batches + step - first, parts, shaped(state.params, like), channels, model.gamma)
+            else:
+                batch = spark.read.schema("shard long, slot long, y long, x array<double>").parquet(f"{folder}/batch={epoch * batches + step}")
+                part, right, count, g = gradient(batch, shaped(state.params, like), channels, model.gamma)
             if count:
                 norm += state.move(g / count, model, trainer.gradient_clip_val) / batches
                 loss, hits, n = loss + part, hits + right, n + count
@@ -327,4 +404,6 @@ def train(
         names = sorted(like)
         row = (state.params.tolist(), state.m.tolist(), state.v.tolist(), state.step, state.epoch, float(state.best), state.best_epoch, state.wait, state.stopped, *log, names, [list(like[k].shape) for k in names], [str(c) for c in class_labels])
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{path}/checkpoints")
+    if own is not None:
+        own.unpersist()
     return history(spark, path)

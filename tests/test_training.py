@@ -90,3 +90,13 @@ def test_no_rows(spark, rows, tmp_path):
         training.train(rows.limit(0), rows, "id", 6, str(tmp_path))
     with pytest.raises(ValueError, match="no checkpoints"):
         training.read_model(spark, str(tmp_path / "nowhere"))
+
+
+def test_small_steps_read_no_folder_each(spark, rows, tmp_path, monkeypatch):
+    trainer = Trainer(batch_size=20, max_epochs=2, min_epochs=2, gradient_clip_val=0.3)
+    go = lambda path: training.train(rows, rows, "id", 6, str(tmp_path / path), Model(hidden=4, gamma=1.0), trainer, 2, batches=3).orderBy("epoch").collect()
+    monkeypatch.setattr(training, "TASK_ROWS", 8)
+    small = go("small")
+    assert small[-1]["step"] == 6 and not list((tmp_path / "small").glob("batches-*/batch=*"))
+    monkeypatch.setattr(training, "SMALL_ROWS", 0)
+    assert go("large") == small  # to the bit
