@@ -473,3 +473,15 @@ def test_dimension_equals_the_exact_one(spark, monkeypatch):
     assert complexity.intrinsic_dimension(rows.limit(1)).first()["dimension"] == complexity.intrinsic_dimension(rows.limit(0)).first()["dimension"] == 0
     found = complexity.covariance(rows).collect()
     assert len(found) == 90 * 90 and np.allclose([r["c"] for r in found], [np.cov(x.T)[r["i"], r["j"]] for r in found])
+
+
+@pytest.mark.parametrize("name", ["dominant_class"])
+def test_pixels_are_joined_in_tasks_of_bounded_rows(spark, same, monkeypatch, name):
+    from conftest import SF_DIR
+    from prismspark.jobs import relational
+    from prismspark.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 300, raising=False)
+    parts = tables.pixels(spark, SF_DIR).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 15 and max(r["count"] for r in parts) < 900
+    same(relational.QUERIES[name], relational.ORACLE_SQL[name])
