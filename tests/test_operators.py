@@ -475,7 +475,7 @@ def test_dimension_equals_the_exact_one(spark, monkeypatch):
     assert len(found) == 90 * 90 and np.allclose([r["c"] for r in found], [np.cov(x.T)[r["i"], r["j"]] for r in found])
 
 
-@pytest.mark.parametrize("name", ["dominant_class"])
+@pytest.mark.parametrize("name", ["dominant_class", "core_split"])
 def test_pixels_are_joined_in_tasks_of_bounded_rows(spark, same, monkeypatch, name):
     from conftest import SF_DIR
     from prismspark.jobs import relational
